@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, packing
+from . import decontaminate, langid, packing, pii, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontaminate": decontaminate.query,
         "op2_pack": packing.query,
         "op3_language": langid.query,
+        "op4_pii": pii.query,
+        "op5_quality": quality.query,
     }
 
 
