@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, packing, pii, quality
+from . import decontaminate, langid, packing, pii, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language": langid.query,
         "op4_pii": pii.query,
         "op5_quality": quality.query,
+        "op6_toxicity": toxicity.query,
     }
 
 
