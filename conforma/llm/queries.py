@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, packing, pii, quality, toxicity
+from . import decontaminate, langid, packing, pii, pitman_yor, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pii": pii.query,
         "op5_quality": quality.query,
         "op6_toxicity": toxicity.query,
+        "op7_pitman_yor": pitman_yor.query,
     }
 
 
