@@ -66,3 +66,48 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
     return x
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_STEP = np.uint64(0x100000001B3)
+_powers = np.ones(1, np.uint64)
+
+
+def _power_table(n: int) -> np.ndarray:
+    global _powers
+    if len(_powers) < n:
+        with np.errstate(over="ignore"):
+            steps = np.full(max(n, 4096), _STEP)
+            steps[0] = 1
+            _powers = np.cumprod(steps, dtype=np.uint64)
+    return _powers
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word between blanks (space, tab, line ends), in order."""
+    codes = np.frombuffer(raw, np.uint8)
+    inside = ~_BLANK[codes]
+    if not inside.any():
+        return np.empty(0, np.uint64)
+    edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+    lengths = np.flatnonzero(edge == -1) - np.flatnonzero(edge == 1)
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    place = np.arange(lengths.sum()) - np.repeat(starts, lengths)
+    with np.errstate(over="ignore"):
+        each = (codes[inside].astype(np.uint64) + np.uint64(1)) * _power_table(int(lengths.max()))[place]
+        return mix64(np.add.reduceat(each, starts) + lengths.astype(np.uint64))
+
+
+def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of width words; of all words if there are fewer."""
+    n = len(words) - width + 1
+    if len(words) == 0:
+        return words
+    with np.errstate(over="ignore"):
+        if n < 1:
+            n, width = 1, len(words)
+        key = np.full(n, width, np.uint64)
+        for i in range(width):
+            key = mix64(key * np.uint64(31) + words[i : i + n])
+    return key

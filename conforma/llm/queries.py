@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, packing, pii, pitman_yor, quality, toxicity
+from . import decontaminate, jaccard, langid, packing, pii, pitman_yor, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": quality.query,
         "op6_toxicity": toxicity.query,
         "op7_pitman_yor": pitman_yor.query,
+        "op9_jaccard": jaccard.query,
     }
 
 
