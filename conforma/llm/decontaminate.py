@@ -33,9 +33,7 @@ _FOLD = bytes(
     for c in range(256)
 )
 
-SCHEMA = (
-    "doc_id {id}, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
-)
+FOUND = "n_words long, spans array<struct<start: long, end: long>>, items array<string>"
 
 
 def words(text: str) -> list[bytes]:
@@ -111,11 +109,13 @@ def _scan(shard: list[list[bytes]], blocks: list[Phrases]) -> Iterator[tuple[lis
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
+    keep: list[str] | None = None,
     window: int = WINDOW,
     shard_words: int = SHARD_WORDS,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """doc_id, n_words, spans (of words inside a phrase's occurrence) and items (their ids)."""
+    """docs' columns (or those in keep), n_words, spans (of words inside a phrase's occurrence) and
+    items (the ids of test items with such phrases)."""
     spark = docs.sparkSession
     tests = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"))
     tests = tests.dropna()
@@ -126,38 +126,41 @@ def decontaminate(
         block = tests.filter(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == b)
         phrases = Phrases([(r.i, r.t) for r in block.collect()], window)
         blocks.append(spark.sparkContext.broadcast(phrases))
-    rows = docs.select("doc_id", "text")
-    schema = SCHEMA.format(id=rows.schema["doc_id"].dataType.simpleString())
+    others = docs.drop("n_words", "spans", "items")
+    keep = [c for c in keep or others.columns if c in others.columns]
+    rows = others.select(*keep, F.col("text").alias("__text"))
+    schema = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep) + FOUND
 
     def run(batches):
         out_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-        def flush(ids, shard):
+        def flush(parts, shard):
             found = list(_scan(shard, [b.value for b in blocks]))
+            kept = pa.Table.from_batches(parts).combine_chunks().to_batches()[0].columns if keep else []
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids),
+                    *kept,
                     pa.array([len(d) for d in shard], pa.int64()),
                     pa.array([s for s, _ in found], out_type),
                     pa.array([i for _, i in found], pa.list_(pa.string())),
                 ],
-                names=["doc_id", "n_words", "spans", "items"],
+                names=[*keep, "n_words", "spans", "items"],
             )
 
-        ids, shard, n = [], [], 0
+        parts, shard, n = [], [], 0
         for batch in batches:
-            kind = batch.column(0).type
-            column = batch.column(1)
+            texts, own = batch.column(len(keep)), batch.select(keep)
+            start = 0
             for i in range(batch.num_rows):
-                own = words(column[i].as_py() or "")
-                ids.append(batch.column(0)[i].as_py())
-                shard.append(own)
-                n += len(own) + 1
+                shard.append(words(texts[i].as_py() or ""))
+                n += len(shard[-1]) + 1
                 if n >= shard_words:
-                    yield flush(pa.array(ids, kind), shard)
-                    ids, shard, n = [], [], 0
+                    yield flush([*parts, own.slice(start, i + 1 - start)], shard)
+                    parts, shard, n, start = [], [], 0, i + 1
+            if start < batch.num_rows:
+                parts.append(own.slice(start))
         if shard:
-            yield flush(pa.array(ids, kind), shard)
+            yield flush(parts, shard)
 
     return rows.mapInArrow(run, schema)
 
@@ -166,7 +169,7 @@ def digest(found: DataFrame) -> DataFrame:
     """The contract's columns from spans and items."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.end - s.start)
     return found.select(
-        "doc_id",
+        *[c for c in found.columns if c not in ("n_words", "spans", "items")],
         "n_words",
         hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
@@ -176,4 +179,5 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return digest(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return digest(decontaminate(docs, benchmark, ["doc_id"]))

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, langid, packing, pii, pitman_yor, quality, toxicity
+from . import (
+    decontaminate,
+    jaccard,
+    langid,
+    licences,
+    packing,
+    passages,
+    pii,
+    pitman_yor,
+    quality,
+    toxicity,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,7 +29,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": quality.query,
         "op6_toxicity": toxicity.query,
         "op7_pitman_yor": pitman_yor.query,
+        "op8_licences": licences.query,
         "op9_jaccard": jaccard.query,
+        "op10_passages": passages.query,
     }
 
 
