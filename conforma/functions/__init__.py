@@ -1 +1 @@
-
+"""Column expressions: text predicates, colour arithmetic, slide geometry."""

@@ -1 +1 @@
-
+"""Structured Streaming over a drop folder."""
