@@ -128,11 +128,7 @@ def classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndarray]
                 sig = hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
                 sigs.append(sig)
                 keys.append(int.from_bytes(sig[:8], "little", signed=True) if sig else None)
-                if sig:
-                    counts += np.bincount(cells(own), minlength=CELLS) if len(own) > CELLS // 64 else 0
-                    if len(own) <= CELLS // 64:
-                        at, c = np.unique(cells(own), return_counts=True)
-                        counts[at] += c
+                np.add.at(counts, cells(own), 1)
             none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary()), *none],
