@@ -240,10 +240,12 @@ _VALUE = re.compile(
     rf"(?P<value>[A-Za-z0-9_\-+/.!]{{6,128}})))"
     rf"|(?P<iban>{_EDGE}[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{2,7}}(?: ?[0-9A-Z]{{1,3}})?{_END})"
     rf"|(?P<ip>(?<![0-9A-Za-z.])[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}(?![0-9A-Za-z]|\.[0-9]))"
-    rf"|(?P<date>{_EDGE}(?P<d1>[0-9]{{1,4}})(?P<sep>[\-/.])(?P<d2>[0-9]{{1,2}})(?P=sep)"
-    rf"(?P<d3>[0-9]{{1,4}}){_END})"
+    rf"|(?P<date>{_EDGE}(?P<d1>[0-9]{{4}}(?=[\-/.][0-9]{{1,2}}[\-/.][0-9]{{1,2}}{_END})"
+    rf"|[0-9]{{1,2}}(?=[\-/.][0-9]{{1,2}}[\-/.][0-9]{{4}}{_END}))"
+    rf"(?P<sep>[\-/.])(?P<d2>[0-9]{{1,2}})(?P=sep)(?P<d3>[0-9]{{1,4}}){_END})"
     rf"|(?P<ssn>(?<![0-9A-Za-z\-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9A-Za-z\-]))"
-    rf"|(?P<card>(?<![0-9A-Za-z.\-])[0-9](?:[ \-]?[0-9]){{12,18}}(?![0-9A-Za-z]))"
+    rf"|(?P<card>(?<![0-9A-Za-z.\-])(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ \-][0-9]{{4}}){{2,3}}(?:[ \-][0-9]{{1,3}})?"
+    rf"|[0-9]{{4}}[ \-][0-9]{{6}}[ \-][0-9]{{5}}){_END})"
     rf"|(?P<phone>(?<![0-9A-Za-z])(?:\+[0-9]{{1,3}}[ .\-]?)?\(?[0-9]{{2,4}}\)?[ .\-][0-9]{{2,4}}[ .\-]?"
     rf"[0-9]{{2,4}}(?:[ .\-]?[0-9]{{1,4}})?{_END}|\+[0-9]{{8,15}}{_END})"
 )
