@@ -1,0 +1,307 @@
+"""Every operator on Spark: brute force on a small fixture, and the odd rows that tables may have."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from conforma.llm import queries as Q
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, n_words string"
+PROSE = "the cat sat on the mat and the dog ran over the green hill to the old house by the river where ".split()
+
+
+def prose(seed: int, n: int) -> str:
+    rng = np.random.default_rng(seed)
+    return " ".join(PROSE[i] + ("s" if rng.random() < 0.3 else "") + str(int(rng.integers(0, 40)) or "") for i in rng.integers(0, len(PROSE), n))
+
+
+def rows():
+    a = prose(1, 120)
+    b = a.split(" ")
+    near = " ".join([*b[:60], "changed", *b[61:]])
+    passage = prose(9, 70)
+    item = prose(5, 20)
+    out = [
+        (1, a, "en", "s1"),
+        (2, a, "en", "s1"),
+        (3, near, "en", "s1"),
+        (4, prose(2, 30) + " " + passage, "en", "s2"),
+        (5, passage + "\n" + prose(3, 40), "en", None),
+        (6, prose(4, 50) + " " + item, None, "s2"),
+        (7, item.upper(), "en", "s1"),
+        (8, None, "en", "s1"),
+        (9, "", None, None),
+        (10, " \n\t ", "de", "s2"),
+        (11, "Der Hund und die Katze sind müde, aber das Haus ist schön. " * 3, "de", "s2"),
+        (12, "Der Mann und das Kind gehen in den Wald, wo die Bäume stehen. " * 3, "de", "s2"),
+        (13, "Released under the MIT License.\nsome words here", "en", "s1"),
+        (14, "Mail a.b@mail.example.com or 10.1.2.3, card 4111111111111111.", "en", "s1"),
+        (15, "x " * 5000, "en", "s1"),
+        (15, "x " * 5000, "en", "s1"),
+        (None, a, "en", "s1"),
+        (None, "only here without an id", "en", "s1"),
+        (16, "idiot " + prose(6, 40), "en", "s1"),
+        (17, "12 34 !!", "en", "s1"),
+    ]
+    return [(i, t, lang, src, None if t is None else len(t), 0.5, "clash") for i, t, lang, src in out], item
+
+
+@pytest.fixture(scope="module")
+def data(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("sf"))
+    docs, item = rows()
+    spark.createDataFrame(docs, DOCS).repartition(3).write.parquet(f"{path}/documents.parquet")
+    bench = [(1, item), (2, item + " end"), (10, prose(77, 5)), (3, None), (None, "no id"), (4, "")]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    labels = [(16, 1, 1), (1, 1, 0), (2, 1, 0), (3, 0, 0), (None, 1, 1), (4, 1, None), (16, 0, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+@pytest.fixture(scope="module")
+def empty(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("none"))
+    for name, kind in (("documents", DOCS), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
+        spark.createDataFrame([], kind).write.parquet(f"{path}/{name}.parquet")
+    return path
+
+
+def collect(spark, path, name):
+    return [r.asDict() for r in Q.queries()[name](spark, path).collect()]
+
+
+@pytest.mark.parametrize("name", sorted(Q.queries()))
+def test_empty_tables(spark, empty, name):
+    assert collect(spark, empty, name) == []
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def test_decontaminate(spark, data):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    _, item = rows()
+    windows = {}
+    for i, t in ((1, item), (2, item + " end"), (10, prose(77, 5))):
+        w = words(t)
+        for k in range(max(1, len(w) - 12)):
+            windows.setdefault(tuple(w[k : k + 13]), set()).add(str(i))
+    want = Counter()
+    for i, t, *_ in rows()[0]:
+        w, hit, items = words(t), set(), set()
+        for own, ids in windows.items():
+            for k in range(len(w) - len(own) + 1):
+                if tuple(w[k : k + len(own)]) == own:
+                    hit.update(range(k, k + len(own)))
+                    items |= ids
+        digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+        want[i, len(w), len(hit), len(items), digest, len(hit) > 0 and 20 * len(hit) >= len(w)] += 1
+    assert Counter(tuple(r.values()) for r in collect(spark, data, "op1_decontaminate")) == want
+
+
+def test_benchmark_in_blocks(spark, data):
+    from conforma.llm import decontaminate as D
+
+    docs, bench = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
+    whole, parts = (
+        sorted(map(str, D.digest(D.decontaminate(docs, bench, ["doc_id"], **k)).collect()))
+        for k in ({}, {"block_bytes": 50, "shard_words": 64})
+    )
+    assert whole == parts
+
+
+def test_pack(spark, data):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = collect(spark, data, "op2_pack")
+    pieces, sequences = {}, {}
+    for r in got:
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    for i, t, *_ in rows()[0]:
+        if i in (None, 15):
+            continue
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        at = 0
+        for start, length, crc, total in sorted(pieces[i]):
+            assert (start, total) == (at, len(ids))
+            assert crc == zlib.crc32(ids[start : start + length].tobytes())
+            at += length
+        assert at == len(ids)
+
+
+def test_language(spark, data):
+    got = {r["doc_id"]: r for r in collect(spark, data, "op3_language")}
+    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (8, 9, 10, 17))
+    assert {got[i]["lang_pred"] for i in (11, 12)} == {"de"} and got[1]["lang_pred"] == "en"
+    assert all(r["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_pii(spark, data):
+    got = {r["doc_id"]: r for r in collect(spark, data, "op4_pii")}
+    assert got[8]["text"] is None and got[9]["text"] == "" and got[1]["text"] == rows()[0][0][1]
+    assert (got[14]["n_email"], got[14]["n_ip"], got[14]["n_card"]) == (1, 1, 1)
+    assert not re.search("a.b@mail|10\\.1\\.2\\.3|4111111111111111", got[14]["text"])
+
+
+def test_quality(spark, data):
+    got = collect(spark, data, "op5_quality")
+    assert len(got) == len(rows()[0])
+    by = {r["doc_id"]: r for r in got}
+    for i, t, *_ in rows()[0]:
+        if i is None:
+            continue
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        assert by[i]["n_words"] == len(w) and by[i]["word_chars"] == sum(map(len, w))
+        failed = len(w) < 20 or 100 * by[i]["n_repeat_words"] > 30 * len(w)
+        assert by[i]["base_failed"] == failed and (not failed or not by[i]["kept"])
+    assert by[1]["kept"] and by[15]["n_repeat_words"] == 5000
+
+
+def test_sketch_quartiles(spark):
+    from conforma.llm import quality
+    from pyspark.sql import functions as F
+
+    df = spark.range(1, 401).select(
+        F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(100).alias("n_words"),
+        (F.col("id") * 10).alias("word_chars"), F.lit(0).alias("n_symbols"), F.lit(0).alias("n_dup_lines"),
+        F.lit(1).alias("n_lines"), F.lit(0).alias("n_repeat_words"),
+    )
+    got = {r["metric"]: r for r in quality.quartiles(quality.sketches(df), ["lang", "source"]).collect()}
+    assert got["word_length"]["q1"] == pytest.approx(10, rel=quality.GAMMA - 1) and got["word_length"]["q3"] == pytest.approx(30, rel=quality.GAMMA - 1)
+    assert got["symbols"]["q3"] == 0
+
+
+def test_toxicity(spark, data):
+    got = collect(spark, data, "op6_toxicity")
+    assert len(got) == len(rows()[0])
+    for r in got:
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
+        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_pitman_yor(spark, data):
+    got = collect(spark, data, "op7_pitman_yor")
+    toks = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", lower(t)), None]
+    c = Counter(w for i, t, *_ in rows()[0] if i is None or zlib.crc32(str(i).encode()) % 10 for w in toks(t))
+    n, v = sum(c.values()), len(c)
+    want = {i: toks(t) for i, t, *_ in rows()[0] if i is not None}
+    assert len(got) == len(rows()[0])
+    for r in got:
+        assert r["train_tokens"] == n and r["score"] < 0
+        if r["doc_id"] is None:
+            continue
+        own = want[r["doc_id"]]
+        assert r["n_tokens"] == len(own) and r["n_known"] == sum(c[w] > 0 for w in own)
+        base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own)
+        assert r["base_score"] == pytest.approx(base)
+
+
+def test_pitman_yor_outcomes_sum_to_one(spark):
+    from conforma.llm import pitman_yor
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "a b b c"), (2, "b d"), *[(3 + i, w) for i, w in enumerate(["a", "b", "c", "d", "zz", ""])]], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in pitman_yor.score(docs, F.col("doc_id") > 2).collect()}
+    end = got[8]
+    assert sum(10 ** (got[i] - end) for i in range(3, 8)) + 10**end == pytest.approx(1, abs=1e-6)
+
+
+def test_licences(spark, data):
+    got = collect(spark, data, "op8_licences")
+    assert len(got) == len(rows()[0])
+    assert {r["doc_id"]: r["families"] for r in got if r["families"]} == {13: "MIT"}
+
+
+def test_licence_plan_has_no_python(spark, data):
+    plan = Q.queries()["op8_licences"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_jaccard(spark, data):
+    got = {r["doc_id"]: r for r in collect(spark, data, "op9_jaccard") if r["doc_id"] is not None}
+    sets = {}
+    for i, t, *_ in rows()[0]:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets if i is not None}
+    for i in root:
+        for j in root:
+            o = len(sets[i] & sets[j])
+            if o and 100 * o >= 75 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == {i: (len(sets[i]), root[i]) for i in root}
+    assert root[3] == 1 and root[2] == 1
+
+
+def test_jaccard_of_many_near_copies(spark):
+    from conforma.llm import jaccard
+
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(120)]
+    texts = [(0, " ".join(base))]
+    for i in range(1, 60):
+        own = list(base)
+        for k in rng.choice(120, int(rng.integers(1, 9)), replace=False):
+            own[k] = f"x{i}_{k}"
+        texts.append((i, " ".join(own)))
+    got = {r.doc_id: r.component_id for r in jaccard.link(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts}
+    root = {i: i for i in sets}
+    for i in root:
+        for j in range(i):
+            o = len(sets[i] & sets[j])
+            if 100 * o >= 75 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    assert got == root and len(set(root.values())) > 1
+
+
+def test_components_of_a_long_path(spark):
+    from conforma.llm.components import connected
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 90), (90, 100)], "u long, v long")
+    got = {r.node: r.component for r in connected(edges).collect()}
+    assert got == {**{i: 1 for i in range(1, 61)}, 90: 90, 100: 90}
+
+
+def test_passages(spark, data):
+    got = {(r["doc_id"], r["source_id"]): r for r in collect(spark, data, "op10_passages")}
+    assert {(2, 1), (3, 1), (5, 4)} <= set(got)
+    assert all(r["end"] - r["start"] >= 50 and r["similarity"] >= 0.75 for r in got.values())
+    r = got[5, 4]
+    assert (r["start"], r["source_start"]) == (0, 30) and r["end"] == 70
+    assert not {d for d, _ in got} & {4, 8, 9, 11, 16}
+
+
+def test_pipeline(spark, data):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    kept = docs
+    ids = {}
+    for name, stage in P.STAGES[:-1]:
+        kept = stage(spark, kept, data)
+        assert kept.columns == docs.columns
+        ids[name] = sorted(r.doc_id or 0 for r in kept.select("doc_id").collect())
+    assert 8 not in ids["language"] and 17 not in ids["language"] and 1 in ids["language"]
+    assert 2 not in ids["near_duplicates"] and 3 not in ids["near_duplicates"] and ids["near_duplicates"].count(15) == 1
+    assert 7 not in ids["contamination"] and 6 not in ids["contamination"] and 16 in ids["contamination"]
+    final = P.run(spark, data)
+    assert sorted({r.doc_id or 0 for r in final.collect()}) == sorted(set(ids["pseudonyms"]))
