@@ -17,6 +17,11 @@ PRESETS = {
 }
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def rgb(r: Column, g: Column, b: Column) -> Column:
     return F.struct(r.cast("double").alias("r"), g.cast("double").alias("g"), b.cast("double").alias("b"))
 
@@ -59,7 +64,11 @@ def luminance(colour: Column) -> Column:
 
 def contrast(a: Column, b: Column) -> Column:
     """From 1 to 21; null unless both colours are known."""
-    x, y = luminance(a), luminance(b)
+    return ratio(luminance(a), luminance(b))
+
+
+def ratio(x: Column, y: Column) -> Column:
+    """The contrast of two luminances."""
     return F.when(x.isNotNull() & y.isNotNull(), (F.greatest(x, y) + 0.05) / (F.least(x, y) + 0.05))
 
 
@@ -75,28 +84,41 @@ def tint(colour: Column, share: Column) -> Column:
 
 def lum_mod_off(colour: Column, factor: Column, offset: Column) -> Column:
     """Lightness times factor plus offset, hue and saturation kept (HLS)."""
-    r, g, b = (colour[c] / 255.0 for c in "rgb")
-    high, low = F.greatest(r, g, b), F.least(r, g, b)
-    light, spread = (high + low) / 2, high - low
-    sat = F.when(spread == 0, 0.0).when(light <= 0.5, spread / (high + low)).otherwise(
-        spread / F.greatest(2 - high - low, F.lit(1e-12))
-    )
-    hue = F.when(spread == 0, 0.0).when(r == high, (g - b) / spread).when(g == high, 2 + (b - r) / spread)
-    hue = F.pmod(hue.otherwise(4 + (r - g) / spread) / 6, F.lit(1.0))
-    light = F.least(F.lit(1.0), F.greatest(F.lit(0.0), light * factor + offset))
-    top = F.when(light <= 0.5, light * (1 + sat)).otherwise(light + sat - light * sat)
-    base = 2 * light - top
-
-    def channel(h: Column) -> Column:
-        h = F.pmod(h, F.lit(1.0))
-        return 255.0 * (
-            F.when(h < 1 / 6, base + (top - base) * h * 6)
-            .when(h < 0.5, top)
-            .when(h < 2 / 3, base + (top - base) * (F.lit(2 / 3) - h) * 6)
-            .otherwise(base)
-        )
-
-    return rgb(channel(hue + 1 / 3), channel(hue), channel(hue - 1 / 3))
+
+    def ends(c: Column) -> Column:
+        r, g, b = (c[x] / 255.0 for x in "rgb")
+        return F.struct(r.alias("r"), g.alias("g"), b.alias("b"), F.greatest(r, g, b).alias("high"), F.least(r, g, b).alias("low"))
+
+    def hls(c: Column) -> Column:
+        high, low = c["high"], c["low"]
+        spread = high - low
+        sat = F.when(spread == 0, 0.0).when(high + low <= 1, spread / (high + low))
+        sat = sat.otherwise(spread / F.greatest(2 - high - low, F.lit(1e-12)))
+        hue = F.when(spread == 0, 0.0).when(c["r"] == high, (c["g"] - c["b"]) / spread)
+        hue = hue.when(c["g"] == high, 2 + (c["b"] - c["r"]) / spread).otherwise(4 + (c["r"] - c["g"]) / spread)
+        light = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (high + low) / 2 * factor + offset))
+        return F.struct(hue.alias("h"), light.alias("l"), sat.alias("s"))
+
+    def span(c: Column) -> Column:
+        top = F.when(c["l"] <= 0.5, c["l"] * (1 + c["s"])).otherwise(c["l"] + c["s"] - c["l"] * c["s"])
+        return F.struct((c["h"] / 6).alias("h"), (2 * c["l"] - top).alias("base"), top.alias("top"))
+
+    def back(c: Column) -> Column:
+        def channel(shift: float) -> Column:
+            def level(h: Column) -> Column:
+                rise = c["top"] - c["base"]
+                return 255.0 * (
+                    F.when(h < 1 / 6, c["base"] + rise * h * 6)
+                    .when(h < 0.5, c["top"])
+                    .when(h < 2 / 3, c["base"] + rise * (F.lit(2 / 3) - h) * 6)
+                    .otherwise(c["base"])
+                )
+
+            return let(F.pmod(c["h"] + shift, F.lit(1.0)), level)
+
+        return rgb(channel(1 / 3), channel(0.0), channel(-1 / 3))
+
+    return let(let(let(let(colour, ends), hls), span), back)
 
 
 def modified(colour: Column, mods: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grid as G
 from ..functions import text as T
-from .report import finding, union
+from .report import finding, row_findings, union
 from .resolve import column_bands, is_title
 from .rules import PK, SHAPE, order_ranks, scope
 
@@ -21,11 +21,9 @@ def distorted(shapes: DataFrame) -> DataFrame:
     rows = scope(shapes).filter("tag = 'pic' and cx is not null and cy > 0")
     native = F.col("native_w") / F.col("native_h")
     off = F.abs(F.col("cx") / F.col("cy") - native) / native
-    return union(
-        [
-            finding(rows.filter(off > G.RATIO_TOLERANCE), "N01", "E", off),
-            finding(rows.filter("native_w is null or native_h is null"), "N01", "E", verdict="unverified"),
-        ]
+    unknown = F.col("native_w").isNull() | F.col("native_h").isNull()
+    return row_findings(
+        rows, [("N01", "E", off > G.RATIO_TOLERANCE, off), ("N01", "E", unknown, None, None, "unverified")]
     )
 
 

@@ -40,6 +40,29 @@ def finding(
     )
 
 
+def row_findings(df: DataFrame, tests: list[tuple]) -> DataFrame:
+    """The findings of several rules of one grain in one pass over its rows.
+
+    tests: (rule, severity, condition[, value[, detail[, verdict]]]); every condition that holds gives a
+    finding.
+    """
+    hits = []
+    for rule, severity, condition, *more in tests:
+        value, detail, verdict = [*more, None, None, None][:3]
+        hit = F.struct(
+            F.lit(rule).alias("rule"),
+            F.lit(severity).alias("severity"),
+            F.lit(verdict or "fail").alias("verdict"),
+            (F.lit(None) if value is None else value).cast("double").alias("value"),
+            (F.lit(None) if detail is None else detail).cast("string").alias("detail"),
+        )
+        hits.append(F.when(condition, hit))
+    kinds = {"deck_id": "string", "slide_no": "long", "shape_ord": "int", "para_ord": "int"}
+    keys = [(F.col(k) if k in df.columns else F.lit(None)).cast(kinds[k]).alias(k) for k in KEYS]
+    rows = df.select(*keys, F.explode(F.array_compact(F.array(*hits))).alias("f"))
+    return rows.select("deck_id", "f.rule", "f.severity", "f.verdict", *KEYS[1:], "f.value", "f.detail")
+
+
 def union(findings: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, findings)
 

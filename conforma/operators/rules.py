@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import colour as C
 from ..functions import grid as G
 from ..functions import text as T
-from .report import finding, union
+from .report import finding, row_findings, union
 from .resolve import is_title
 
 PK = ["deck_id", "slide_no"]
@@ -44,14 +44,16 @@ def metadata(decks: DataFrame, language: str = "pt") -> DataFrame:
     lang, author = F.lower(lang), F.lower(author)
     same = F.lower(title) == F.lower("stem")
     ratio = F.col("slide_w") / F.col("slide_h")
-    return union(
+    ratio = F.when(F.col("slide_h") > 0, ratio)
+    return row_findings(
+        decks,
         [
-            finding(decks.filter((title == "") | same), "A01", "E", detail=title),
-            finding(decks.filter(~lang.startswith(language)), "A02", "E", detail=F.col("language")),
-            finding(decks.filter((author == "") | author.isin(*T.GENERIC_AUTHORS)), "A04", "A", detail=F.col("author")),
-            finding(decks.filter(T.strip(F.col("stem")).rlike(T.GENERIC_FILE_NAME)), "A05", "A", detail=F.col("stem")),
-            finding(decks.filter((F.col("slide_h") > 0) & (F.abs(ratio - 16 / 9) > 0.02)), "A06", "D", ratio),
-        ]
+            ("A01", "E", (title == "") | same, None, title),
+            ("A02", "E", ~lang.startswith(language), None, F.col("language")),
+            ("A04", "A", (author == "") | author.isin(*T.GENERIC_AUTHORS), None, F.col("author")),
+            ("A05", "A", T.strip(F.col("stem")).rlike(T.GENERIC_FILE_NAME), None, F.col("stem")),
+            ("A06", "D", F.abs(ratio - 16 / 9) > 0.02, ratio),
+        ],
     )
 
 
@@ -166,17 +168,15 @@ def reading_order(shapes: DataFrame, decks: DataFrame) -> DataFrame:
 def objects(shapes: DataFrame, decks: DataFrame) -> DataFrame:
     """Groups without a description, automatic names, shapes off the slide."""
     top = scope(shapes)
-    groups = top.filter(~F.col("decorative") & (F.col("n_children") > 5) & T.blank(F.col("alt")))
-    named = top.filter(F.trim("name").rlike(T.AUTOMATIC_NAME))
-    rows = top.join(decks.select("deck_id", "slide_w", "slide_h"), "deck_id")
-    out = "x + cx <= 0 or y + cy <= 0 or x >= slide_w or y >= slide_h"
-    off = rows.filter(out).filter(~F.col("decorative") & ~is_title(F.col("ph_type")))
-    return union(
+    shown = ~F.col("decorative")
+    out = F.expr("x + cx <= 0 or y + cy <= 0 or x >= slide_w or y >= slide_h")
+    return row_findings(
+        top.join(decks.select("deck_id", "slide_w", "slide_h"), "deck_id"),
         [
-            finding(groups, "C04", "A", F.col("n_children")),
-            finding(named, "C05", "A", detail=F.col("name")),
-            finding(off, "C06", "A"),
-        ]
+            ("C04", "A", shown & (F.col("n_children") > 5) & T.blank(F.col("alt")), F.col("n_children")),
+            ("C05", "A", F.trim("name").rlike(T.AUTOMATIC_NAME), None, F.col("name")),
+            ("C06", "A", out & shown & ~is_title(F.col("ph_type"))),
+        ],
     )
 
 
@@ -226,8 +226,10 @@ def contrast(runs: DataFrame) -> DataFrame:
     runs: size, bold, fg and bg (hex, null if unresolved) and reason.
     """
     rows = scope(runs, groups=True, decorative=False).filter(~T.blank(F.col("text")))
-    a, b = C.parse_hex(F.col("fg")), C.parse_hex(F.col("bg"))
-    rows = rows.withColumns({"ratio": C.contrast(a, b), "large": C.large_text(F.col("size"), F.col("bold"))})
+    for side in ("fg", "bg"):  # column by column, so that no expression is worked out twice
+        rows = rows.withColumn(f"__{side}", C.parse_hex(F.col(side)))
+        rows = rows.withColumn(f"__l{side}", C.luminance(F.col(f"__{side}")))
+    rows = rows.withColumns({"ratio": C.ratio(F.col("__lfg"), F.col("__lbg")), "large": C.large_text(F.col("size"), F.col("bold"))})
     ratio, large = F.col("ratio"), F.col("large")
     least = F.when(large, 3.0).otherwise(4.5)
     rule = (
@@ -237,15 +239,15 @@ def contrast(runs: DataFrame) -> DataFrame:
     )
     ranked = rows.withColumn("r", rule)
     glare = (F.upper("fg") == "000000") & (F.upper("bg") == "FFFFFF")
-    dim = rows.filter(ratio.isNull())
-    graded = F.col("reason").rlike("gradient|picture|pattern")
-    return union(
+    graded = F.coalesce(F.col("reason").rlike("gradient|picture|pattern"), F.lit(False))
+    return row_findings(
+        ranked,
         [
-            *[finding(ranked.filter(F.col("r") == r), r, s, ratio, F.col("text")) for r, s in (("E01", "E"), ("E02", "E"), ("E03", "D"))],
-            finding(rows.filter(glare), "E08", "A", ratio, F.col("text")),
-            finding(dim.filter(F.coalesce(graded, F.lit(False))), "E09", "A", verdict="unverified", detail=F.col("reason")),
-            finding(dim.filter(~F.coalesce(graded, F.lit(False))), "E01", "A", verdict="unverified", detail=F.col("reason")),
-        ]
+            *[(r, s, F.col("r") == r, ratio, F.col("text")) for r, s in (("E01", "E"), ("E02", "E"), ("E03", "D"))],
+            ("E08", "A", glare, ratio, F.col("text")),
+            ("E09", "A", ratio.isNull() & graded, None, F.col("reason"), "unverified"),
+            ("E01", "A", ratio.isNull() & ~graded, None, F.col("reason"), "unverified"),
+        ],
     )
 
 
@@ -282,11 +284,8 @@ def paragraph_setting(paragraphs: DataFrame) -> DataFrame:
     rows = scope(paragraphs, groups=True).filter(~T.blank(F.col("text")))
     body = ~F.col("titled") & F.col("cell_ri").isNull() & (F.coalesce("max_size", F.lit(0)) < 4000)
     tight = (body & (F.col("line_pct") < 150000)) | (F.col("titled") & (F.col("line_pct") < 90000))
-    return union(
-        [
-            finding(rows.filter(F.col("algn") == "just"), "F04", "E"),
-            finding(rows.filter(tight), "F05", "A", F.col("line_pct") / 100000),
-        ]
+    return row_findings(
+        rows, [("F04", "E", F.col("algn") == "just"), ("F05", "A", tight, F.col("line_pct") / 100000)]
     )
 
 
@@ -297,14 +296,17 @@ def run_setting(runs: DataFrame) -> DataFrame:
     unsafe = (face != "") & ~F.col("typeface").startswith("+") & ~face.isin(*T.SANS_SAFE)
     size, titled = F.col("size"), F.col("titled")
     underlined = (F.coalesce("u", F.lit("none")) != "none") & ~F.col("has_link")
-    return union(
+    shown = F.substring("text", 1, 30)
+    return row_findings(
+        rows,
         [
-            finding(rows.filter(unsafe), "F01", "A", detail=F.col("typeface")),
-            finding(rows.filter(size.isNull()), "F02", "E", verdict="unverified"),
-            finding(rows.filter(~titled & (size < 1800)), "F02", "E", size / 100),
-            finding(rows.filter(titled & (size < 3200)), "F03", "A", size / 100),
-            finding(rows.filter(F.coalesce("i", F.lit(False)) | underlined), "F06", "A", detail=F.substring("text", 1, 30)),
-        ]
+            ("F01", "A", unsafe, None, F.col("typeface")),
+            ("F02", "E", size.isNull(), None, None, "unverified"),
+            ("F02", "E", ~titled & (size < 1800), size / 100),
+            ("F03", "A", titled & (size < 3200), size / 100),
+            ("F06", "A", F.coalesce("i", F.lit(False)), None, shown),
+            ("F06", "A", underlined, None, shown),
+        ],
     )
 
 
@@ -375,8 +377,13 @@ def links(rows: DataFrame) -> DataFrame:
     many = many.agg(F.count_distinct("target").alias("n")).filter("n > 1")
     return union(
         [
-            finding(rows.filter(text.rlike(T.RAW_URL)), "H01", "A", detail=F.col("text")),
-            finding(rows.filter(T.vague_link(text)), "H02", "A", detail=F.col("text")),
+            row_findings(
+                rows,
+                [
+                    ("H01", "A", text.rlike(T.RAW_URL), None, F.col("text")),
+                    ("H02", "A", T.vague_link(text), None, F.col("text")),
+                ],
+            ),
             finding(many, "H03", "A", F.col("n"), F.col("text")),
         ]
     )
@@ -431,13 +438,18 @@ def pdf(files: DataFrame, tags: DataFrame, language: str = "pt") -> DataFrame:
     th = th.agg(F.count_if(~F.col("has_a")).alias("n")).filter("n > 0").join(good.select("deck_id"), "deck_id")
     return union(
         [
-            finding(files.filter(~tagged), "L01", "E"),
-            finding(good.filter(~lang.startswith(language)), "L02", "E", detail=F.col("lang")),
-            finding(good.filter(T.blank(F.col("title"))), "L03", "E"),
-            finding(good.filter(~F.coalesce("display_title", F.lit(False))), "L03", "E"),
+            row_findings(
+                files,
+                [
+                    ("L01", "E", ~tagged),
+                    ("L02", "E", tagged & ~lang.startswith(language), None, F.col("lang")),
+                    ("L03", "E", tagged & T.blank(F.col("title"))),
+                    ("L03", "E", tagged & ~F.coalesce("display_title", F.lit(False))),
+                    ("L06", "A", F.lit(True), None, None, "unverified"),
+                ],
+            ),
             finding(good.join(headings, "deck_id", "left_anti"), "L04", "E"),
             finding(th, "L05", "E", F.col("n")),
-            finding(files, "L06", "A", verdict="unverified"),
         ]
     )
 
