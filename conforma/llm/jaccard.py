@@ -3,11 +3,17 @@
 Documents with equal shingle sets form one class, represented by its least id. All shingles have one
 order, rare ones first (by a merged table of CELLS hashed counts, then by hash). Two sets with the
 required overlap share one of each one's first n - ceil(0.75 n) + 1 shingles, so inverted lists of
-those name every candidate. A first round verifies neighbours in each list (by size), which joins
-large groups of near copies with few pairs; a second one verifies all further pairs in a list that
-are not in one component yet. Verification fetches the candidates' texts and searches: the query's
-inverted lists over its candidates are merged by a heap, except for the longest, which are probed by
-binary search for what has come far enough (DivideSkip).
+those name every candidate. Shingles in no list bound what a set can share at all (`most`).
+
+A first round verifies each list's members against its leader, the member with the smallest part of
+shingles in no list (the original among its copies), which joins most groups of near copies. What is
+left are lists whose members belong to several components and could, by `most`, have the overlap.
+The members of all such lists of one leader are a group, cut into blocks of BLOCK documents, and
+every pair of a group's blocks is searched by one task.
+
+A search takes a document as the query and merges its inverted lists over its candidates, except for
+the longest, which are probed by binary search for what has come far enough (DivideSkip): for a
+leader by a heap, for a block with numpy, where the merge counts the lists' concatenation.
 
 Defined cases: a null or wordless text has no shingles and no links; a text of fewer words than a
 shingle is one shingle; rows of one id are one document; a null id takes part through its text's
@@ -35,6 +41,7 @@ WIDTH = 5
 PERCENT = 75
 CELLS = 1 << 20
 CHUNK = 1 << 14
+BLOCK = 256
 BROADCAST_ROWS = 1_000_000  # candidates' ids, 16 bytes each
 
 
@@ -111,6 +118,62 @@ def search(query: np.ndarray, members: list[np.ndarray], percent: int = PERCENT)
     return sorted(t_occurrence(lists, needed))
 
 
+def search_blocks(
+    sets: list[np.ndarray], component: np.ndarray, block: np.ndarray, percent: int = PERCENT
+) -> list[tuple[int, int]]:
+    """Places of sets of different components (and blocks, if there are two) with the similarity; one
+    pair for each two components that such pairs join."""
+    size = np.array([len(x) for x in sets], np.int64)
+    n = len(sets)
+    if n < 2:
+        return []
+    owner = np.repeat(np.arange(n), size)
+    _, which, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    kept = df[which] > 1
+    which, owner = which[kept], owner[kept]
+    by = np.lexsort((owner, which))
+    key = which[by] * n + owner[by]
+    posting, first = owner[by], np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(df)))])
+    starts = np.searchsorted(owner, np.arange(n + 1))
+    two = len(np.unique(block)) > 1
+    root = {int(c): int(c) for c in component}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for q in np.flatnonzero(block == block.min()):
+        needed = -(-percent * (size[q] + size) // (100 + percent))
+        open_ = (component != component[q]) & (100 * np.minimum(size, size[q]) >= percent * np.maximum(size, size[q]))
+        open_ &= (block != block[q]) if two else (np.arange(n) > q)
+        own = which[starts[q] : starts[q + 1]]
+        if not open_.any() or len(own) < needed[open_].min():
+            continue
+        least = int(needed[open_].min())
+        length = first[own + 1] - first[own]
+        own = own[np.argsort(-length, kind="stable")]
+        skip = min(least - 1, int((least - 1) / (0.01 * np.log2(max(2, length.max())) + 1)))
+        long, short = own[:skip], own[skip:]
+        merged = np.concatenate([posting[first[x] : first[x + 1]] for x in short])
+        counts = np.bincount(merged, minlength=n)
+        near = np.flatnonzero(open_ & (counts >= needed - skip))
+        if not len(near):
+            continue
+        if skip:
+            wanted = long[:, None] * n + near
+            at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+            counts[near] += (key[at] == wanted).sum(0)
+        for m in near[counts[near] >= needed[near]]:
+            a, b = find(int(component[q])), find(int(component[m]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((int(q), int(m)))
+    return out
+
+
 def classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndarray]:
     """doc_id, n, key, sig of every document, and the counts of shingles by cell."""
     rows = docs.select("doc_id", "text")
@@ -164,16 +227,23 @@ def classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndarray]
 
 
 def lists(docs: DataFrame, counts: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """h, key, n: the inverted lists of the sets' first shingles that hold two classes or more.
+    """h, key, n, lead, lead_n: the inverted lists of the sets' first shingles that hold two classes or
+    more. A list's leader is the member with the smallest part of rarer shingles.
 
     A task gives each class once, so that copies don't make a list long.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int32 if counts.max() < 1 << 31 else np.int64))
+    kind = np.int32 if counts.max() < 1 << 31 else np.int64
+    shared = docs.sparkSession.sparkContext.broadcast(counts.astype(kind))
 
     def emit(batches):
         seen: set[bytes] = set()
         for batch in batches:
-            h, keys, n, rows = [], [], [], 0
+            parts, rows = [], 0
+
+            def out():
+                columns = [np.concatenate(c) for c in zip(*parts, strict=True)]  # noqa: B023
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "key", "at"])
+
             for x in batch.column(0):
                 own = shingles(x.as_py() or "", width)
                 if not len(own):
@@ -183,59 +253,67 @@ def lists(docs: DataFrame, counts: np.ndarray, width: int = WIDTH, percent: int
                     continue
                 seen.add(sig)
                 first = prefix(own, shared.value, percent)
-                h.append(first.view(np.int64))
-                keys.append(np.full(len(first), int.from_bytes(sig[:8], "little", signed=True), np.int64))
-                n.append(np.full(len(first), len(own), np.int32))
+                key = int.from_bytes(sig[:8], "little", signed=True)
+                at = (len(own) << 32) | np.arange(len(first), dtype=np.int64)
+                parts.append((first.view(np.int64), np.full(len(first), key, np.int64), at))
                 rows += len(first)
                 if rows > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (h, keys, n)], names=["h", "key", "n"])
-                    h, keys, n, rows = [], [], [], 0
+                    yield out()
+                    parts, rows = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (h, keys, n)], names=["h", "key", "n"])
+                yield out()
 
     def shared_only(batches):
-        """Keeps rows whose h stands on another row with another key; rows come in order of h, key."""
-        last = None  # the row before, and whether it has gone out
+        """Rows come by h, from the leader on. Goes out: all members of lists of two different keys."""
+        lead, last, alone = (0, 0, 0), None, False
         for batch in batches:
-            h, key, n = (batch.column(i).to_numpy() for i in range(3))
+            h, key, at = (batch.column(i).to_numpy() for i in range(3))
+            if not len(h):
+                continue
+            before = last if last is not None else (~h[0], 0)
+            old_h, old_key = np.append(before[0], h[:-1]), np.append(before[1], key[:-1])
+            new = (h != old_h) | (key != old_key)
+            last = h[-1], key[-1]
+            h, key, n, starts = h[new], key[new], at[new] >> 32, (h != old_h)[new]
             if not len(h):
                 continue
-            if last is not None:
-                h, key, n = (np.concatenate([[a], b]) for a, b in zip(last[:3], (h, key, n), strict=True))
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])])
-            if last is not None:
-                new[0] = not last[3]
-            pair = np.concatenate([[False], (h[1:] == h[:-1]) & (key[1:] != key[:-1])])
-            runs = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
-            wide = np.bincount(runs, pair) > 0
-            if last is not None and last[3]:
-                wide[0] = True
-            keep = wide[runs] & new
-            gone = bool(wide[runs[-1]])
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, key, n)], names=["h", "key", "n"])
-            last = (h[-1], key[-1], n[-1], gone)
-
-    rows = docs.select("text").mapInArrow(emit, "h long, key long, n int")
-    held = rows.repartition("h").sortWithinPartitions("h", "key")
-    return held.mapInArrow(shared_only, "h long, key long, n int")
+            # row 0 is the leader of the list that the last batch ended with
+            h, key, n = (np.append(a, b) for a, b in zip(lead, (h, key, n), strict=True))
+            starts = np.append(True, starts)
+            first = np.maximum.accumulate(np.where(starts, np.arange(len(h)), 0))
+            go = ~starts
+            go[:-1] |= starts[:-1] & ~starts[1:]
+            if not alone:
+                go[0] = False
+            lead = h[first[-1]], key[first[-1]], n[first[-1]]
+            alone = bool(starts[-1]) or (first[-1] == 0 and alone and not go[0])
+            if go.any():
+                columns = h[go], key[go], n[go], key[first][go], n[first][go]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "key", "n", "lead", "lead_n"])
+
+    rows = docs.select("text").mapInArrow(emit, "h long, key long, at long")
+    part = F.expr("(at & 4294967295L) / shiftright(at, 32)")
+    held = rows.repartition("h").sortWithinPartitions("h", part, "key")
+    return held.mapInArrow(shared_only, "h long, key long, n long, lead long, lead_n long")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """For a join: sent to all tasks if it has few rows, else left to be shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, text of wanted documents (id); the ids are sent to all tasks if they are few."""
-    few = wanted.count() <= BROADCAST_ROWS
-    ids = F.broadcast(wanted) if few else wanted
-    return docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
+    """id, text of wanted documents (id)."""
+    return docs.select(F.col("doc_id").alias("id"), "text").join(small(wanted), "id", "left_semi")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Those pairs (u, v) whose sets have the similarity."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    texts = materialize(_texts(docs, wanted), "jaccard-texts")
+    """Those pairs (u, v) whose sets have the similarity; best with few different u."""
     kind = pairs.schema["u"].dataType.simpleString()
-    of_v = texts.select(F.col("id").alias("v"), F.col("text").alias("text_v"))
-    of_u = texts.select(F.col("id").alias("u"), F.col("text").alias("text_u"))
-    rows = pairs.join(of_v, "v").join(of_u, "u").select("u", "v", "text_u", "text_v")
+    of_v = docs.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")).join(small(pairs), "v")
+    of_u = _texts(docs, pairs.select(F.col("u").alias("id")).distinct())
+    of_u = of_u.select(F.col("id").alias("u"), F.col("text").alias("text_u"))
+    rows = of_v.join(of_u, "u").select("u", "v", "text_u", "text_v")
 
     def run(batches):
         for batch in batches:
@@ -260,32 +338,55 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     reps = members.filter("key is not null").groupBy("key", "sig").agg(F.min("doc_id").alias("rep"))
     reps = materialize(reps, "jaccard-classes")
     named = reps.filter("rep is not null").select("key", "rep")
-    held = lists(docs, counts, width, percent).join(named, "key").select("h", "rep", "n")
-    held = materialize(held, "jaccard-lists")
-
-    by_size = Window.partitionBy("h").orderBy("n", "rep")
-    near = held.select("rep", "n", F.lag("rep").over(by_size).alias("other"), F.lag("n").over(by_size).alias("m"))
-    near = near.filter((F.col("rep") != F.col("other")) & (percent * F.col("n") <= 100 * F.col("m")))
-    pair = F.least("rep", "other").alias("u"), F.greatest("rep", "other").alias("v")
-    first = materialize(near.select(*pair).distinct(), "jaccard-pairs")
-    edges = materialize(verify(docs, first, width, percent), "jaccard-links")
+    held = materialize(lists(docs, counts, width, percent), "jaccard-lists")
+    near = percent * F.greatest("n", "lead_n") <= 100 * F.least("n", "lead_n")
+    pairs = held.filter((F.col("key") != F.col("lead")) & near).select("lead", "key").distinct()
+    pairs = pairs.join(named.select(F.col("key").alias("lead"), F.col("rep").alias("u")), "lead")
+    pairs = pairs.join(named.withColumnRenamed("rep", "v"), "key").select("u", "v").filter("u <> v")
+    pairs = materialize(pairs.distinct(), "jaccard-pairs")
+    edges = materialize(verify(docs, pairs, width, percent), "jaccard-links")
     found = connected(edges)
 
-    of_rep = held.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    of_rep = materialize(of_rep.select("h", "rep", "n", F.coalesce("component", "rep").alias("c")), "jaccard-lists")
-    mixed = of_rep.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("h")
-    open_ = of_rep.join(mixed, "h")
-    left, right = open_.alias("x"), open_.alias("y")
-    further = left.join(
-        right,
-        (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.rep") < F.col("y.rep"))
-        & (percent * F.greatest("x.n", "y.n") <= 100 * F.least("x.n", "y.n")),
-    )
-    further = further.select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v")).distinct()
-    second = materialize(further.join(first, ["u", "v"], "left_anti"), "jaccard-pairs")
-    if second.head(1):
-        more = verify(docs, second, width, percent)
-        edges = materialize(edges.unionByName(more), "jaccard-links")
+    listed = held.groupBy("key", "n").agg(F.count("*").alias("listed")).join(named, "key")
+    first_n = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
+    most = F.least(F.col("n"), F.col("n") - first_n + F.col("listed"))
+    known = listed.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    known = known.select("key", "rep", most.alias("most"), F.coalesce("component", "rep").alias("c"))
+    known = materialize(known, "jaccard-known")
+    of_lead = known.select(F.col("key").alias("lead"), F.col("c").alias("lead_c"))
+    of_rep = held.select("h", "key", "n", "lead").join(small(known), "key").join(small(of_lead), "lead", "left")
+    odd = of_rep.filter(~F.col("c").eqNullSafe(F.col("lead_c"))).select("h").distinct()
+    odd = materialize(odd, "jaccard-odd")
+    of_rep = of_rep.join(small(odd), "h", "left_semi").select("h", "lead", "rep", "n", "most", "c")
+    list_ = Window.partitionBy("h")
+    smallest = F.greatest(F.min("n").over(list_), F.ceil(percent * F.col("n") / 100))
+    needed = F.ceil(percent * (F.col("n") + smallest) / (100 + percent))
+    able = of_rep.withColumn("needed", needed).filter("most >= needed")
+    mixed = able.select("lead", "rep", "n", "c", F.min("c").over(list_).alias("a"), F.max("c").over(list_).alias("b"))
+    mixed = mixed.filter("a <> b").select("lead", "rep", "n", "c").distinct()
+    mixed = materialize(mixed, "jaccard-mixed")
+    if mixed.head(1):
+        alike = Window.partitionBy("lead")
+        block = F.floor((F.row_number().over(alike.orderBy("n", "rep")) - 1) / BLOCK).cast("int")
+        blocks = F.floor((F.count("*").over(alike) - 1) / BLOCK).cast("int")
+        placed = mixed.select(F.col("lead").alias("g"), "rep", "c", block.alias("block"), blocks.alias("last"))
+        texts = _texts(docs, placed.select(F.col("rep").alias("id")).distinct())
+        rows = placed.join(texts, placed["rep"] == texts["id"]).drop("id")
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+        rows = rows.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "c", "block", "text")
+
+        def of_blocks(t: pa.Table) -> pa.Table:
+            sets = [shingles(x.as_py() or "", width) for x in t["text"]]
+            names = {x: k for k, x in enumerate(t["c"].unique().to_pylist())}
+            component = np.array([names[x] for x in t["c"].to_pylist()])
+            got = search_blocks(sets, component, t["block"].to_numpy(), percent)
+            u, v = ([p[k] for p in got] for k in (0, 1))
+            reps = t["rep"].combine_chunks()
+            return pa.table({"u": reps.take(pa.array(u, pa.int64())), "v": reps.take(pa.array(v, pa.int64()))})
+
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        more = rows.groupBy("g", "i", "j").applyInArrow(of_blocks, f"u {kind}, v {kind}")
+        edges = materialize(edges.unionByName(more.filter("u <> v")), "jaccard-links")
         found = connected(edges)
 
     of_class = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left")
