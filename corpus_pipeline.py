@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conforma.llm import decontaminate, jaccard, langid, packing, pii
-from conforma.llm.common import id_remainder, shared_root, table
+from conforma.llm.common import id_remainder, materialize, shared_root, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     groups = jaccard.link(docs)
     stay = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    stay = materialize(stay, "pipeline-stay")
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = materialize(repeated.select("doc_id"), "pipeline-repeated")
+    named = docs.join(jaccard.small(stay), "doc_id", "left_semi")
+    once = named.join(jaccard.small(repeated), "doc_id", "left_anti")
+    again = named.join(jaccard.small(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rest = docs.filter(F.col("doc_id").isNull())
+    return once.unionByName(again).unionByName(rest).select(*docs.columns)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
