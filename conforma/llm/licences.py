@@ -160,10 +160,15 @@ def lines(text: Column) -> Column:
 
 
 def background(docs: DataFrame, n: int = BACKGROUND) -> list[str]:
-    """The beginnings of the n lines with the smallest hashes: the training sample of the unknown class."""
+    """The beginnings of the lines with the n smallest hashes: the unknown class's training sample.
+
+    The hashes alone are ranked first, so that no task sends n lines.
+    """
     rows = docs.select(F.explode(lines(F.col("text"))).alias("x")).filter(F.length("x") > 20)
     rows = rows.select(F.substring("x", 1, 400).alias("x"), F.xxhash64("x").alias("h"))
-    return [r.x for r in rows.orderBy("h", "x").limit(n).collect()]
+    last = rows.select("h").orderBy("h").limit(n).agg(F.max("h")).head()[0]
+    chosen = rows.filter(F.col("h") <= F.lit(last)).distinct() if last is not None else rows.limit(0)
+    return [r.x for r in chosen.orderBy("h", "x").collect()]
 
 
 def _ngrams(words: Column) -> Column:
