@@ -31,7 +31,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, shingle_hashes, table, utf8, word_hashes
@@ -362,8 +362,22 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     smallest = F.greatest(F.min("n").over(list_), F.ceil(percent * F.col("n") / 100))
     needed = F.ceil(percent * (F.col("n") + smallest) / (100 + percent))
     able = of_rep.withColumn("needed", needed).filter("most >= needed")
-    mixed = able.select("lead", "rep", "n", "c", F.min("c").over(list_).alias("a"), F.max("c").over(list_).alias("b"))
-    mixed = mixed.filter("a <> b").select("lead", "rep", "n", "c").distinct()
+    several = F.min("c").over(list_) != F.max("c").over(list_)
+    mixed = able.withColumn("several", several).filter("several")
+    # What two sets of different components share among their first shingles are lists of both; of the
+    # others, whichever set's first shingles end earlier has ceil(0.75 n) - 1 left.
+    shared = F.count("*").over(Window.partitionBy("rep"))
+    least = F.lit(percent / (100 + percent))
+    few = F.greatest(F.min("n").over(list_), percent * F.col("n") / 100)
+    many = F.least(F.max("n").over(list_), 100 * F.col("n") / percent)
+
+    def short_of(other: Column) -> Column:
+        return least * (F.col("n") + other) - percent * F.greatest(F.col("n"), other) / 100
+
+    mixed = mixed.withColumn("shared", shared)
+    mixed = mixed.withColumn("short", F.least(short_of(few), short_of(many)))
+    mixed = mixed.filter("shared + 1 >= short").withColumn("several", several).filter("several")
+    mixed = mixed.select("lead", "rep", "n", "c").distinct()
     mixed = materialize(mixed, "jaccard-mixed")
     if mixed.head(1):
         alike = Window.partitionBy("lead")
