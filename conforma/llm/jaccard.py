@@ -8,7 +8,7 @@ those name every candidate. Shingles in no list bound what a set can share at al
 A first round verifies each list's members against its leader, the member with the smallest part of
 shingles in no list (the original among its copies), which joins most groups of near copies. What is
 left are lists whose members belong to several components and could, by `most`, have the overlap.
-The members of all such lists of one leader are a group, cut into blocks of BLOCK documents, and
+The members of all such lists of one least id are a group, cut into blocks of BLOCK documents, and
 every pair of a group's blocks is searched by one task.
 
 A search takes a document as the query and merges its inverted lists over its candidates, except for
@@ -357,7 +357,7 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     of_rep = held.select("h", "key", "n", "lead").join(small(known), "key").join(small(of_lead), "lead", "left")
     odd = of_rep.filter(~F.col("c").eqNullSafe(F.col("lead_c"))).select("h").distinct()
     odd = materialize(odd, "jaccard-odd")
-    of_rep = of_rep.join(small(odd), "h", "left_semi").select("h", "lead", "rep", "n", "most", "c")
+    of_rep = of_rep.join(small(odd), "h", "left_semi").select("h", "rep", "n", "most", "c")
     list_ = Window.partitionBy("h")
     smallest = F.greatest(F.min("n").over(list_), F.ceil(percent * F.col("n") / 100))
     needed = F.ceil(percent * (F.col("n") + smallest) / (100 + percent))
@@ -377,13 +377,13 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     mixed = mixed.withColumn("shared", shared)
     mixed = mixed.withColumn("short", F.least(short_of(few), short_of(many)))
     mixed = mixed.filter("shared + 1 >= short").withColumn("several", several).filter("several")
-    mixed = mixed.select("lead", "rep", "n", "c").distinct()
+    mixed = mixed.select(F.min("rep").over(list_).alias("g"), "rep", "n", "c").distinct()
     mixed = materialize(mixed, "jaccard-mixed")
     if mixed.head(1):
-        alike = Window.partitionBy("lead")
+        alike = Window.partitionBy("g")
         block = F.floor((F.row_number().over(alike.orderBy("n", "rep")) - 1) / BLOCK).cast("int")
         blocks = F.floor((F.count("*").over(alike) - 1) / BLOCK).cast("int")
-        placed = mixed.select(F.col("lead").alias("g"), "rep", "c", block.alias("block"), blocks.alias("last"))
+        placed = mixed.select("g", "rep", "c", block.alias("block"), blocks.alias("last"))
         texts = _texts(docs, placed.select(F.col("rep").alias("id")).distinct())
         rows = placed.join(texts, placed["rep"] == texts["id"]).drop("id")
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
