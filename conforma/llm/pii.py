@@ -229,14 +229,16 @@ class Pseudonyms:
         return "\n".join(lines), counts
 
 
-#: A line without these has no value of any kind.
-_TRIGGER = re.compile(r"[0-9@=]|assword")
 _EDGE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
+_KEYWORD = r"(?i:password|passwd|pwd|secret|api[_\-]?key|token)"
+#: A line without these has no value of any kind: all that _VALUE matches has a digit, an at sign, a
+#: keyword, a cloud key's head or 32 letters that are hexadecimal digits.
+_TRIGGER = re.compile(rf"[0-9@]|AKIA|[a-f]{{32}}|{_KEYWORD}")
 _VALUE = re.compile(
     rf"(?P<email>(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{{1,64}}@[A-Za-z0-9\-]{{1,63}}"
     rf"(?:\.[A-Za-z0-9\-]{{1,63}}){{0,8}}\.[A-Za-z]{{2,24}}(?![A-Za-z0-9]))"
     rf"|(?P<secret>{_EDGE}(?:(?P<cloud>AKIA[0-9A-Z]{{16}}){_END}|(?P<hex>[0-9a-f]{{32,128}}){_END}"
-    rf"|(?i:password|passwd|pwd|secret|api[_\-]?key|token)\s{{0,4}}[=:]\s{{0,4}}[\"']?"
+    rf"|{_KEYWORD}\s{{0,4}}[=:]\s{{0,4}}[\"']?"
     rf"(?P<value>[A-Za-z0-9_\-+/.!]{{6,128}})))"
     rf"|(?P<iban>{_EDGE}[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{2,7}}(?: ?[0-9A-Z]{{1,3}})?{_END})"
     rf"|(?P<ip>(?<![0-9A-Za-z.])[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}(?![0-9A-Za-z]|\.[0-9]))"
