@@ -147,6 +147,30 @@ def test_secrets_on_lines_without_digits(line):
     assert new == p.text(line + " 7")[0][:-2]
 
 
+@pytest.mark.parametrize("n", [6, 127, 128, 129, 200, 1000, 300_000])
+def test_long_secrets_are_replaced_whole(n):
+    p = pii.Pseudonyms(b"k")
+    rng = np.random.default_rng(n)
+    value = "".join(rng.choice(list("abcXYZ0189"), n))
+    other = value[:-1] + ("a" if value[-1] != "a" else "b")  # differs at its end alone
+    new, again = (p.text(f"token={v} end")[0][6:-4] for v in (value, other))
+    assert len(new) == n and new != again and p.text(f"pwd: {value}")[0] == f"pwd: {new}"
+    same = [x == y for x, y in zip(value, new, strict=True)]
+    assert n < 100 or max(np.mean(same[:64]), np.mean(same[-64:])) < 0.4
+    assert [x.isdigit() for x in value] == [x.isdigit() for x in new]
+    hexa = "".join(rng.choice(list("0123456789abcdef"), max(32, n)))
+    new, counts = p.text(f"key {hexa}.")
+    assert counts == {"secret": 1} and new[4:-1] != hexa and len(new) == len(hexa) + 5
+
+
+def test_long_strings_are_permuted(monkeypatch):
+    monkeypatch.setattr(pii, "LONG", 0)
+    p = pii.Pseudonyms(b"k")
+    for n in (1, 3):
+        texts = [f"{i:0{n}d}" for i in range(10**n)]
+        assert sorted(p.string(t, "t") for t in texts) == texts
+
+
 @given(st.lists(st.sampled_from("abc"), max_size=40))
 @settings(max_examples=100, deadline=None)
 def test_repeated_words(words):
