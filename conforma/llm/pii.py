@@ -162,13 +162,11 @@ class Pseudonyms:
 
     def card(self, m: re.Match) -> str | None:
         digits = "".join(c for c in m[0] if c.isdigit())
-        if not 13 <= len(digits) <= 19:
+        if not 13 <= len(digits) <= 19 or luhn(digits[:-1]) != digits[-1]:
             return None
         n = len(digits) - 2
         new = digits[0] + f"{self.feistel.permute(int(digits[1:-1]), 10**n, f'card{n}'):0{n}d}"
-        good = luhn(digits[:-1]) == digits[-1]
-        check = luhn(new) if good else str((int(luhn(new)) + int(digits[-1]) - int(luhn(digits[:-1]))) % 10)
-        return self._refill(m[0], new + check)
+        return self._refill(m[0], new + luhn(new))
 
     def ip(self, m: re.Match) -> str | None:
         octets = [int(x) for x in m[0].split(".")]
@@ -255,6 +253,17 @@ _KEYWORD = r"(?i:password|passwd|pwd|secret|api[_\-]?key|token)"
 #: A line without these has no value of any kind: all that _VALUE matches has a digit, an at sign, a
 #: keyword, a cloud key's head or 32 letters that are hexadecimal digits.
 _TRIGGER = re.compile(rf"[0-9@]|AKIA|[a-f]{{32}}|{_KEYWORD}")
+#: Phones have a country prefix, or an area in brackets, or a national plan in its common grouping.
+_PHONE = (
+    rf"(?<![0-9])\+1[ .\-]?\(?[0-9]{{3}}\)?[ .\-]?[0-9]{{3}}[ .\-]?[0-9]{{4}}{_END}"
+    rf"|(?<![0-9])\+[0-9](?:\)?[ .\-]?\(?[0-9]){{7,14}}{_END}"
+    rf"|(?<![0-9A-Za-z])(?<![0-9][.\-,/])(?:(?:1[ .\-]?)?\([0-9]{{3}}\)[ .\-]?[0-9]{{3}}[ .\-]?[0-9]{{4}}"  # in brackets
+    rf"|\(0[0-9]{{1,4}}\)[ .\-]?[0-9]{{2,4}}(?:[ .\-]?[0-9]{{2,4}}){{1,2}}|\([1-9][0-9]\)[ .\-]?9?[0-9]{{4}}-[0-9]{{4}}"
+    rf"|(?:1[ .\-])?[2-9][0-9]{{2}}(?P<p1>[ .\-])[2-9][0-9]{{2}}(?P=p1)[0-9]{{4}}"  # North America
+    rf"|0[1-9](?P<p2>[ .\-]?)[0-9]{{2}}(?:(?P=p2)[0-9]{{2}}){{3}}"  # France
+    rf"|[6-9][0-9]{{2}}(?P<p3>[ .\-])[0-9]{{2}}(?P=p3)[0-9]{{2}}(?P=p3)[0-9]{{2}}"  # Spain
+    rf"|0[1-9][0-9]{{1,3}}[ \-/][0-9]{{3,4}}[ \-]?[0-9]{{3,4}})(?![0-9A-Za-z]|[.\-,/][0-9])"  # Britain, Germany
+)
 _VALUE = re.compile(
     rf"(?P<email>(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{{1,64}}@[A-Za-z0-9\-]{{1,63}}"
     rf"(?:\.[A-Za-z0-9\-]{{1,63}}){{0,8}}\.[A-Za-z]{{2,24}}(?![A-Za-z0-9]))"
@@ -269,8 +278,7 @@ _VALUE = re.compile(
     rf"|(?P<ssn>(?<![0-9A-Za-z\-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9A-Za-z\-]))"
     rf"|(?P<card>(?<![0-9A-Za-z.\-])(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ \-][0-9]{{4}}){{2,3}}(?:[ \-][0-9]{{1,3}})?"
     rf"|[0-9]{{4}}[ \-][0-9]{{6}}[ \-][0-9]{{5}}){_END})"
-    rf"|(?P<phone>(?<![0-9A-Za-z])(?:\+[0-9]{{1,3}}[ .\-]?)?\(?[0-9]{{2,4}}\)?[ .\-][0-9]{{2,4}}[ .\-]?"
-    rf"[0-9]{{2,4}}(?:[ .\-]?[0-9]{{1,4}})?{_END}|\+[0-9]{{8,15}}{_END})"
+    rf"|(?P<phone>{_PHONE})"
 )
 
 

@@ -171,6 +171,33 @@ def test_long_strings_are_permuted(monkeypatch):
         assert sorted(p.string(t, "t") for t in texts) == texts
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["1732741234567 ms", "order 4111111111111112", "4111 1111 1111 1112", "1990-1995", "2019 2020", "12.50 100.25", "10 200 300",
+     "2019 2020 2021", "1 250 000 000", "612 345 678", "3.14159265 2.71828182", "10-20-30", "192.168.10", "1200-1300-1400"],
+)
+def test_clean_numbers_stay(text):
+    assert pii.Pseudonyms(b"k").text(text) == (text, {})
+
+
+@pytest.mark.parametrize(
+    "phone",
+    ["(555)123-4567", "+1(555)123-4567", "+1 (469) 555-8958", "469-555-8958", "1-800-555-1234", "469.555.8958", "020 7946 0958",
+     "(0171) 123 4567", "01 23 45 67 89", "+49 30 12345678", "+34612345678", "612 34 56 78", "(11) 91234-5678"],
+)
+def test_phones_are_replaced_whole(phone):
+    p = pii.Pseudonyms(b"k")
+    new, counts = p.text(f"call {phone}, or {phone} now")
+    assert counts == {"phone": 2} and phone not in new
+    one = new[5 : 5 + len(phone)]
+    assert new == f"call {one}, or {one} now" and len(one) == len(phone)
+
+
+def test_cards_stay_valid():
+    new, counts = pii.Pseudonyms(b"k").text("4111111111111111")
+    assert counts == {"card": 1} and pii.luhn(new[:-1]) == new[-1]
+
+
 @given(st.lists(st.sampled_from("abc"), max_size=40))
 @settings(max_examples=100, deadline=None)
 def test_repeated_words(words):
