@@ -337,6 +337,30 @@ def test_passages_with_an_edit():
     assert len(got) == 1 and got[0][:4] == (60, 160, 50, 150) and 0.85 < got[0][4] < 1
 
 
+def _words(rng, n):
+    return [f"w{x}" for x in rng.integers(0, 10**9, n)]
+
+
+@pytest.mark.parametrize("n, cut, put", [(65, 0, 9), (100, 9, 9), (100, 9, 0)])
+@pytest.mark.parametrize("turned", [False, True])
+def test_passages_with_a_long_gap(n, cut, put, turned):
+    rng = np.random.default_rng(n + put)
+    a = _words(rng, n)
+    b = [*a[: n // 2], *_words(rng, put), *a[n // 2 + cut :]]
+    x, y = passages.text_shingles(" ".join(a)), passages.text_shingles(" ".join([*_words(rng, 300), *b, *_words(rng, 20)]))
+    own, other = (y, x) if turned else (x, y)
+    got = passages.passages(own, other, 46)
+    value = len(set(x.tolist()) & set(y.tolist())) / (len(x) + len(b) - 4 - len(set(x.tolist()) & set(y.tolist())))
+    assert len(got) == 1 and got[0][4] == pytest.approx(value) and value >= 0.75
+
+
+def test_far_passages_stay_apart():
+    rng = np.random.default_rng(4)
+    a, b = _words(rng, 60), _words(rng, 70)
+    own, other = (passages.text_shingles(" ".join(x)) for x in ([*a, *_words(rng, 500), *b], [*b, *_words(rng, 90), *a]))
+    assert [p[:2] for p in passages.passages(own, other, 46)] == [(0, 56), (560, 626)]
+
+
 def test_word_hashes_split_on_six_blanks():
     a, b = word_hashes(b"ab c\td\n\x0be\x0c\rf"), word_hashes(b"ab c d e f")
     assert a.tolist() == b.tolist() and len(a) == 5
