@@ -1,12 +1,14 @@
 """Licence scans: a trained paragraph classifier, confirmed against templates, in DataFrame operations.
 
-A paragraph is a line. Its features are the distinct word 2- and 3-grams that licence templates have;
+Scored are lines, and paragraphs of several lines: runs of lines with letters or digits, so that notices
+wrapped in source files, behind comment marks, are whole. A paragraph's family counts if none of its
+lines has it. The features of both are the distinct word 2- and 3-grams that licence templates have;
 a softmax regression over them tells licence families from the unknown class. It is trained on the
 driver from the templates (with words dropped and other words around) and a bounded sample of the
 documents' own lines, of BACKGROUND, as unknown; its temperature and the least probability of a known
-family are set on variants and lines left out. A prediction counts if the paragraph also contains CONFIRM
-of the 2-grams of one of that family's templates. Scoring is one scan: explode, broadcast join with the
-weights (at most the templates' n-grams), sums by paragraph.
+family are set on variants and lines left out. A prediction counts if its line or paragraph also has CONFIRM
+of the 2-grams of one of that family's templates. Scoring is one scan: explode, broadcast joins with
+the templates' n-grams and their weights, sums by line and paragraph. n_paragraphs counts filled lines.
 
 Defined cases: a null or empty text has no paragraphs and no licence; repeated documents each give a
 row; equal probabilities go to the smaller family name; other columns are ignored; an empty table gives
@@ -172,11 +174,22 @@ def background(docs: DataFrame, n: int = BACKGROUND) -> list[str]:
 
 
 def _ngrams(words: Column) -> Column:
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    """gram and line (-1 if it goes over lines) of words (w, i: the word and its line)."""
+
+    def gram(text: Column, last: Column, line: Column, own: Column) -> Column:
+        return F.struct(F.concat_ws(" ", text, last).alias("gram"), F.when(line == own, line).otherwise(F.lit(-1)).alias("line"))
+
     n2, n3 = F.greatest(F.size(words) - 1, F.lit(0)), F.greatest(F.size(words) - 2, F.lit(0))
-    pairs = F.slice(pairs, 1, n2)
-    triples = F.zip_with(pairs, F.slice(words, 3, n3), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(pairs, F.slice(triples, 1, n3))
+    pairs = F.zip_with(F.slice(words, 1, n2), F.slice(words, 2, n2), lambda a, b: gram(a["w"], b["w"], a["i"], b["i"]))
+    triples = F.zip_with(F.slice(pairs, 1, n3), F.slice(words, 3, n3), lambda a, b: gram(a["gram"], b["w"], a["line"], b["i"]))
+    return F.concat(pairs, triples)
+
+
+#: Between paragraphs: lines without a letter or digit (comment marks alone are none).
+BETWEEN = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
+#: Comment marks that look like words.
+MARKS = r"(?m)^[ \t]*(?:dnl|REM|rem)[ \t]+"
+WHOLE = -2
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
@@ -195,15 +208,30 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
         F.array_contains("in", k).cast("int").alias(f"t{k}") for k in range(len(templates))
     ])
 
-    text = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), lines(F.col("text")).alias("ls"))
-    filled = F.size(F.filter("ls", lambda x: F.trim(x) != ""))
-    each = text.select("doc_id", "row", filled.alias("n_paragraphs"), F.posexplode("ls").alias("par", "line"))
-    words = F.filter(F.split(F.lower("line"), "[^a-z0-9]+"), lambda x: x != "")
-    each = each.select("doc_id", "row", "n_paragraphs", "par", words.alias("words"))
-    found = F.concat(F.array_distinct(_ngrams(F.col("words"))), F.when(F.col("par") == 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
-    features = each.select("doc_id", "row", "n_paragraphs", "par", F.explode(found).alias("gram"))
-    hits = features.join(F.broadcast(weights), "gram")
-    sums = hits.groupBy("row", "par").agg(
+    filled = F.size(F.filter(lines(F.col("text")), lambda x: F.trim(x) != ""))
+    runs = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), MARKS, ""), BETWEEN)
+    text = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), filled.alias("n_paragraphs"), runs.alias("runs"))
+    each = text.select("doc_id", "row", "n_paragraphs", F.posexplode("runs").alias("par", "run"))
+
+    def words(line: Column, i: Column) -> Column:
+        found = F.filter(F.split(line, "[^a-z0-9]+"), lambda x: x != "")
+        return F.transform(found, lambda w: F.struct(w.alias("w"), i.alias("i")))
+
+    own = F.flatten(F.transform(F.split(F.lower("run"), "\n"), words))
+    each = each.select("doc_id", "row", "n_paragraphs", "par", F.contains("run", F.lit("\n")).alias("several"), own.alias("words"))
+    first = F.array(F.struct(F.lit("").alias("gram"), F.lit(-1).alias("line")))
+    found = F.concat(_ngrams(F.col("words")), F.when(F.col("par") == 0, first).otherwise(F.slice(first, 1, 0)))
+    features = each.select("doc_id", "row", "n_paragraphs", "par", "several", F.explode(found).alias("g"))
+    features = features.select("doc_id", "row", "n_paragraphs", "par", "several", "g.gram", "g.line")
+    hits = features.join(F.broadcast(weights.select("gram")), "gram").groupBy("row", "par", "gram").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_paragraphs").alias("n_paragraphs"),
+        F.first("several").alias("several"), F.collect_set("line").alias("in_lines"),
+    )
+    whole = F.col("several") | (F.col("gram") == "")
+    units = F.filter("in_lines", lambda x: x >= 0)
+    units = F.when(whole, F.concat(units, F.array(F.lit(WHOLE)))).otherwise(units)
+    hits = hits.select("row", "par", "doc_id", "n_paragraphs", "gram", F.explode(units).alias("line"))
+    sums = hits.join(F.broadcast(weights), "gram").groupBy("row", "par", "line").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_paragraphs").alias("n_paragraphs"),
         *[F.sum(c).alias(c) for c in names], *[F.sum(f"t{k}").alias(f"t{k}") for k in range(len(templates))],
     )
@@ -215,12 +243,25 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     for k, (f, _) in enumerate(templates):
         confirmed |= (best == f) & (F.col(f"t{k}") >= CONFIRM * len(pairs[k]))
     sure = (best != UNKNOWN) & (1 / total >= model.least) & confirmed
-    each = sums.select("row", "doc_id", "n_paragraphs", F.when(sure, best).alias("family"), F.when(sure, 1 / total).alias("p"))
+    each = sums.select("row", "par", "line", "doc_id", "n_paragraphs", F.when(sure, best).alias("family"), F.when(sure, 1 / total).alias("p"))
+    is_line = F.col("line") != WHOLE
+    by_par = each.groupBy("row", "par").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_paragraphs").alias("n_paragraphs"),
+        F.collect_list(F.when(is_line, F.col("family"))).alias("of_lines"),
+        F.max(F.when(~is_line, F.col("family"))).alias("of_whole"),
+        F.max(F.when(is_line, F.col("p"))).alias("p_lines"), F.max(F.when(~is_line, F.col("p"))).alias("p_whole"),
+    )
+    more = F.col("of_whole").isNotNull() & ~F.array_contains("of_lines", F.col("of_whole"))
+    each = by_par.select(
+        "row", "doc_id", "n_paragraphs",
+        F.when(more, F.concat("of_lines", F.array("of_whole"))).otherwise(F.col("of_lines")).alias("families"),
+        F.greatest("p_lines", F.when(more, F.col("p_whole"))).alias("p"),
+    )
     out = each.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_paragraphs").cast("long").alias("n_paragraphs"),
-        F.count("family").alias("n_licensed"),
-        F.array_sort(F.collect_set("family")).alias("families"),
+        F.sum(F.size("families")).cast("long").alias("n_licensed"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))).alias("families"),
         F.max("p").alias("probability"),
     )
     return out.drop("row")

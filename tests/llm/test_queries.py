@@ -228,6 +228,27 @@ def test_licences(spark, data):
     assert {r["doc_id"]: r["families"] for r in got if r["families"]} == {13: "MIT"}
 
 
+def test_wrapped_licences(spark):
+    import textwrap
+
+    from conforma.llm import licences
+
+    docs, want = [], {}
+    for family in licences.TEMPLATES:
+        notice = max(licences.TEMPLATES[family], key=len)
+        for mark in ("", " * ", "# ", "// ", "dnl "):
+            at = len(docs)
+            body = textwrap.indent("\n".join(textwrap.wrap(notice, 40 if len(notice) < 90 else 72)), mark)
+            docs.append((at, f"{mark}\n{mark}Copyright someone\n{mark}\n{body}\n{mark}\n\nint x = 1;\nreturn x;"))
+            want[at] = family
+    docs += [(1000, "some plain words\nin lines that\n\ndeclare nothing at all"), (1001, None), (1002, "Released under the MIT License.\nsome words here")]
+    want |= {1000: "", 1001: "", 1002: "MIT"}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scan(df, licences.train(["some plain words in lines that say nothing"] * 3)).collect()}
+    assert {i: ",".join(r.families) for i, r in got.items()} == want
+    assert {r.n_licensed for i, r in got.items() if i not in (1000, 1001)} == {1} and got[1001].n_licensed == 0
+
+
 def test_licence_plan_has_no_python(spark, data):
     plan = Q.queries()["op8_licences"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
