@@ -91,6 +91,22 @@ def grams(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + k]) for k in (2, 3) for i in range(len(words) - k + 1)}
 
 
+def telling() -> list[str]:
+    """Words of which every text with CONFIRM of some template's 2-grams has one: without them, too few of
+    any template's 2-grams are left."""
+    left = [{tuple(g.split(" ")) for g in grams(tokens(t)) if g.count(" ") == 1} for ts in TEMPLATES.values() for t in ts]
+    most, chosen = [CONFIRM * len(p) for p in left], []
+    while any(len(p) >= m for p, m in zip(left, most, strict=True)):
+        gain: dict[str, int] = {}
+        for p, m in zip(left, most, strict=True):
+            for pair in p if len(p) >= m else ():
+                for w in set(pair):
+                    gain[w] = gain.get(w, 0) + 1
+        chosen.append(max(gain, key=lambda w: (len(w) > 5, gain[w], w)))
+        left = [{pair for pair in p if chosen[-1] not in pair} for p in left]
+    return chosen
+
+
 @dataclass
 class Model:
     families: list[str]  # the unknown class first
@@ -218,6 +234,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
         return F.transform(found, lambda w: F.struct(w.alias("w"), i.alias("i")))
 
     own = F.flatten(F.transform(F.split(F.lower("run"), "\n"), words))
+    own = F.coalesce(F.when(F.lower("run").rlike("|".join(telling())), own), F.array().cast("array<struct<w:string,i:int>>"))
     each = each.select("doc_id", "row", "n_paragraphs", "par", F.contains("run", F.lit("\n")).alias("several"), own.alias("words"))
     first = F.array(F.struct(F.lit("").alias("gram"), F.lit(-1).alias("line")))
     found = F.concat(_ngrams(F.col("words")), F.when(F.col("par") == 0, first).otherwise(F.slice(first, 1, 0)))

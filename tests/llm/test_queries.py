@@ -249,6 +249,16 @@ def test_wrapped_licences(spark):
     assert {r.n_licensed for i, r in got.items() if i not in (1000, 1001)} == {1} and got[1001].n_licensed == 0
 
 
+def test_confirmed_texts_have_a_telling_word():
+    from conforma.llm import licences
+
+    words = set(licences.telling())
+    for templates in licences.TEMPLATES.values():
+        for t in templates:
+            pairs = {g for g in licences.grams(licences.tokens(t)) if g.count(" ") == 1}
+            assert sum(not words & set(g.split(" ")) for g in pairs) < licences.CONFIRM * len(pairs)
+
+
 def test_licence_plan_has_no_python(spark, data):
     plan = Q.queries()["op8_licences"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
