@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
 
 
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
@@ -25,19 +25,22 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
     return linked.filter("u <> v").distinct()
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """node, component: the least node that edges (u, v) reach, for every node with an edge.
 
-    Stars converge in a number of rounds that grows with the logarithm of the longest path.
+    Stars converge in a number of rounds that grows with the logarithm of the longest path. Each round's
+    table replaces the last one's in scratch; the last one stays, as the result reads it.
     """
-    current = materialize(edges.select("u", "v").filter("u <> v").distinct(), "components")
+    current = scratch.write(edges.select("u", "v").filter("u <> v").distinct(), f"{name}-0")
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).head())
 
-    seen = mark(current)
+    seen, turn = mark(current), 0
     while True:
-        current = materialize(_stars(_stars(current, False), True), "components")
+        turn += 1
+        current = scratch.write(_stars(_stars(current, False), True), f"{name}-{turn}")
+        scratch.remove(f"{name}-{turn - 1}")
         now = mark(current)
         if now == seen:
             break

@@ -3,13 +3,15 @@
 Documents with equal shingle sets form one class, represented by its least id. All shingles have one
 order, rare ones first (by a merged table of CELLS hashed counts, then by hash). Two sets with the
 required overlap share one of each one's first n - ceil(0.75 n) + 1 shingles, so inverted lists of
-those name every candidate. Shingles in no list bound what a set can share at all (`most`).
+those name every candidate.
 
 A first round verifies each list's members against its leader, the member with the smallest part of
 shingles in no list (the original among its copies), which joins most groups of near copies. What is
-left are lists whose members belong to several components and could, by `most`, have the overlap.
-The members of all such lists of one least id are a group, cut into blocks of BLOCK documents, and
-every pair of a group's blocks is searched by one task.
+left are lists whose members belong to several components; the members of all such lists of one least
+id are a group. A second round searches groups without their texts: two members whose first shingles
+have t in common share at most t and what is left of the longer set (`least_shared`), which leaves few
+members that can be in a pair at all. Only those members' whole sets are fetched and compared. A group
+is cut into blocks by hash, and every pair of its blocks is searched by one task.
 
 A search takes a document as the query and merges its inverted lists over its candidates, except for
 the longest, which are probed by binary search for what has come far enough (DivideSkip): for a
@@ -31,17 +33,18 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shingle_hashes, table, utf8, word_hashes
+from .common import Scratch, shingle_hashes, table, utf8, word_hashes
 from .components import connected
 
 WIDTH = 5
 PERCENT = 75
 CELLS = 1 << 20
 CHUNK = 1 << 14
-BLOCK = 256
+BLOCK = 1 << 19  # shingles of a block's documents
+SPLIT = 1 << 16  # rows of an inverted list in one task
 BROADCAST_ROWS = 1_000_000  # candidates' ids, 16 bytes each
 
 
@@ -118,23 +121,38 @@ def search(query: np.ndarray, members: list[np.ndarray], percent: int = PERCENT)
     return sorted(t_occurrence(lists, needed))
 
 
+def least_shared(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """How many of their first shingles two linked sets of n and m share at least.
+
+    They share ceil(percent (n + m) / (100 + percent)) in all. Common ones that are not first in both lie
+    behind the first ones of the set whose first ones end earlier, which has ceil(0.75 n) - 1 of those.
+    """
+    rest = -(-percent * np.maximum(n, m) // 100) - 1
+    return np.maximum(1, -(-percent * (n + m) // (100 + percent)) - rest)
+
+
 def search_blocks(
-    sets: list[np.ndarray], component: np.ndarray, block: np.ndarray, percent: int = PERCENT
+    sets: list[np.ndarray], component: np.ndarray, block: np.ndarray, percent: int = PERCENT, n: np.ndarray | None = None
 ) -> list[tuple[int, int]]:
     """Places of sets of different components (and blocks, if there are two) with the similarity; one
-    pair for each two components that such pairs join."""
+    pair for each two components that such pairs join.
+
+    With n, sets hold only (shortened hashes of) the first shingles of sets of n, and the pairs are all
+    that have least_shared of them.
+    """
     size = np.array([len(x) for x in sets], np.int64)
-    n = len(sets)
-    if n < 2:
+    whole, n_sets = n is None, len(sets)
+    if n_sets < 2:
         return []
-    owner = np.repeat(np.arange(n), size)
+    n = size if whole else n
+    owner = np.repeat(np.arange(n_sets), size)
     _, which, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     kept = df[which] > 1
     which, owner = which[kept], owner[kept]
     by = np.lexsort((owner, which))
-    key = which[by] * n + owner[by]
+    key = which[by] * n_sets + owner[by]
     posting, first = owner[by], np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(df)))])
-    starts = np.searchsorted(owner, np.arange(n + 1))
+    starts = np.searchsorted(owner, np.arange(n_sets + 1))
     two = len(np.unique(block)) > 1
     root = {int(c): int(c) for c in component}
 
@@ -146,9 +164,9 @@ def search_blocks(
 
     out = []
     for q in np.flatnonzero(block == block.min()):
-        needed = -(-percent * (size[q] + size) // (100 + percent))
-        open_ = (component != component[q]) & (100 * np.minimum(size, size[q]) >= percent * np.maximum(size, size[q]))
-        open_ &= (block != block[q]) if two else (np.arange(n) > q)
+        needed = -(-percent * (n[q] + n) // (100 + percent)) if whole else least_shared(n[q], n, percent)
+        open_ = (component != component[q]) & (100 * np.minimum(n, n[q]) >= percent * np.maximum(n, n[q]))
+        open_ &= (block != block[q]) if two else (np.arange(n_sets) > q)
         own = which[starts[q] : starts[q + 1]]
         if not open_.any() or len(own) < needed[open_].min():
             continue
@@ -158,15 +176,19 @@ def search_blocks(
         skip = min(least - 1, int((least - 1) / (0.01 * np.log2(max(2, length.max())) + 1)))
         long, short = own[:skip], own[skip:]
         merged = np.concatenate([posting[first[x] : first[x + 1]] for x in short])
-        counts = np.bincount(merged, minlength=n)
+        counts = np.bincount(merged, minlength=n_sets)
         near = np.flatnonzero(open_ & (counts >= needed - skip))
         if not len(near):
             continue
         if skip:
-            wanted = long[:, None] * n + near
+            wanted = long[:, None] * n_sets + near
             at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
             counts[near] += (key[at] == wanted).sum(0)
-        for m in near[counts[near] >= needed[near]]:
+        found = near[counts[near] >= needed[near]]
+        if not whole:
+            out += [(int(q), int(m)) for m in found]
+            continue
+        for m in found:
             a, b = find(int(component[q])), find(int(component[m]))
             if a != b:
                 root[max(a, b)] = min(a, b)
@@ -174,7 +196,7 @@ def search_blocks(
     return out
 
 
-def classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndarray]:
+def classes(docs: DataFrame, scratch: Scratch, width: int = WIDTH) -> tuple[DataFrame, np.ndarray]:
     """doc_id, n, key, sig of every document, and the counts of shingles by cell."""
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -208,9 +230,8 @@ def classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndarray]
                 names=["doc_id", "n", "key", "sig", "chunk", "counts"],
             )
 
-    both = materialize(
-        rows.mapInArrow(run, f"doc_id {kind}, n long, key long, sig binary, chunk int, counts binary"), "jaccard"
-    )
+    schema = f"doc_id {kind}, n long, key long, sig binary, chunk int, counts binary"
+    both = scratch.write(rows.mapInArrow(run, schema), "documents")
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(CHUNK, np.int64)
@@ -226,14 +247,19 @@ def classes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndarray]
     return both.filter("chunk is null").select("doc_id", "n", "key", "sig"), counts
 
 
-def lists(docs: DataFrame, counts: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def lists(
+    docs: DataFrame, counts: np.ndarray, width: int = WIDTH, percent: int = PERCENT, split: int = SPLIT
+) -> DataFrame:
     """h, key, n, lead, lead_n: the inverted lists of the sets' first shingles that hold two classes or
     more. A list's leader is the member with the smallest part of rarer shingles.
 
-    A task gives each class once, so that copies don't make a list long.
+    A task gives each class once, so that copies don't make a list long. A list that could have more than
+    split rows (and more than four times the mean of a cell) is cut by the members' keys into parts with
+    leaders of their own; a part may then be of one class.
     """
     kind = np.int32 if counts.max() < 1 << 31 else np.int64
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(kind))
+    longest = max(split, 4 * int(counts.sum()) // CELLS)
 
     def emit(batches):
         seen: set[bytes] = set()
@@ -242,7 +268,7 @@ def lists(docs: DataFrame, counts: np.ndarray, width: int = WIDTH, percent: int
 
             def out():
                 columns = [np.concatenate(c) for c in zip(*parts, strict=True)]  # noqa: B023
-                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "key", "at"])
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "key", "at", "part"])
 
             for x in batch.column(0):
                 own = shingles(x.as_py() or "", width)
@@ -255,7 +281,9 @@ def lists(docs: DataFrame, counts: np.ndarray, width: int = WIDTH, percent: int
                 first = prefix(own, shared.value, percent)
                 key = int.from_bytes(sig[:8], "little", signed=True)
                 at = (len(own) << 32) | np.arange(len(first), dtype=np.int64)
-                parts.append((first.view(np.int64), np.full(len(first), key, np.int64), at))
+                n_parts = shared.value[cells(first)] // longest + 1
+                part = ((key & 0xFFFFFF) % n_parts + np.where(n_parts > 1, 1, 0)).astype(np.int32)
+                parts.append((first.view(np.int64), np.full(len(first), key, np.int64), at, part))
                 rows += len(first)
                 if rows > 200_000:
                     yield out()
@@ -264,17 +292,19 @@ def lists(docs: DataFrame, counts: np.ndarray, width: int = WIDTH, percent: int
                 yield out()
 
     def shared_only(batches):
-        """Rows come by h, from the leader on. Goes out: all members of lists of two different keys."""
+        """Rows come by h and part, from the leader on. Goes out: all members of parts of two different
+        keys, and of parts of lists that were cut."""
         lead, last, alone = (0, 0, 0), None, False
         for batch in batches:
-            h, key, at = (batch.column(i).to_numpy() for i in range(3))
+            h, key, at, part = (batch.column(i).to_numpy() for i in range(4))
             if not len(h):
                 continue
-            before = last if last is not None else (~h[0], 0)
-            old_h, old_key = np.append(before[0], h[:-1]), np.append(before[1], key[:-1])
-            new = (h != old_h) | (key != old_key)
-            last = h[-1], key[-1]
-            h, key, n, starts = h[new], key[new], at[new] >> 32, (h != old_h)[new]
+            before = last if last is not None else (~h[0], 0, 0)
+            old_h, old_key, old_part = (np.append(b, x[:-1]) for b, x in zip(before, (h, key, part), strict=True))
+            other = (h != old_h) | (part != old_part)
+            new = other | (key != old_key)
+            last = h[-1], key[-1], part[-1]
+            h, key, n, cut, starts = h[new], key[new], at[new] >> 32, part[new] > 0, other[new]
             if not len(h):
                 continue
             # row 0 is the leader of the list that the last batch ended with
@@ -283,17 +313,18 @@ def lists(docs: DataFrame, counts: np.ndarray, width: int = WIDTH, percent: int
             first = np.maximum.accumulate(np.where(starts, np.arange(len(h)), 0))
             go = ~starts
             go[:-1] |= starts[:-1] & ~starts[1:]
+            go[1:] |= cut
             if not alone:
                 go[0] = False
             lead = h[first[-1]], key[first[-1]], n[first[-1]]
-            alone = bool(starts[-1]) or (first[-1] == 0 and alone and not go[0])
+            alone = (bool(starts[-1]) and not go[-1]) or (first[-1] == 0 and alone and not go[0])
             if go.any():
                 columns = h[go], key[go], n[go], key[first][go], n[first][go]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "key", "n", "lead", "lead_n"])
 
-    rows = docs.select("text").mapInArrow(emit, "h long, key long, at long")
-    part = F.expr("(at & 4294967295L) / shiftright(at, 32)")
-    held = rows.repartition("h").sortWithinPartitions("h", part, "key")
+    rows = docs.select("text").mapInArrow(emit, "h long, key long, at long, part int")
+    share = F.expr("(at & 4294967295L) / shiftright(at, 32)")
+    held = rows.repartition("h", "part").sortWithinPartitions("h", "part", share, "key")
     return held.mapInArrow(shared_only, "h long, key long, n long, lead long, lead_n long")
 
 
@@ -331,77 +362,93 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int = WIDTH, percent: int =
     return rows.mapInArrow(run, f"u {kind}, v {kind}").distinct()
 
 
-def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def blocked(members: DataFrame, kept: list[str], weight: Column, most: int) -> DataFrame:
+    """Rows of groups g, once for every pair (i, j) of their group's blocks that theirs is in.
+
+    A group has as many blocks as its members' weights need, with most of them in each.
+    """
+    groups = members.groupBy("g").agg((F.floor((F.sum(weight) - 1) / most) + 1).alias("blocks"))
+    placed = members.join(groups, "g")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    return placed.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *kept)
+
+
+def mixed_lists(held: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """g, rep, n, c, first: the groups of lists whose members are of several components, with the members'
+    first shingles (32 bits of each) in such lists."""
+    rows = held.select("h", "key").distinct().join(known, "key").select("h", "rep", "n", "c")
+    of_list = rows.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("rep").alias("g"))
+    mixed = rows.join(of_list.filter("c0 < c1").drop("c0", "c1"), "h")
+    code = F.col("h").bitwiseAND(0x7FFFFFFF).cast("int")
+    of_rep = mixed.groupBy("rep").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.sort_array(F.collect_list(code)).alias("first"))
+    # What two sets of different components share among their first shingles are mixed lists of both; of the
+    # others, whichever set's first shingles end earlier has ceil(0.75 n) - 1 left. That bound is least where
+    # the partner is smallest or largest.
+    least = F.lit(percent / (100 + percent))
+    few = F.greatest("n0", percent * F.col("n") / 100)
+    many = F.least("n1", 100 * F.col("n") / percent)
+
+    def short_of(other: Column) -> Column:
+        return least * (F.col("n") + other) - percent * F.greatest(F.col("n"), other) / 100
+
+    groups = mixed.groupBy("rep", "g").agg(F.min(F.least(short_of(few), short_of(many))).alias("short"))
+    able = groups.join(of_rep, "rep").filter(F.size("first") + 1 >= F.col("short"))
+    return able.select("g", "rep", "n", "c", "first")
+
+
+def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK, split: int = SPLIT) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     docs = docs.select("doc_id", "text")
-    members, counts = classes(docs, width)
-    reps = members.filter("key is not null").groupBy("key", "sig").agg(F.min("doc_id").alias("rep"))
-    reps = materialize(reps, "jaccard-classes")
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    members, counts = classes(docs, scratch, width)
+    reps = members.filter("key is not null").groupBy("key", "sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    reps = scratch.write(reps, "classes")
     named = reps.filter("rep is not null").select("key", "rep")
-    held = materialize(lists(docs, counts, width, percent), "jaccard-lists")
+    held = scratch.write(lists(docs, counts, width, percent, split), "lists")
     near = percent * F.greatest("n", "lead_n") <= 100 * F.least("n", "lead_n")
     pairs = held.filter((F.col("key") != F.col("lead")) & near).select("lead", "key").distinct()
     pairs = pairs.join(named.select(F.col("key").alias("lead"), F.col("rep").alias("u")), "lead")
     pairs = pairs.join(named.withColumnRenamed("rep", "v"), "key").select("u", "v").filter("u <> v")
-    pairs = materialize(pairs.distinct(), "jaccard-pairs")
-    edges = materialize(verify(docs, pairs, width, percent), "jaccard-links")
-    found = connected(edges)
-
-    listed = held.groupBy("key", "n").agg(F.count("*").alias("listed")).join(named, "key")
-    first_n = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
-    most = F.least(F.col("n"), F.col("n") - first_n + F.col("listed"))
-    known = listed.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("key", "rep", most.alias("most"), F.coalesce("component", "rep").alias("c"))
-    known = materialize(known, "jaccard-known")
-    of_lead = known.select(F.col("key").alias("lead"), F.col("c").alias("lead_c"))
-    of_rep = held.select("h", "key", "n", "lead").join(small(known), "key").join(small(of_lead), "lead", "left")
-    odd = of_rep.filter(~F.col("c").eqNullSafe(F.col("lead_c"))).select("h").distinct()
-    odd = materialize(odd, "jaccard-odd")
-    of_rep = of_rep.join(small(odd), "h", "left_semi").select("h", "rep", "n", "most", "c")
-    list_ = Window.partitionBy("h")
-    smallest = F.greatest(F.min("n").over(list_), F.ceil(percent * F.col("n") / 100))
-    needed = F.ceil(percent * (F.col("n") + smallest) / (100 + percent))
-    able = of_rep.withColumn("needed", needed).filter("most >= needed")
-    several = F.min("c").over(list_) != F.max("c").over(list_)
-    mixed = able.withColumn("several", several).filter("several")
-    # What two sets of different components share among their first shingles are lists of both; of the
-    # others, whichever set's first shingles end earlier has ceil(0.75 n) - 1 left.
-    shared = F.count("*").over(Window.partitionBy("rep"))
-    least = F.lit(percent / (100 + percent))
-    few = F.greatest(F.min("n").over(list_), percent * F.col("n") / 100)
-    many = F.least(F.max("n").over(list_), 100 * F.col("n") / percent)
+    pairs = scratch.write(pairs.distinct(), "pairs")
+    edges = scratch.write(verify(docs, pairs, width, percent), "links")
+    found = connected(edges, scratch)
 
-    def short_of(other: Column) -> Column:
-        return least * (F.col("n") + other) - percent * F.greatest(F.col("n"), other) / 100
-
-    mixed = mixed.withColumn("shared", shared)
-    mixed = mixed.withColumn("short", F.least(short_of(few), short_of(many)))
-    mixed = mixed.filter("shared + 1 >= short").withColumn("several", several).filter("several")
-    mixed = mixed.select(F.min("rep").over(list_).alias("g"), "rep", "n", "c").distinct()
-    mixed = materialize(mixed, "jaccard-mixed")
+    known = reps.filter("rep is not null").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    known = known.select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    mixed = scratch.write(mixed_lists(held, known, percent), "mixed")
     if mixed.head(1):
-        alike = Window.partitionBy("g")
-        block = F.floor((F.row_number().over(alike.orderBy("n", "rep")) - 1) / BLOCK).cast("int")
-        blocks = F.floor((F.count("*").over(alike) - 1) / BLOCK).cast("int")
-        placed = mixed.select("g", "rep", "c", block.alias("block"), blocks.alias("last"))
-        texts = _texts(docs, placed.select(F.col("rep").alias("id")).distinct())
-        rows = placed.join(texts, placed["rep"] == texts["id"]).drop("id")
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
-        rows = rows.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "c", "block", "text")
-
-        def of_blocks(t: pa.Table) -> pa.Table:
-            sets = [shingles(x.as_py() or "", width) for x in t["text"]]
+        kind = docs.schema["doc_id"].dataType.simpleString()
+
+        def places(t: pa.Table) -> tuple:
             names = {x: k for k, x in enumerate(t["c"].unique().to_pylist())}
-            component = np.array([names[x] for x in t["c"].to_pylist()])
-            got = search_blocks(sets, component, t["block"].to_numpy(), percent)
+            return np.array([names[x] for x in t["c"].to_pylist()]), t["block"].to_numpy()
+
+        def of_first(t: pa.Table) -> pa.Table:
+            sets = [x.values.to_numpy() for x in t["first"]]
+            got = search_blocks(sets, *places(t), percent, t["n"].to_numpy())
+            chosen = pa.array(sorted({x for pair in got for x in pair}), pa.int64())
+            return t.select(["g", "rep", "c", "n"]).take(chosen)
+
+        rows = blocked(mixed, ["rep", "n", "c", "first"], F.size("first"), block)
+        able = rows.groupBy("g", "i", "j").applyInArrow(of_first, f"g {kind}, rep {kind}, c {kind}, n long")
+        able = scratch.write(able.distinct(), "able")
+        scratch.remove("mixed", "lists")
+
+        def of_sets(t: pa.Table) -> pa.Table:
+            sets = [shingles(x.as_py() or "", width) for x in t["text"]]
+            got = search_blocks(sets, *places(t), percent)
             u, v = ([p[k] for p in got] for k in (0, 1))
             reps = t["rep"].combine_chunks()
             return pa.table({"u": reps.take(pa.array(u, pa.int64())), "v": reps.take(pa.array(v, pa.int64()))})
 
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        more = rows.groupBy("g", "i", "j").applyInArrow(of_blocks, f"u {kind}, v {kind}")
-        edges = materialize(edges.unionByName(more.filter("u <> v")), "jaccard-links")
-        found = connected(edges)
+        rows = blocked(able, ["rep", "c"], F.col("n"), block)
+        texts = _texts(docs, able.select(F.col("rep").alias("id")).distinct()).withColumnRenamed("id", "rep")
+        more = rows.join(texts, "rep").groupBy("g", "i", "j").applyInArrow(of_sets, f"u {kind}, v {kind}")
+        more = scratch.write(more.filter("u <> v"), "more")
+        found = connected(edges.unionByName(more), scratch, "all")
+        scratch.remove("able", "more")
+    scratch.remove("pairs", "links")
 
     of_class = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select("key", "sig", F.coalesce("component", "rep").alias("component_id"))

@@ -304,11 +304,86 @@ def test_jaccard_of_many_near_copies(spark):
     assert got == root and len(set(root.values())) > 1
 
 
+def components(texts):
+    """By all pairs of texts (id, text)."""
+    sets = {}
+    for i, t in texts:
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    root = {i: i for i in sets}
+    for i in root:
+        for j in root:
+            if j < i:
+                o = len(sets[i] & sets[j])
+                if 100 * o >= 75 * len(sets[i] | sets[j]):
+                    a, b = root[i], root[j]
+                    root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    return root
+
+
+def linked(spark, texts, **parameters):
+    from conforma.llm import jaccard
+
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    return {r.doc_id: r.component_id for r in jaccard.link(docs, **parameters).collect()}
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_jaccard_in_many_blocks(spark, monkeypatch, seed):
+    """Families of copies around the threshold, in lists and groups that are cut into parts and blocks."""
+    from conforma.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    rng = np.random.default_rng(seed)
+    texts = []
+    for family in range(6):
+        base = [f"f{family}w{i}" if i % 3 else f"c{i}" for i in range(90)]
+        for _ in range(int(rng.integers(5, 25))):
+            own = list(base)
+            for k in rng.choice(90, int(rng.integers(0, 6)), replace=False):
+                own[k] = f"x{int(rng.integers(0, 60))}"
+            cut = int(rng.integers(0, 12))
+            texts.append((len(texts), " ".join(own[cut:] + [f"t{j}" for j in range(int(rng.integers(0, 20)))])))
+    want = components(texts)
+    assert 6 < len(set(want.values())) < len(texts)
+    assert linked(spark, texts, block=300, split=3) == want
+
+
+def test_jaccard_at_the_threshold_behind_a_longer_leader(spark):
+    """B and B with 25 more words are 75/100 similar; in their only common list a long text leads, and
+    what they share besides lies behind the other one's first shingles."""
+    texts = []
+    for k in range(12):
+        b = [f"k{k}b{i}" for i in range(79)]
+        a = b + [f"k{k}r{i}" for i in range(25)]
+        long = b[:5] + [f"k{k}l{i}" for i in range(400)]
+        n = len(texts)
+        texts += [(n, " ".join(long)), (n + 1, " ".join(b)), (n + 2, " ".join(a))]
+        for j in range(1, 70, 7):  # texts that make all of b's other shingles frequent
+            texts.append((n + 2 + j, " ".join(b[j : j + 12] + [f"k{k}j{j}f{i}" for i in range(60)])))
+        texts = sorted(texts)
+    texts = [(i, t) for i, (_, t) in enumerate(texts)]
+    want = components(texts)
+    assert linked(spark, texts) == want and len(set(want.values())) == len(texts) - 12
+
+
+def test_few_shared_first_shingles_suffice():
+    from conforma.llm import jaccard
+
+    for n in range(1, 60):
+        for m in range(n, 60):
+            need = -(-75 * (n + m) // 175)
+            if need <= n:
+                behind = -(-75 * m // 100) - 1
+                assert jaccard.least_shared(np.int64(n), np.int64(m)) <= max(1, need - behind)
+
+
 def test_components_of_a_long_path(spark):
+    from conforma.llm.common import Scratch
     from conforma.llm.components import connected
 
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 90), (90, 100)], "u long, v long")
-    got = {r.node: r.component for r in connected(edges).collect()}
+    got = {r.node: r.component for r in connected(edges, Scratch(spark, "test")).collect()}
     assert got == {**{i: 1 for i in range(1, 61)}, 90: 90, 100: 90}
 
 
