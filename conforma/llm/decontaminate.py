@@ -4,7 +4,9 @@ A phrase is a run of 13 consecutive words of a test item, or a shorter item as a
 takes its documents in shards of bounded size. A shard's words become symbols, where a run of words
 that no phrase has is one separator; over those the task builds an FM-index, searches all phrases
 backward through wavelet-tree ranks, locates the occurrences by sampled suffix positions and merges
-them into spans. Documents are never shuffled. Test items are searched in blocks of bounded size.
+them into spans. Documents are never shuffled. Test items are searched in blocks of bounded size, one
+block in a pass over the documents: a pass adds its spans to those of the passes before, which wrote them
+into the shared folder, so that no worker holds more than one block.
 
 Defined cases: a null or wordless text has no words, spans or items; a test item whose id or text is
 null, or without words, has no phrase; items of the same id count as one; repeated documents each
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, utf8
+from .common import Scratch, table, utf8
 from .fm_index import FMIndex
 
 WINDOW = 13
@@ -81,21 +83,22 @@ def _occurrences(shard: list[list[bytes]], phrases: Phrases) -> tuple[np.ndarray
     return phrase, kept[index.locate(first + np.arange(len(phrase)))]
 
 
-def _scan(shard: list[list[bytes]], blocks: list[Phrases]) -> Iterator[tuple[list, list]]:
-    """(spans, items) of each document of a shard."""
+def _scan(shard: list[list[bytes]], phrases: Phrases, before: list[tuple[list, list]]) -> Iterator[tuple[list, list]]:
+    """(spans, items) of each document of a shard, with those found before."""
     starts = np.concatenate([[0], np.cumsum([len(d) + 1 for d in shard])])
     change = np.zeros(starts[-1] + 1, np.int64)
-    items: list[set[str]] = [set() for _ in shard]
-    for phrases in blocks:
-        phrase, place = _occurrences(shard, phrases)
-        if not len(phrase):
-            continue
-        change += np.bincount(place, minlength=len(change))
-        change -= np.bincount(place + phrases.lengths[phrase], minlength=len(change))
-        doc = np.searchsorted(starts, place, "right") - 1
-        for d, p in np.unique(np.stack([doc, phrase], 1), axis=0):
-            own = phrases.owner[phrases.owner_start[p] : phrases.owner_start[p + 1]]
-            items[d].update(phrases.ids[o] for o in own)
+    items: list[set[str]] = [set(own) for _, own in before]
+    for start, (spans, _) in zip(starts, before, strict=False):
+        for x in spans:
+            change[start + x["start"]] += 1
+            change[start + x["end"]] -= 1
+    phrase, place = _occurrences(shard, phrases)
+    change += np.bincount(place, minlength=len(change))
+    change -= np.bincount(place + phrases.lengths[phrase], minlength=len(change))
+    doc = np.searchsorted(starts, place, "right") - 1
+    for d, p in np.unique(np.stack([doc, phrase], 1), axis=0):
+        own = phrases.owner[phrases.owner_start[p] : phrases.owner_start[p + 1]]
+        items[d].update(phrases.ids[o] for o in own)
     hit = np.diff(np.concatenate([[0], (np.cumsum(change) > 0).astype(np.int8), [0]]))
     begin, end = np.flatnonzero(hit == 1), np.flatnonzero(hit == -1)
     doc = np.searchsorted(starts, begin, "right") - 1
@@ -106,65 +109,79 @@ def _scan(shard: list[list[bytes]], blocks: list[Phrases]) -> Iterator[tuple[lis
         yield own, sorted(found)
 
 
-def decontaminate(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    keep: list[str] | None = None,
-    window: int = WINDOW,
-    shard_words: int = SHARD_WORDS,
-    block_bytes: int = BLOCK_BYTES,
-) -> DataFrame:
-    """docs' columns (or those in keep), n_words, spans (of words inside a phrase's occurrence) and
-    items (the ids of test items with such phrases)."""
-    spark = docs.sparkSession
-    tests = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"))
-    tests = tests.dropna()
-    size = tests.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).head()[0]
-    n_blocks = max(1, -(-size // block_bytes))
-    blocks = []
-    for b in range(n_blocks):
-        block = tests.filter(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == b)
-        phrases = Phrases([(r.i, r.t) for r in block.collect()], window)
-        blocks.append(spark.sparkContext.broadcast(phrases))
-    others = docs.drop("n_words", "spans", "items")
-    keep = [c for c in keep or others.columns if c in others.columns]
-    rows = others.select(*keep, F.col("text").alias("__text"))
-    schema = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep) + FOUND
+def _pass(rows: DataFrame, shared, shard_words: int, last: bool) -> DataFrame:
+    """rows, searched for a block of phrases; their text, __text, leaves with the last pass."""
+    kept = [c for c in rows.columns if c not in ("n_words", "spans", "items") and not (last and c == "__text")]
+    schema = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in kept) + FOUND
 
     def run(batches):
         out_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-        def flush(parts, shard):
-            found = list(_scan(shard, [b.value for b in blocks]))
-            kept = pa.Table.from_batches(parts).combine_chunks().to_batches()[0].columns if keep else []
+        def flush(parts, shard, before):
+            found = list(_scan(shard, shared.value, before))
+            own = pa.Table.from_batches(parts).combine_chunks().to_batches()[0].columns if kept else []
             return pa.RecordBatch.from_arrays(
                 [
-                    *kept,
+                    *own,
                     pa.array([len(d) for d in shard], pa.int64()),
                     pa.array([s for s, _ in found], out_type),
                     pa.array([i for _, i in found], pa.list_(pa.string())),
                 ],
-                names=[*keep, "n_words", "spans", "items"],
+                names=[*kept, "n_words", "spans", "items"],
             )
 
-        parts, shard, n = [], [], 0
+        parts, shard, before, n = [], [], [], 0
         for batch in batches:
-            texts, own = batch.column(len(keep)), batch.select(keep)
-            start = 0
+            texts, spans, items = (batch.column(c) for c in ("__text", "spans", "items"))
+            own, start = batch.select(kept), 0
             for i in range(batch.num_rows):
                 shard.append(words(texts[i].as_py() or ""))
+                before.append((spans[i].as_py() or [], items[i].as_py() or []))
                 n += len(shard[-1]) + 1
                 if n >= shard_words:
-                    yield flush([*parts, own.slice(start, i + 1 - start)], shard)
-                    parts, shard, n, start = [], [], 0, i + 1
+                    yield flush([*parts, own.slice(start, i + 1 - start)], shard, before)
+                    parts, shard, before, n, start = [], [], [], 0, i + 1
             if start < batch.num_rows:
                 parts.append(own.slice(start))
         if shard:
-            yield flush(parts, shard)
+            yield flush(parts, shard, before)
 
     return rows.mapInArrow(run, schema)
 
 
+def decontaminate(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    keep: list[str] | None = None,
+    window: int = WINDOW,
+    shard_words: int = SHARD_WORDS,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """docs' columns (or those in keep), n_words, spans (of words inside a phrase's occurrence) and
+    items (the ids of test items with such phrases)."""
+    spark = docs.sparkSession
+    tests = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"))
+    tests = tests.dropna()
+    size = tests.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).head()[0]
+    n_blocks = max(1, -(-size // block_bytes))
+    others = docs.drop("n_words", "spans", "items")
+    keep = [c for c in keep or others.columns if c in others.columns]
+    spans, items = (F.lit(None).cast(k) for k in ("array<struct<start: long, end: long>>", "array<string>"))
+    rows = others.select(*keep, F.col("text").alias("__text"), spans.alias("spans"), items.alias("items"))
+    scratch = Scratch(spark, "decontaminate") if n_blocks > 1 else None
+    for b in range(n_blocks):
+        block = tests.filter(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == b)
+        shared = spark.sparkContext.broadcast(Phrases([(r.i, r.t) for r in block.collect()], window))
+        last = b == n_blocks - 1
+        rows = _pass(rows, shared, shard_words, last)
+        if not last:
+            rows = scratch.write(rows, f"pass-{b}")
+            shared.destroy()
+            if b:
+                scratch.remove(f"pass-{b - 1}")
+    return rows
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns from spans and items."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.end - s.start)

@@ -24,6 +24,7 @@ from .common import id_remainder, table
 
 PROFILE = 400
 MAX_LANGUAGES = 5_000
+PARTS = 64  # of a language's n-grams, each with candidates for its profile
 UNKNOWN = "und"
 FOLD_POINTS = 0x20000  # letters beyond this (none that is cased) count as one letter
 
@@ -114,8 +115,12 @@ def learn(training: DataFrame, profile: int = PROFILE) -> DataFrame:
     rows = training.select(F.col("lang").cast("string"), "text").dropna()
     counted = rows.mapInArrow(count, "lang string, code long, n long")
     summed = counted.groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    part = F.pmod(F.xxhash64("code"), F.lit(PARTS))
+    of_part = F.row_number().over(Window.partitionBy("lang", "part").orderBy(F.desc("n"), "code"))
+    best = summed.withColumn("part", part).withColumn("place", of_part).filter(F.col("place") <= profile)
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
-    return summed.select("lang", "code", (place - 1).alias("rank")).filter(F.col("rank") < profile)
+    best = best.withColumn("place", place).filter(F.col("place") <= profile)
+    return best.select("lang", "code", (F.col("place") - 1).alias("rank"))
 
 
 class Profiles:
@@ -143,10 +148,10 @@ class Profiles:
 
 def identify(docs: DataFrame, profiles: DataFrame, profile: int = PROFILE) -> DataFrame:
     """All columns of docs, with lang_pred and score (1: the text has the profile's own order)."""
-    n = profiles.select("lang").distinct().count()
-    if n > MAX_LANGUAGES:
-        raise ValueError(f"{n} languages; at most {MAX_LANGUAGES} can be sent to every task")
-    model = Profiles([tuple(r) for r in profiles.collect()], profile)
+    rows = [tuple(r) for r in profiles.limit(MAX_LANGUAGES * profile + 1).collect()]
+    if len(rows) > MAX_LANGUAGES * profile:
+        raise ValueError(f"at most {MAX_LANGUAGES} languages' profiles can be sent to every task")
+    model = Profiles(rows, profile)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -171,12 +176,12 @@ def identify(docs: DataFrame, profiles: DataFrame, profile: int = PROFILE) -> Da
 def predict(docs: DataFrame, training: Column, profile: int = PROFILE) -> DataFrame:
     """identify() with profiles learned from the rows of docs where training holds."""
     learned = learn(docs.filter(training).select("text", "lang"), profile)
-    return identify(docs, learned.persist(), profile)
+    return identify(docs, learned, profile)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = id_remainder(4) == 2
-    learned = learn(docs.filter(~held_out).select("text", "lang")).persist()
+    learned = learn(docs.filter(~held_out).select("text", "lang"))
     found = identify(docs.select("doc_id", held_out.alias("held_out"), "text"), learned)
     return found.select("doc_id", "held_out", "lang_pred", "score")

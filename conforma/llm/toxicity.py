@@ -4,7 +4,7 @@ A word's input is its learned vector, if the vocabulary has it, next to the mean
 3-grams' vectors. Two gated recurrent layers, one in each direction, read windows of WINDOW words
 that overlap by half; attention pools their states, and a text scores as its highest window. The
 network is trained on the driver from a bounded sample of labelled rows: at most SAMPLE a label, the
-smallest hashes of ids, and at most SAMPLE_WINDOWS windows of each. In each pass a toxic text shows
+smallest hashes of ids, with all their windows. In each pass a toxic text shows
 the window that scores highest (the first time, the one with the most telling words), any other text
 that one and some more. Every window of every text is scored.
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_remainder, table
@@ -26,7 +26,6 @@ from .decontaminate import words as split_words
 WINDOW = 32
 STRIDE = 16
 SAMPLE = 1500
-SAMPLE_WINDOWS = 64
 VOCABULARY = 4096
 BUCKETS = 2048
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
@@ -246,12 +245,6 @@ def train(texts: list[list[bytes]], labels: np.ndarray, epochs: int = EPOCHS, se
 
     lengths = np.array([len(t) for t in texts], np.int64)
     places, text = windows(lengths)
-    order = rng.permutation(len(text))
-    nth = np.empty(len(text), np.int64)
-    by = np.argsort(text[order], kind="stable")
-    starts = np.searchsorted(text[order][by], np.arange(len(texts)))
-    nth[order[by]] = np.arange(len(text)) - starts[text[order][by]]
-    places, text = places[nth < SAMPLE_WINDOWS], text[nth < SAMPLE_WINDOWS]
     distinct = list(dict.fromkeys(w for t in texts for w in t))
     at = {w: i for i, w in enumerate(distinct)}
     flat = np.array([at[w] for t in texts for w in t], np.int64)
@@ -303,8 +296,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | N
     """Trains on at most sample labelled rows of either label."""
     known = labels.select("doc_id", "toxic").dropna()
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("place", place).filter(F.col("place") <= sample)
+    by_hash = known.orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = by_hash.filter("toxic").limit(sample).unionByName(by_hash.filter("not toxic").limit(sample))
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     rows = sorted((r.doc_id, r.toxic, split_words(r.text or "")) for r in texts.toLocalIterator())
     rows = [r for r in rows if r[2]]

@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conforma.llm import decontaminate, jaccard, langid, packing, pii
-from conforma.llm.common import id_remainder, materialize, shared_root, table
+from conforma.llm.common import Scratch, id_remainder, shared_root, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a recognised language go."""
-    learned = langid.learn(docs.filter(id_remainder(4) != 2).select("text", "lang")).persist()
+    learned = langid.learn(docs.filter(id_remainder(4) != 2).select("text", "lang"))
     found = langid.identify(docs, learned)
     return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
@@ -25,16 +25,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that of the smallest id.
 
-    Of rows of one id one stays; rows without an id stay all.
+    Of rows of one id the least one by its columns' values stays; rows without an id stay all.
     """
+    scratch = Scratch(spark, "near-duplicates")
     groups = jaccard.link(docs)
     stay = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    stay = materialize(stay, "pipeline-stay")
+    stay = scratch.write(stay, "stay")
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    repeated = materialize(repeated.select("doc_id"), "pipeline-repeated")
+    repeated = scratch.write(repeated.select("doc_id"), "repeated")
     named = docs.join(jaccard.small(stay), "doc_id", "left_semi")
     once = named.join(jaccard.small(repeated), "doc_id", "left_anti")
-    again = named.join(jaccard.small(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    again = named.join(jaccard.small(repeated), "doc_id", "left_semi")
+    again = again.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     rest = docs.filter(F.col("doc_id").isNull())
     return once.unionByName(again).unionByName(rest).select(*docs.columns)
 
