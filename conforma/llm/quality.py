@@ -2,9 +2,11 @@
 
 Every document gives a few counts. Documents that pass the base rules feed quantile sketches of four
 metrics, one for each language and source: counts of logarithmic buckets (a value is known to within
-GAMMA / 2), which merge by addition, so that groups with few documents fall back on their language's
-merged sketch, and then on that of all. From a sketch come quartiles and fences; documents join their
-group's fences and are kept if all metrics lie inside.
+GAMMA / 2), which merge by addition. A group's quantiles TAIL, one half and 1 - TAIL are drawn to its
+language's, and those to all documents', as if PRIOR documents of those were in the group, so that small
+groups lean on larger ones without a step. A fence lies REACH times as far beyond an outer quantile as
+that is from the middle. Documents join their group's fences and are kept if all metrics lie inside;
+a single symbol, repeated line or repeated window fails no document.
 
 Defined cases: a null or blank text has zero counts and fails; a null language or source is a group
 like any other; repeated documents each count and give a row; other columns are ignored; an empty
@@ -20,20 +22,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, utf8
+from .common import Scratch, table, utf8
 
 GAMMA = 1.04
 SMALLEST = 1e-3
-MIN_DOCS = 100
+PRIOR = 100
+TAIL = 0.1
 REACH = 3.0
 
-#: Metric: least spread between the quartiles that counts, and whether low values fail, too.
-METRICS = {
-    "word_length": (1.0, True),
-    "symbols": (0.06, False),
-    "dup_lines": (0.12, False),
-    "repeats": (0.1, False),
-}
+#: Metric: whether low values fail, too.
+METRICS = {"word_length": True, "symbols": False, "dup_lines": False, "repeats": False}
 
 SHINGLE = 8
 _BLANKS = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
@@ -106,13 +104,18 @@ def base_failed() -> Column:
     return (words < 20) | (100 * F.col("n_repeat_words") > 30 * words)
 
 
-def metrics() -> dict[str, Column]:
-    words = F.greatest(F.col("n_words"), F.lit(1))
+def metrics(spared: bool = False) -> dict[str, Column]:
+    """The metrics; if spared, without a single occurrence of what they count."""
+    words, one = F.greatest(F.col("n_words"), F.lit(1)), int(spared)
+
+    def without(count: str, least: int) -> Column:
+        return F.greatest(F.col(count) - least * one, F.lit(0))
+
     return {
         "word_length": F.col("word_chars") / words,
-        "symbols": F.col("n_symbols") / words,
-        "dup_lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-        "repeats": F.col("n_repeat_words") / words,
+        "symbols": without("n_symbols", 1) / words,
+        "dup_lines": without("n_dup_lines", 1) / F.greatest(F.col("n_lines"), F.lit(1)),
+        "repeats": without("n_repeat_words", 2 * SHINGLE) / words,
     }
 
 
@@ -131,8 +134,11 @@ def sketches(measured: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", "m.metric", "m.bucket").agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, metric, docs, q1, q3 of sketches merged by keys."""
+def quantiles(sketch: DataFrame, keys: list[str], tail: float = TAIL) -> DataFrame:
+    """keys, metric, docs and the quantiles low, mid and high of sketches merged by keys.
+
+    A window holds one sketch: some hundreds of buckets, however many documents they count.
+    """
     merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "metric")
     below = F.sum("n").over(group.orderBy("bucket"))
@@ -142,57 +148,50 @@ def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     placed = merged.select(
         *keys, "metric", value.alias("v"), below.alias("below"), F.sum("n").over(group).alias("docs")
     )
+    at = {"low": tail, "mid": 0.5, "high": 1 - tail}
     return placed.groupBy(*keys, "metric").agg(
         F.first("docs").alias("docs"),
-        F.min(F.when(F.col("below") >= 0.25 * F.col("docs"), F.col("v"))).alias("q1"),
-        F.min(F.when(F.col("below") >= 0.75 * F.col("docs"), F.col("v"))).alias("q3"),
+        *[F.min(F.when(F.col("below") >= p * F.col("docs"), F.col("v"))).alias(name) for name, p in at.items()],
     )
 
 
-def fences(sketch: DataFrame, min_docs: int = MIN_DOCS, reach: float = REACH) -> DataFrame:
-    """lang, source, and low_<metric> and high_<metric>, from the finest level with min_docs."""
-    fine = quartiles(sketch, ["lang", "source"])
-    by_lang = quartiles(sketch, ["lang"]).select(
-        F.col("lang").alias("lang_"), F.col("metric").alias("metric_"), F.struct("docs", "q1", "q3").alias("middle")
-    )
-    of_all = quartiles(sketch, []).select(
-        F.col("metric").alias("metric__"), F.struct("docs", "q1", "q3").alias("coarse")
-    )
-    joined = fine.join(
-        by_lang, F.col("lang").eqNullSafe(F.col("lang_")) & (F.col("metric") == F.col("metric_"))
-    ).join(of_all, F.col("metric") == F.col("metric__"))
-    own = F.struct("docs", "q1", "q3")
-    chosen = (
-        F.when(own["docs"] >= min_docs, own)
-        .when(F.col("middle.docs") >= min_docs, F.col("middle"))
-        .otherwise(F.col("coarse"))
-    )
-    rows = joined.select("lang", "source", "metric", chosen.alias("q"))
+def fences(sketch: DataFrame, prior: float = PRIOR, reach: float = REACH, tail: float = TAIL) -> DataFrame:
+    """lang, source, and low_<metric> and high_<metric>."""
+    names = ("low", "mid", "high")
+
+    def drawn(own: DataFrame, to: DataFrame, on: Column, keys: list[str]) -> DataFrame:
+        docs = F.col("docs").cast("double")
+        values = [((F.col(q) * docs + F.col(f"{q}_") * prior) / (docs + prior)).alias(q) for q in names]
+        return own.join(to.withColumnsRenamed({c: f"{c}_" for c in to.columns}), on).select(*keys, "metric", *values)
+
+    same = F.col("metric") == F.col("metric_")
+    of_lang = drawn(quantiles(sketch, ["lang"], tail), quantiles(sketch, [], tail), same, ["lang"])
+    same &= F.col("lang").eqNullSafe(F.col("lang_"))
+    rows = drawn(quantiles(sketch, ["lang", "source"], tail), of_lang, same, ["lang", "source"])
     out = []
-    for metric, (spread, both) in METRICS.items():
-        width = F.greatest(F.col("q.q3") - F.col("q.q1"), F.lit(spread)) * reach
+    for metric, both in METRICS.items():
         mine = F.col("metric") == metric
-        low = F.col("q.q1") - width if both else F.lit(-1.0)
+        low = F.col("low") - reach * (F.col("mid") - F.col("low")) if both else F.lit(-1.0)
         out.append(F.max(F.when(mine, low)).alias(f"low_{metric}"))
-        out.append(F.max(F.when(mine, F.col("q.q3") + width)).alias(f"high_{metric}"))
+        out.append(F.max(F.when(mine, F.col("high") + reach * (F.col("high") - F.col("mid")))).alias(f"high_{metric}"))
     return rows.groupBy("lang", "source").agg(*out)
 
 
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS, reach: float = REACH) -> DataFrame:
+def judge(docs: DataFrame, prior: float = PRIOR, reach: float = REACH) -> DataFrame:
     """doc_id, the counts, base_failed, kept and the fences that were applied.
 
     A group's fences are a row; Spark sends them to the tasks or, beyond its broadcast limit, splits
     a hot group's documents (adaptive skew join).
     """
-    measured = materialize(measure(docs), "quality")
+    measured = Scratch(docs.sparkSession, "quality").write(measure(docs), "counts")
     passed = measured.filter(~base_failed())
-    limits = fences(sketches(passed), min_docs, reach).select(
+    limits = fences(sketches(passed), prior, reach).select(
         F.col("lang").alias("lang_"), F.col("source").alias("source_"),
         *[f"{side}_{m}" for m in METRICS for side in ("low", "high")],
     )
     same = F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_"))
     inside = F.lit(True)
-    for name, value in metrics().items():
+    for name, value in metrics(spared=True).items():
         inside &= F.coalesce(value.between(F.col(f"low_{name}"), F.col(f"high_{name}")), F.lit(True))
     joined = measured.join(limits, same, "left").drop("lang_", "source_")
     failed = base_failed()

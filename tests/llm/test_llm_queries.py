@@ -173,7 +173,7 @@ def test_quality(spark, data):
     assert by[1]["kept"] and by[15]["n_repeat_words"] == 5000
 
 
-def test_sketch_quartiles(spark):
+def test_sketch_quantiles(spark):
     from conforma.llm import quality
     from pyspark.sql import functions as F
 
@@ -182,9 +182,67 @@ def test_sketch_quartiles(spark):
         (F.col("id") * 10).alias("word_chars"), F.lit(0).alias("n_symbols"), F.lit(0).alias("n_dup_lines"),
         F.lit(1).alias("n_lines"), F.lit(0).alias("n_repeat_words"),
     )
-    got = {r["metric"]: r for r in quality.quartiles(quality.sketches(df), ["lang", "source"]).collect()}
-    assert got["word_length"]["q1"] == pytest.approx(10, rel=quality.GAMMA - 1) and got["word_length"]["q3"] == pytest.approx(30, rel=quality.GAMMA - 1)
-    assert got["symbols"]["q3"] == 0
+    got = {r["metric"]: r for r in quality.quantiles(quality.sketches(df), ["lang", "source"]).collect()}
+    for name, want in (("low", 4), ("mid", 20), ("high", 36)):
+        assert got["word_length"][name] == pytest.approx(want, rel=quality.GAMMA - 1)
+    assert got["symbols"]["high"] == 0
+
+
+def quality_corpus():
+    """Clean texts of groups with different habits, and texts that only one metric's own fence rejects."""
+    rng = np.random.default_rng(8)
+    docs, odd = [], {}
+    for lang, source, n, base in (("en", "a", 300, 4), ("en", "b", 40, 5), ("de", "a", 120, 9), (None, "c", 7, 5)):
+        for _ in range(n):
+            words = ["".join(rng.choice(list("abcdefgh"), int(rng.integers(base - 2, base + 3)))) for _ in range(int(rng.integers(30, 60)))]
+            if source == "b" and rng.random() < 0.5:
+                words[3] += "#" * int(rng.integers(1, 5))
+            docs.append((" ".join(words), lang, source))
+    base = docs[0][0].split()
+    for kind, text in (
+        ("word_length", " ".join(w * 5 for w in base)), ("symbols", " ".join([*base, "$$$", "%%%", "###"])),
+        ("dup_lines", "\n".join([*(" ".join(base[i : i + 5]) for i in range(0, 40, 5)), *["same line"] * 4])),
+        ("repeats", " ".join([*base, *(x for i in range(100) for x in (f"u{i}",)), *base[:12]])),
+    ):
+        odd[len(docs)] = kind
+        docs.append((text, "en", "a"))
+    return docs, odd
+
+
+def test_quality_verdicts_are_those_of_exact_quantiles(spark):
+    from conforma.llm import quality as Q
+
+    docs, odd = quality_corpus()
+    df = spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "doc_id long, text string, lang string, source string")
+    rows = {r.doc_id: r for r in Q.judge(df).collect()}
+    counts = np.array([Q.counts(t) for t, *_ in docs], float)
+    n, lines = np.maximum(counts[:, 0], 1), np.maximum(counts[:, 5], 1)
+    units = {"word_length": (1, n, 0), "symbols": (2, n, 1), "dup_lines": (3, lines, 1), "repeats": (4, n, 16)}
+    failed = (counts[:, 0] < 20) | (100 * counts[:, 4] > 30 * counts[:, 0])
+    inside, sure = ~failed, np.ones(len(docs), bool)
+    for name, (column, over, unit) in units.items():
+        value, spared = counts[:, column] / over, np.maximum(counts[:, column] - unit, 0) / over
+        at = lambda keep, p: np.quantile(value[keep & ~failed], p, method="inverted_cdf")  # noqa: B023, E731
+        for i, (_, lang, source) in enumerate(docs):
+            own, of_lang = (np.array([d[1:k] == (lang, source)[: k - 1] for d in docs]) for k in (3, 2))
+            q = np.array([at(np.ones(len(docs), bool), p) for p in (0.1, 0.5, 0.9)])
+            for group in (of_lang, own):
+                size = (group & ~failed).sum()
+                q = (size * np.array([at(group, p) for p in (0.1, 0.5, 0.9)]) + Q.PRIOR * q) / (size + Q.PRIOR)
+            low = q[0] - Q.REACH * (q[1] - q[0]) if name == "word_length" else -1
+            high = q[2] + Q.REACH * (q[2] - q[1])
+            inside[i] &= low <= spared[i] <= high
+            error = (Q.GAMMA - 1) / 2 * ((1 + Q.REACH) * q[2] + Q.REACH * q[1])
+            sure[i] &= min(abs(spared[i] - low), abs(spared[i] - high)) > error or spared[i] == high == 0
+            if name == "word_length" or high > 0:
+                assert rows[i][f"high_{name}"] == pytest.approx(high, abs=error)
+    assert [bool(rows[i].kept) for i in np.flatnonzero(sure)] == inside[sure].tolist() and sure.mean() > 0.9
+    for i, kind in odd.items():
+        r = rows[i].asDict()
+        mine = {"word_length": r["word_chars"] / r["n_words"], "symbols": r["n_symbols"] / r["n_words"], "dup_lines": r["n_dup_lines"] / r["n_lines"], "repeats": r["n_repeat_words"] / r["n_words"]}
+        assert not r["base_failed"] and not r["kept"], kind
+        assert [k for k, v in mine.items() if v > r[f"high_{k}"]] == [kind]
+    assert np.mean([rows[i].kept for i in range(len(docs)) if i not in odd]) > 0.97
 
 
 def test_toxicity(spark, data):
