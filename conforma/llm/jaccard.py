@@ -365,13 +365,15 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int = WIDTH, percent: int =
 def blocked(members: DataFrame, kept: list[str], weight: Column, most: int) -> DataFrame:
     """Rows of groups g, once for every pair (i, j) of their group's blocks that theirs is in.
 
-    A group has as many blocks as its members' weights need, with most of them in each.
+    A group has as many blocks as its members' weights need, with most of them in each. Rows are dealt by
+    pairs of blocks, not by groups.
     """
     groups = members.groupBy("g").agg((F.floor((F.sum(weight) - 1) / most) + 1).alias("blocks"))
     placed = members.join(groups, "g")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    return placed.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *kept)
+    placed = placed.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *kept)
+    return placed.repartition("g", "i", "j")
 
 
 def mixed_lists(held: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -444,7 +446,8 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int
 
         rows = blocked(able, ["rep", "c"], F.col("n"), block)
         texts = _texts(docs, able.select(F.col("rep").alias("id")).distinct()).withColumnRenamed("id", "rep")
-        more = rows.join(texts, "rep").groupBy("g", "i", "j").applyInArrow(of_sets, f"u {kind}, v {kind}")
+        rows = rows.join(texts, "rep").repartition("g", "i", "j")
+        more = rows.groupBy("g", "i", "j").applyInArrow(of_sets, f"u {kind}, v {kind}")
         more = scratch.write(more.filter("u <> v"), "more")
         found = connected(edges.unionByName(more), scratch, "all")
         scratch.remove("able", "more")
