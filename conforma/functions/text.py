@@ -70,11 +70,12 @@ AUTOMATIC_NAME = (
 
 #: Blanks as Python's strip() sees them, for the ranges that occur in texts.
 BLANK = r"[\s   -     　]"
+BLANKS = " \t\n\x0b\f\r\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def strip(text: Column) -> Column:
     """Without blanks, no-break ones included, on both ends."""
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def blank(text: Column) -> Column:

@@ -270,6 +270,26 @@ def crowded(paragraphs: DataFrame) -> DataFrame:
     )
 
 
+def text_lines(paragraphs: DataFrame) -> DataFrame:
+    """F06 (typed capitals) and F07, lines in one pass and blocks in another."""
+    rows = scope(paragraphs, groups=True).withColumn("t", T.strip(F.col("text"))).filter("t <> ''")
+    outside = F.col("cell_ri").isNull() if "cell_ri" in rows.columns else F.lit(True)
+    length = F.char_length("t")
+    n = rows.filter(~F.col("titled") & outside).groupBy(*SHAPE).agg(F.count("*").alias("n"))
+    return union(
+        [
+            finding(n.filter(F.col("n") > PARAGRAPHS_MOST), "F07", "A", F.col("n")),
+            row_findings(
+                rows,
+                [
+                    ("F07", "A", outside & (length > LINE_MOST), length),
+                    ("F06", "A", T.all_caps(F.col("t")), None, F.substring("text", 1, 40)),
+                ],
+            ),
+        ]
+    )
+
+
 def shouted(paragraphs: DataFrame) -> DataFrame:
     """F06 for sentences in capitals, typed or inherited."""
     rows = scope(paragraphs, groups=True).filter(~T.blank(F.col("text")))

@@ -123,7 +123,7 @@ def cache_reuse(texts: DataFrame, manifest: DataFrame, files: DataFrame) -> Data
 def frame_rate(fraction: Column) -> Column:
     """'30000/1001' as a number; null without a denominator."""
     parts = F.split(fraction, "/")
-    return parts[0].cast("double") / F.nullif(F.coalesce(parts[1], F.lit("1")).cast("double"), F.lit(0.0))
+    return parts[0].cast("double") / F.nullif(F.coalesce(F.get(parts, F.lit(1)), F.lit("1")).cast("double"), F.lit(0.0))
 
 
 def slow_videos(videos: DataFrame) -> DataFrame:

@@ -67,10 +67,11 @@ def alt_shapes(documents: DataFrame) -> DataFrame:
     )
 
 
-def shapes(lineitem: DataFrame) -> DataFrame:
-    """Boxes of all items. An order's items are numbered over all their columns, as keys repeat."""
+def shapes(lineitem: DataFrame, *more: str) -> DataFrame:
+    """Boxes of all items, in the order of their dates, with more columns of the items. An order's items
+    are numbered over all their columns, as keys repeat."""
     order = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"
+        "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
     )
     q = F.col("l_quantity").cast("long")
     return lineitem.select(
@@ -90,8 +91,9 @@ def shapes(lineitem: DataFrame) -> DataFrame:
         (q * 120_000 + 100_000).alias("cx"),
         (F.pmod(F.col("l_partkey"), F.lit(40)) * 100_000 + 150_000).alias("cy"),
         (F.col("l_linestatus") == "O").alias("has_link"),
-        F.lit(8).alias("n_children"),
-        F.lit("").alias("alt"),
+        F.pmod(q, F.lit(10)).alias("n_children"),
+        F.when(F.col("l_returnflag") == "R", "Totals of the year").otherwise("").alias("alt"),
+        *more,
     )
 
 
@@ -161,6 +163,16 @@ def page_links(pages: DataFrame) -> DataFrame:
     )
 
 
+def page_items(pages: DataFrame) -> DataFrame:
+    """List items of all pages as paragraphs that begin with a dash; some have a native bullet, too."""
+    found = F.regexp_extract_all("html", F.lit('<li><a href="[^"]*">([^<]*)</a>'), 1)
+    rows = pages.select(F.lit("site").alias("deck_id"), F.col("page_id").alias("slide_no"), F.posexplode(found).alias("para_ord", "t"))
+    return rows.select(
+        "deck_id", "slide_no", "para_ord", F.lit(0).alias("shape_ord"), F.lit(0).alias("depth"), F.lit(None).cast("int").alias("cell_ri"),
+        F.concat(F.lit("- "), "t").alias("text"), F.when(F.char_length("t") % 3 == 0, "buChar").alias("bullet"),
+    )
+
+
 def page_decks(pages: DataFrame) -> DataFrame:
     lang = F.nullif(F.regexp_extract("html", r'<html[^>]*lang="([^"]*)"', 1), F.lit(""))
     title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
@@ -168,10 +180,10 @@ def page_decks(pages: DataFrame) -> DataFrame:
         F.col("page_id").cast("string").alias("deck_id"),
         title.alias("title"),
         lang.alias("language"),
-        F.lit("").alias("author"),
+        F.when(F.col("html").contains('class="ad"'), " User ").otherwise(F.regexp_extract("html", '<a href="[^"]*">([^<]*)</a>', 1)).alias("author"),
         F.when(F.pmod("page_id", F.lit(10)) == 0, title).otherwise(F.concat(F.lit("deck "), F.col("page_id").cast("string"))).alias("stem"),
-        F.lit(4).alias("slide_w"),
-        F.when(F.pmod("page_id", F.lit(2)) == 0, 3).otherwise(0).alias("slide_h"),
+        (F.char_length(title) * 4).alias("slide_w"),
+        (F.char_length("url") % 8 * 9).alias("slide_h"),
     )
 
 

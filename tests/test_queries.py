@@ -7,7 +7,7 @@ import pytest
 from conforma.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents pages conversations lineitem part nation".split()
+TABLES = "documents pages conversations lineitem part nation orders supplier customer events".split()
 
 
 @pytest.fixture(scope="module")
