@@ -379,7 +379,7 @@ def report_labels(spark, sf):
 @query(
     """
 WITH d AS (SELECT CAST(page_id AS VARCHAR) AS deck_id, page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, coalesce(regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1), '') AS lang FROM pages),
-f AS (SELECT deck_id, 'A01' AS rule, trim(title) AS detail FROM d WHERE trim(title) = '' OR page_id % 10 = 0 UNION ALL SELECT deck_id, 'A02', lang FROM d WHERE NOT starts_with(lower(trim(lang)), 'en'))
+f AS (SELECT deck_id, 'A01' AS rule, trim(title) AS detail FROM d WHERE trim(title) = '' OR (page_id % 10 = 0 AND trim(title) = title) UNION ALL SELECT deck_id, 'A02', lang FROM d WHERE NOT starts_with(lower(trim(lang)), 'en'))
 SELECT deck_id, '| rule | severity | verdict | slide | detail |' || chr(10) || '| - | - | - | - | - |' || chr(10) ||
   string_agg('| ' || rule || ' | E | fail |  | ' || replace(detail, '|', '\\|') || ' |', chr(10) ORDER BY rule) AS markdown FROM f GROUP BY deck_id"""
 )
