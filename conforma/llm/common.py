@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,3 +132,47 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
         for i in range(width):
             key = mix64(key * np.uint64(31) + words[i : i + n])
     return key
+
+
+CELL_CHUNK = 1 << 14
+
+
+def pack_cells(counts: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Chunks' numbers and compressed counts of a task's table of hashed counts; empty chunks are left out."""
+    parts = counts.astype("<i8").reshape(-1, CELL_CHUNK)
+    used = [i for i, p in enumerate(parts) if p.any()]
+    return used, [zlib.compress(parts[i].tobytes(), 1) for i in used]
+
+
+def merged_cells(rows: DataFrame, cells: int) -> np.ndarray:
+    """The sum of packed tables (chunk, counts) of all tasks: a table of fixed size."""
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(CELL_CHUNK, np.int64)
+        for x in t["counts"]:
+            total += np.frombuffer(zlib.decompress(x.as_py()), "<i8")
+        return pa.table({"chunk": t["chunk"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    merged = rows.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").toArrow()
+    counts = np.zeros(cells, np.int64)
+    for i, x in zip(merged["chunk"].to_pylist(), merged["counts"].to_pylist(), strict=True):
+        counts[i * CELL_CHUNK : (i + 1) * CELL_CHUNK] = np.frombuffer(x, "<i8")
+    return counts
+
+
+def binaries(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Consecutive runs of values as binary items."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]) * values.itemsize
+    return pa.Array.from_buffers(
+        pa.binary(), len(lengths), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))]
+    )
+
+
+def unpacked(items: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of binary items, one after the other, and how many each has."""
+    offsets = np.frombuffer(items.buffers()[1], np.int32)[items.offset : items.offset + len(items) + 1]
+    data = items.buffers()[2]
+    if not len(items) or data is None:
+        return np.empty(0, kind), np.zeros(len(items), np.int64)
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    return raw.view(kind), np.diff(offsets).astype(np.int64) // np.dtype(kind).itemsize

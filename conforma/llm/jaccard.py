@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import zlib
 from bisect import bisect_left
 from collections import Counter
 
@@ -36,13 +35,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, shingle_hashes, table, utf8, word_hashes
+from .common import Scratch, merged_cells, pack_cells, shingle_hashes, table, utf8, word_hashes
 from .components import connected
 
 WIDTH = 5
 PERCENT = 75
 CELLS = 1 << 20
-CHUNK = 1 << 14
 BLOCK = 1 << 19  # shingles of a block's documents
 SPLIT = 1 << 16  # rows of an inverted list in one task
 BROADCAST_ROWS = 1_000_000  # candidates' ids, 16 bytes each
@@ -220,9 +218,7 @@ def classes(docs: DataFrame, scratch: Scratch, width: int = WIDTH) -> tuple[Data
                 names=["doc_id", "n", "key", "sig", "chunk", "counts"],
             )
         if id_type is not None:
-            parts = counts.astype("<i8").reshape(-1, CHUNK)
-            used = [i for i, p in enumerate(parts) if p.any()]
-            packed = [zlib.compress(parts[i].tobytes(), 1) for i in used]
+            used, packed = pack_cells(counts)
             k = len(used)
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()),
@@ -233,17 +229,7 @@ def classes(docs: DataFrame, scratch: Scratch, width: int = WIDTH) -> tuple[Data
     schema = f"doc_id {kind}, n long, key long, sig binary, chunk int, counts binary"
     both = scratch.write(rows.mapInArrow(run, schema), "documents")
 
-    def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(CHUNK, np.int64)
-        for x in t["counts"]:
-            total += np.frombuffer(zlib.decompress(x.as_py()), "<i8")
-        return pa.table({"chunk": t["chunk"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    merged = both.filter("chunk is not null").select("chunk", "counts")
-    merged = merged.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").toArrow()
-    counts = np.zeros(CELLS, np.int64)
-    for i, x in zip(merged["chunk"].to_pylist(), merged["counts"].to_pylist(), strict=True):
-        counts[i * CHUNK : (i + 1) * CHUNK] = np.frombuffer(x, "<i8")
+    counts = merged_cells(both.filter("chunk is not null").select("chunk", "counts"), CELLS)
     return both.filter("chunk is null").select("doc_id", "n", "key", "sig"), counts
 
 

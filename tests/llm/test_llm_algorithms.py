@@ -258,12 +258,47 @@ def test_network_learns_words():
 
 
 def test_seating():
-    rng = np.random.default_rng(0)
     c = np.array([0, 1, 5, 1000, 10**6])
-    t = pitman_yor.seat(c, np.full(5, 3.0), 0.5, rng)
+    t = pitman_yor.seat(c, np.full(5, 3.0), 0.5, pitman_yor.seeds(np.arange(5), 0))
     assert t[0] == 0 and t[1] == 1 and (t <= c).all() and t[4] > t[3] > 1
 
 
+def test_seating_is_that_of_the_restaurant():
+    """The mean number of tables of 24 customers, against the rule sampled one by one."""
+    rng = np.random.default_rng(5)
+    n, new, d = 4000, 2.0, 0.4
+    got = pitman_yor.seat(np.full(n, 24), np.full(n, new), d, pitman_yor.seeds(np.arange(n), 3))
+    want = []
+    for _ in range(n):
+        t = 1
+        for s in range(1, 24):
+            t += rng.random() < new / (new + s - d * t)
+        want.append(t)
+    assert got.mean() == pytest.approx(np.mean(want), rel=0.03) and got.std() == pytest.approx(np.std(want), rel=0.1)
+
+
+def test_predictions_sum_to_one():
+    """In each context, over all words of training; the rest is what spelling leaves to other words."""
+    words = [b"the", b"cat", b"sat", b"mat", pitman_yor.END]
+    rng = np.random.default_rng(2)
+    context = np.tile(np.array([32, 97, 300]), len(words)).astype(np.int64)
+    owner = np.repeat(np.arange(len(words)), 3)
+    counts = rng.integers(0, 30, len(owner))
+    P = pitman_yor
+    model = P.Model(np.bincount(context, counts, P.CONTEXTS).astype(np.int64), 0.7, 0.4, [])
+    for turn in range(3):
+        *_, (tables, customers, word_tables, _) = P.gibbs(words, owner, context, counts, model)
+        keys, n = P.spell_counts(words[:4], word_tables[:4])
+        model.samples.append(P.Sample(np.bincount(context, tables, P.CONTEXTS).astype(np.int64), customers.sum(), word_tables.sum(), P.seat_bytes(keys, n, 3, turn)))
+        assert ((tables > 0) == (counts > 0)).all() and (tables <= counts).all() and (word_tables <= customers).all()
+    for s, (*_, p) in zip(model.samples, P.gibbs(words, owner, context, counts, model, last=True)):
+        unseen = 1 - np.exp(P.base_logs(words, s.spelling)).sum()
+        parent = (P.THETA_WORD + 0.4 * s.word_tables) / (P.THETA_WORD + s.words) * unseen
+        for k in (32, 97, 300):
+            rest = (P.THETA_CONTEXT + 0.7 * s.tables[k]) / (P.THETA_CONTEXT + model.customers[k]) * parent
+            assert p[context == k].sum() + rest == pytest.approx(1)
+
+
 def test_spelling_sums_to_one():
     words = [b"the", b"then", b"a", b"ab"]
     keys, n = pitman_yor.spell_counts(words, np.array([3, 1, 2, 1]))

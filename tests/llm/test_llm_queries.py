@@ -270,14 +270,40 @@ def test_pitman_yor(spark, data):
         assert r["base_score"] == pytest.approx(base)
 
 
-def test_pitman_yor_outcomes_sum_to_one(spark):
+def prose_scores(spark, partitions, block_tokens, arrow=10_000):
     from conforma.llm import pitman_yor
     from pyspark.sql import functions as F
 
-    docs = spark.createDataFrame([(1, "a b b c"), (2, "b d"), *[(3 + i, w) for i, w in enumerate(["a", "b", "c", "d", "zz", ""])]], "doc_id long, text string")
-    got = {r.doc_id: r.score for r in pitman_yor.score(docs, F.col("doc_id") > 2).collect()}
-    end = got[8]
-    assert sum(10 ** (got[i] - end) for i in range(3, 8)) + 10**end == pytest.approx(1, abs=1e-6)
+    rng = np.random.default_rng(12)
+    follow = {w: list(rng.choice(PROSE, 3)) for w in PROSE}
+
+    def walk(n):
+        out = [str(rng.choice(PROSE))]
+        while len(out) < n:
+            out.append(str(rng.choice(follow[out[-1]])))
+        return out
+
+    docs = [(i, " ".join(walk(60))) for i in range(200)]
+    held = [walk(40) for _ in range(10)]
+    docs += [(1000 + i, " ".join(w)) for i, w in enumerate(held)]
+    docs += [(2000 + i, " ".join(rng.permutation(w))) for i, w in enumerate(held)]
+    docs += [(3000 + i, " ".join("".join(rng.choice(list("qxzjkvw#%19"), 7)) for _ in range(40))) for i in range(10)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(partitions)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", arrow)
+    try:
+        rows = pitman_yor.score(df, F.col("doc_id") >= 1000, block_tokens).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    return {r.doc_id: r.score for r in rows}
+
+
+def test_pitman_yor_ranks_held_out_texts(spark):
+    """Prose above the same words in any order, and both above junk, whatever the partitions and blocks."""
+    got = prose_scores(spark, 2, 1 << 20)
+    for i in range(10):
+        assert got[1000 + i] > got[2000 + i] > got[3000 + i]
+    other = prose_scores(spark, 7, 700, 13)
+    assert all(other[i] == pytest.approx(x, rel=1e-6) for i, x in got.items())
 
 
 def test_licences(spark, data):
