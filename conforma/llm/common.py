@@ -31,18 +31,6 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once into the shared folder and reads it back.
-
-    Unlike ``checkpoint()`` it computes the plan once, keeps the columns prunable and, like it,
-    survives the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class Scratch:
     """A run's intermediate tables in the shared folder; what later plans don't read is removed early."""
 

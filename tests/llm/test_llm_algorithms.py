@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -362,6 +363,32 @@ def test_compact_windows_are_those_of_all_subsequences():
             assert got[c][0] <= i and j <= got[c][1]
 
 
+def test_compact_windows_of_repeats():
+    """Equal least hashes are one node: every subsequence's least hash has a window around it, in linear time."""
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        h = rng.integers(0, 4, 40).astype(np.uint64)
+        got = passages.compact_windows(h, 5)
+        for i in range(40):
+            for j in range(i + 4, 40):
+                assert any(low <= i and j <= high and h[c] == h[i : j + 1].min() for low, c, high in got)
+    assert passages.compact_windows(np.zeros(200_000, np.uint64), 46) == [(0, 0, 199_999)]
+
+
+def test_groups_are_paired_the_same_in_any_batches():
+    rng = np.random.default_rng(3)
+    rows = sorted((int(k), int(d), i) for i, (k, d) in enumerate(zip(rng.integers(0, 12, 200), rng.integers(0, 9, 200))))
+    want = set()
+    for key, doc, l in rows:
+        docs = sorted({d for k, d, _ in rows if k == key})
+        want |= {(doc, s, l) for s in {docs[0], docs[max(0, docs.index(doc) - 1)]} - {doc}}
+    table = pa.table({"key": [r[0] for r in rows], "doc": [r[1] for r in rows], "l": pa.array([r[2] for r in rows], pa.int32()), "r": pa.array([r[2] for r in rows], pa.int32())})
+    table = table.append_column("source", pa.nulls(200, pa.int64())).append_column("sl", pa.nulls(200, pa.int32())).append_column("sr", pa.nulls(200, pa.int32()))
+    for size in (1, 3, 50, 200):
+        got = [r for b in passages.of_groups(table.to_batches(size)) for r in b.to_pylist()]
+        assert {(r["doc"], r["source"], r["l"]) for r in got} == want and len(got) == len(want)
+
+
 def test_passages_with_an_edit():
     rng = np.random.default_rng(2)
     own = rng.integers(0, 2**62, 200).astype(np.uint64)

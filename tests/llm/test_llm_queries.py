@@ -480,6 +480,40 @@ def test_passages(spark, data):
     assert not {d for d, _ in got} & {4, 8, 9, 11, 16}
 
 
+def test_passages_against_all_pairs(spark):
+    """Families of edited passages among other words and lines that recur everywhere: at least nine in ten of the
+    documents that a comparison of all pairs of texts finds, and nothing that isn't similar."""
+    from conforma.llm import passages
+
+    rng = np.random.default_rng(21)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    lines = [word(20) for _ in range(4)]
+    texts = []
+    for _ in range(30):
+        base = word(int(rng.integers(52, 120)))
+        for _ in range(int(rng.integers(2, 5))):
+            own = list(base)
+            for k in rng.choice(len(own), int(rng.integers(0, 4)), replace=False):
+                own[k] = word(1)[0]
+            texts.append([*word(int(rng.integers(0, 80))), *lines[int(rng.integers(0, 4))], *own, *word(int(rng.integers(0, 80)))])
+    texts += [[*word(60), *lines[i % 4], *word(60)] for i in range(20)]
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    want = set()
+    sets = [passages.text_shingles(" ".join(t)) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if passages.passages(sets[i], sets[j], 46):
+                want.add(i)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    found = passages.repeats(df).collect()
+    for r in found:
+        a, b = texts[r.doc_id][r.start : r.end], texts[r.source_id][r.source_start : r.source_end]
+        a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (a, b))
+        assert r.source_id < r.doc_id and r.end - r.start >= 50 and len(a & b) >= 0.75 * len(a | b)
+    got = {r.doc_id for r in found}
+    assert len(got & want) >= 0.9 * len(want) and len(want) > 40
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline as P
 
