@@ -489,7 +489,7 @@ def test_passages_against_all_pairs(spark):
     word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
     lines = [word(20) for _ in range(4)]
     texts = []
-    for _ in range(30):
+    for _ in range(45):
         base = word(int(rng.integers(52, 120)))
         for _ in range(int(rng.integers(2, 5))):
             own = list(base)
