@@ -7,8 +7,9 @@ a softmax regression over them tells licence families from the unknown class. It
 driver from the templates (with words dropped and other words around) and a bounded sample of the
 documents' own lines, of BACKGROUND, as unknown; its temperature and the least probability of a known
 family are set on variants and lines left out. A prediction counts if its line or paragraph also has CONFIRM
-of the 2-grams of one of that family's templates. Scoring is one scan: explode, broadcast joins with
-the templates' n-grams and their weights, sums by line and paragraph. n_paragraphs counts filled lines.
+of the 2-grams of one of that family's templates. Texts without any of the words that every confirmed
+paragraph has one of (`telling`) have no licence; all others are scored by explode, broadcast joins with
+the templates' n-grams and their weights, and sums by line and paragraph. n_paragraphs counts filled lines.
 
 Defined cases: a null or empty text has no paragraphs and no licence; repeated documents each give a
 row; equal probabilities go to the smaller family name; other columns are ignored; an empty table gives
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -180,11 +183,11 @@ def lines(text: Column) -> Column:
 def background(docs: DataFrame, n: int = BACKGROUND) -> list[str]:
     """The beginnings of the lines with the n smallest hashes: the unknown class's training sample.
 
-    The hashes alone are ranked first, so that no task sends n lines.
+    The distinct hashes alone are ranked first, so that no task sends n lines and no line counts twice.
     """
     rows = docs.select(F.explode(lines(F.col("text"))).alias("x")).filter(F.length("x") > 20)
     rows = rows.select(F.substring("x", 1, 400).alias("x"), F.xxhash64("x").alias("h"))
-    last = rows.select("h").orderBy("h").limit(n).agg(F.max("h")).head()[0]
+    last = rows.select("h").distinct().orderBy("h").limit(n).agg(F.max("h")).head()[0]
     chosen = rows.filter(F.col("h") <= F.lit(last)).distinct() if last is not None else rows.limit(0)
     return [r.x for r in chosen.orderBy("h", "x").collect()]
 
@@ -226,7 +229,13 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
 
     filled = F.size(F.filter(lines(F.col("text")), lambda x: F.trim(x) != ""))
     runs = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), MARKS, ""), BETWEEN)
-    text = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), filled.alias("n_paragraphs"), runs.alias("runs"))
+    whole_text = F.lower(F.coalesce("text", F.lit("")))
+    told = reduce(or_, [F.contains(whole_text, F.lit(w)) for w in telling()])
+    silent = docs.filter(~told).select(
+        "doc_id", filled.cast("long").alias("n_paragraphs"), F.lit(0).cast("long").alias("n_licensed"),
+        F.array().cast("array<string>").alias("families"), F.lit(None).cast("double").alias("probability"),
+    )
+    text = docs.filter(told).select("doc_id", F.monotonically_increasing_id().alias("row"), filled.alias("n_paragraphs"), runs.alias("runs"))
     each = text.select("doc_id", "row", "n_paragraphs", F.posexplode("runs").alias("par", "run"))
 
     def words(line: Column, i: Column) -> Column:
@@ -281,7 +290,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))).alias("families"),
         F.max("p").alias("probability"),
     )
-    return out.drop("row")
+    return out.drop("row").unionByName(silent)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
