@@ -20,8 +20,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -132,17 +130,17 @@ def train(background: list[str], seed: int = 3) -> Model:
     rows, labels = [], []
     lines = [tokens(x) for x in background]
     lines = [w for w in lines if all(len(p & grams(w)) < 0.5 * len(p) for p in pairs)]
-    filler = [w for line in lines for w in line] or ["text"]
+    filler = np.array([w for line in lines for w in line] or ["text"])
     for y, words in templates:
         for _ in range(VARIANTS):
             kept = [w for w in words if rng.random() > 0.06]
-            a, b = (list(rng.choice(filler, int(rng.integers(0, 12)))) for _ in range(2))
+            a, b = (rng.choice(filler, int(rng.integers(0, 12))).tolist() for _ in range(2))
             rows.append(grams([*a, *kept, *b]))
             labels.append(y)
         for _ in range(VARIANTS // 2):  # a few of a template's words are no licence
             n = max(2, len(words) // 4)
             at = int(rng.integers(0, len(words) - n + 1))
-            rows.append(grams([*rng.choice(filler, 6), *words[at : at + n], *rng.choice(filler, 6)]))
+            rows.append(grams([*rng.choice(filler, 6).tolist(), *words[at : at + n], *rng.choice(filler, 6).tolist()]))
             labels.append(0)
     rows += [grams(w) for w in lines]
     labels += [0] * len(lines)
@@ -229,13 +227,9 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
 
     filled = F.size(F.filter(lines(F.col("text")), lambda x: F.trim(x) != ""))
     runs = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), MARKS, ""), BETWEEN)
-    whole_text = F.lower(F.coalesce("text", F.lit("")))
-    told = reduce(or_, [F.contains(whole_text, F.lit(w)) for w in telling()])
-    silent = docs.filter(~told).select(
-        "doc_id", filled.cast("long").alias("n_paragraphs"), F.lit(0).cast("long").alias("n_licensed"),
-        F.array().cast("array<string>").alias("families"), F.lit(None).cast("double").alias("probability"),
-    )
-    text = docs.filter(told).select("doc_id", F.monotonically_increasing_id().alias("row"), filled.alias("n_paragraphs"), runs.alias("runs"))
+    told = F.lower(F.coalesce("text", F.lit(""))).rlike("|".join(telling()))
+    runs = F.when(told, runs).otherwise(F.array(F.lit("")))
+    text = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), filled.alias("n_paragraphs"), runs.alias("runs"))
     each = text.select("doc_id", "row", "n_paragraphs", F.posexplode("runs").alias("par", "run"))
 
     def words(line: Column, i: Column) -> Column:
@@ -290,7 +284,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))).alias("families"),
         F.max("p").alias("probability"),
     )
-    return out.drop("row").unionByName(silent)
+    return out.drop("row")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
