@@ -41,7 +41,7 @@ from .components import connected
 WIDTH = 5
 PERCENT = 75
 CELLS = 1 << 20
-BLOCK = 1 << 19  # shingles of a block's documents
+BLOCK = 1 << 18  # shingles of a block's documents
 SPLIT = 1 << 16  # rows of an inverted list in one task
 BROADCAST_ROWS = 1_000_000  # candidates' ids, 16 bytes each
 
