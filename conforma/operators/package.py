@@ -130,6 +130,13 @@ def text_parity(versions: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
+def alone(versions: DataFrame) -> DataFrame:
+    """O01, O02 unverified: packages of one file have nothing to be compared with."""
+    one = versions.groupBy("package_id").agg(F.count("*").alias("n"), F.min("deck_id").alias("deck_id")).filter("n = 1")
+    rows = [package_finding(one, rule, "E", F.lit(None), F.lit("one file"), "unverified") for rule in ("O01", "O02")]
+    return rows[0].unionByName(rows[1])
+
+
 def resource_parity(versions: DataFrame, counts: DataFrame) -> DataFrame:
     """Numbers of a kind of resource differ on a slide (absent: 0)."""
     held = pairs(versions).filter("same").select("package_id", "base_id", "deck_id")

@@ -132,6 +132,8 @@ def test_parity_of_versions(spark):
     assert sorted(r.deck_id for r in package.declared_resources(v, counts).collect()) == ["b", "c"]
     assert [(r.rule, r.detail) for r in package.resource_parity(v, counts).collect()] == [("O02", "audio")]
     assert [r.deck_id for r in package.title_marks(v).collect()] == ["c"]
+    one = spark.createDataFrame([("q", "completo", 0, "e", "Aula", 2)], v.schema).unionByName(v)
+    assert sorted((r.package_id, r.rule, r.verdict) for r in package.alone(one).collect()) == [("q", "O01", "unverified"), ("q", "O02", "unverified")]
 
 
 def test_key_message_and_hash(spark):
