@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -152,6 +153,29 @@ def test_language(spark, data):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def held_out(spark, sf, name, truth, column):
+    """(truth, result) of the query's held-out rows on a test table; rows without a truth are left out."""
+    path = Path("/root/testdata") / sf
+    if not path.exists():
+        pytest.skip("no test tables")
+    known = spark.read.parquet(f"{path}/{truth}.parquet").select("doc_id", column).dropna()
+    rows = Q.queries()[name](spark, str(path)).filter("held_out").join(known, "doc_id").collect()
+    assert rows
+    return rows
+
+
+def test_language_of_held_out_texts(spark):
+    rows = held_out(spark, "sf0.01", "op3_language", "documents", "lang")
+    assert sum(r.lang == r.lang_pred for r in rows) >= 0.98 * len(rows)
+
+
+def test_toxicity_of_held_out_texts(spark):
+    """Of toxic texts four fifths are found, of others at most one in twenty is taken for one."""
+    rows = held_out(spark, "sf0.1", "op6_toxicity", "labels", "toxic")
+    found, false = ([r.predicted for r in rows if bool(r.toxic) == kind] for kind in (True, False))
+    assert sum(found) >= 0.8 * len(found) and sum(false) <= 0.05 * len(false)
+
+
 def test_pii(spark, data):
     got = {r["doc_id"]: r for r in collect(spark, data, "op4_pii")}
     assert got[8]["text"] is None and got[9]["text"] == "" and got[1]["text"] == rows()[0][0][1]
@@ -333,6 +357,60 @@ def test_wrapped_licences(spark):
     assert {r.n_licensed for i, r in got.items() if i not in (1000, 1001)} == {1} and got[1001].n_licensed == 0
 
 
+def licence_rows(text, model):
+    """(families, probabilities) of a text's lines and paragraphs, one after another in plain Python."""
+    import regex
+
+    from conforma.llm import licences
+
+    def verdict(words):
+        own = licences.grams(words)
+        z = model.bias.astype(float)
+        for g in own & set(model.features):
+            z = z + model.weights[model.features.index(g)]
+        p = np.exp((z - z.max()) / model.temperature)
+        best, p = model.families[int(p.argmax())], p.max() / p.sum()
+        pairs = [{g for g in licences.grams(licences.tokens(t)) if g.count(" ") == 1} for t in licences.TEMPLATES.get(best, ())]
+        sure = p >= model.least and any(len(own & x) >= licences.CONFIRM * len(x) for x in pairs)
+        return [(best, p)] if sure else []
+
+    out = []
+    for run in regex.split(licences.BETWEEN, regex.sub(licences.MARKS, "", text or "")):
+        own = [licences.tokens(x) for x in run.split("\n")]
+        found = [v for words in own for v in verdict(words)]
+        whole = verdict([w for words in own for w in words]) if len(own) > 1 else []
+        out += found + [v for v in whole if v[0] not in {f for f, _ in found}]
+    return sorted(f for f, _ in out), max((p for _, p in out), default=None)
+
+
+def test_licences_are_those_of_brute_force(spark):
+    import textwrap
+
+    from conforma.llm import licences
+
+    rng = np.random.default_rng(4)
+    notices = [t for ts in licences.TEMPLATES.values() for t in ts]
+    docs = [(0, None), (1, ""), (2, "\n\n")]
+    for i in range(3, 120):
+        parts = []
+        for _ in range(int(rng.integers(1, 5))):
+            words = str(rng.choice(notices)).split(" ") if rng.random() < 0.7 else prose(i, 25).split(" ")
+            words = [w for w in words if rng.random() > rng.choice([0, 0.1, 0.3])]
+            mark = str(rng.choice(["", "# ", "dnl ", " * "]))
+            body = textwrap.indent("\n".join(textwrap.wrap(" ".join(words), int(rng.choice([30, 72, 4000])))), mark)
+            parts.append(body + str(rng.choice(["\n", f"\n{mark}\n", "\n\n"])))
+        docs.append((i, "".join(parts)))
+    model = licences.train([prose(i, 12) for i in range(50)])
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    assert len(got) == len(docs)
+    for i, text in docs:
+        families, p = licence_rows(text, model)
+        assert got[i].families == sorted(set(families)) and got[i].n_licensed == len(families)
+        assert got[i].n_paragraphs == sum(x.strip(" ") != "" for x in (text or "").split("\n"))
+        assert got[i].probability == (None if p is None else pytest.approx(p, rel=1e-4))
+    assert {f for r in got.values() for f in r.families} == set(licences.TEMPLATES)
+
+
 def test_confirmed_texts_have_a_telling_word():
     from conforma.llm import licences
 
