@@ -75,3 +75,28 @@ def fit(width: Column, height: Column, box_w: Column, box_h: Column) -> Column:
         ((box_w - w) / 2).cast("bigint").alias("dx"),
         ((box_h - h) / 2).cast("bigint").alias("dy"),
     )
+
+
+# Heights of a card's edge and lines, and of a table's rows.
+CARD_EDGE, CARD_LINE, CARD_LEAST = cm(2.6), cm(1.5), 0.72
+ROW_LEAST, ROW_MOST = cm(1.05), cm(1.75)
+
+
+def card_height(lines: Column) -> Column:
+    """The height of a row of cards whose fullest one has that many lines, its title included."""
+    room = CONTENT_END - CONTENT_Y
+    return F.greatest(F.lit(int(room * CARD_LEAST)), F.least(F.lit(room), lines * CARD_LINE + CARD_EDGE)).cast("bigint")
+
+
+def table_box(y: Column, rows: Column) -> Column:
+    """(row_height, height, y, fits, most): a table of that many rows, its header included, in what is left below y. A
+    short one moves down by a third of the room left; most is how many rows would do where it doesn't fit."""
+    room = F.lit(FOOTER_Y) - y
+    row = F.greatest(F.lit(ROW_LEAST), F.least(F.lit(ROW_MOST), F.floor(room / rows))).cast("bigint")
+    height = row * rows
+    place = y + F.when(height < room, F.floor((room - height) / 3)).otherwise(0)
+    fits = place + height <= FOOTER_Y
+    most = F.when(~fits, F.greatest(F.lit(1), (room / ROW_LEAST).cast("bigint") - 1))
+    return F.struct(
+        row.alias("row_height"), height.cast("bigint").alias("height"), place.cast("bigint").alias("y"), fits.alias("fits"), most.cast("bigint").alias("most")
+    )

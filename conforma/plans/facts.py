@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grid as G
 from ..functions import text as T
-from ..operators import design, package, report, resolve, rules, transform
+from ..operators import design, imports, package, report, resolve, rules, transform
 from ..sources import adapters as A
 from .queries import PARA, SHAPES, _found, _in, _shapes, _t, query
 
@@ -675,3 +675,89 @@ def text_blocks(spark, sf):
     lines = p.select(F.col("slide_no").alias("doc_id"), F.col("para_ord").alias("line_no"), line.alias("line"))
     found = transform.text_blocks(lines)
     return found.select("doc_id", "block", "title", "pos", F.coalesce("text", F.lit("-")).alias("text"))
+
+
+_IMPORTED = f"""
+{SHAPES}, kd AS (SELECT *, CASE WHEN l_suppkey % 5 = 0 THEN 'foto.png' ELSE alt END AS told, CASE WHEN titled THEN 'title' WHEN l_suppkey % 11 = 0 THEN 'media'
+  WHEN l_suppkey % 7 = 0 THEN 'table' WHEN tag = 'pic' THEN 'figure' ELSE 'text' END AS b FROM useful),
+sl AS (SELECT DISTINCT deck_id, slide_no FROM shp),
+tt AS (SELECT slide_no, arg_max(name || ' ' || l_returnflag, shape_ord) AS title FROM kd WHERE b = 'title' GROUP BY 1),
+bo AS (SELECT slide_no, string_agg(name || '|' || l_returnflag, '|' ORDER BY shape_ord) AS content FROM kd WHERE b = 'text' GROUP BY 1),
+fg AS (SELECT slide_no, count(*) AS n, count(*) FILTER (told = '') AS bare, count(*) FILTER (told = 'foto.png') AS generic, arg_min(CASE told WHEN '' THEN
+  '[FALTA: texto alternativo da figura do slide ' || slide_no || ']' WHEN 'foto.png' THEN '[FALTA: texto alternativo real, o atual é ''foto.png'']' ELSE told END, shape_ord) AS alt FROM kd WHERE b = 'figure' GROUP BY 1),
+tb AS (SELECT slide_no, arg_min(CASE WHEN q % 7 = 0 THEN q || '|' || l_returnflag ELSE 'k|v' END, shape_ord) AS header, arg_min(CASE WHEN q % 7 = 0 THEN 0 ELSE 1 END, shape_ord) AS n_rows,
+  count(*) FILTER (NOT has_link) AS bare FROM kd WHERE b = 'table' GROUP BY 1),
+md AS (SELECT slide_no, count(*) AS n FROM kd WHERE b = 'media' GROUP BY 1)"""
+
+
+def _imported(spark, sf):
+    """Every seventh supplier's item is a table, whose first row may be empty; every eleventh's is a video."""
+    s = _items(spark, sf, "l_returnflag", "l_suppkey", "l_quantity")
+    q, has_table = F.col("l_quantity").cast("long"), F.pmod("l_suppkey", F.lit(7)) == 0
+    s = s.withColumns({
+        "has_table": has_table, "tag": F.when(has_table, "graphicFrame").otherwise(F.col("tag")),
+        "media_kind": F.when(F.pmod("l_suppkey", F.lit(11)) == 0, "video"),
+        "alt": F.when(F.pmod("l_suppkey", F.lit(5)) == 0, " foto.png").otherwise(F.col("alt")),
+    })
+    key = ["deck_id", "slide_no", "shape_ord"]
+    none, state = F.lit(None).cast("int"), ["depth", "decorative", "hidden"]
+    flag = F.concat(F.lit(" "), F.col("l_returnflag"), F.lit(" "))
+    texts = s.select(*key, *state, none.alias("cell_ri"), none.alias("cell_ci"), F.posexplode(F.array("name", flag, F.lit(" "))).alias("para_ord", "text"))
+    head = F.when(q % 7 == 0, F.array(F.lit(""), F.lit(" "))).otherwise(F.array(F.lit("k"), F.lit("v")))
+    grid = s.filter("has_table").select(*key, *state, F.posexplode(F.array(head, F.array(q.cast("string"), flag))).alias("cell_ri", "cs"))
+    grid = grid.select(*key, *state, "cell_ri", F.posexplode("cs").alias("cell_ci", "text")).withColumn("para_ord", F.col("cell_ri") * 2 + F.col("cell_ci"))
+    cells = s.filter("has_table").select(*key, F.col("has_link").alias("first_row"))
+    slides = s.select("deck_id", "slide_no").distinct().withColumn("notes", F.when(F.col("slide_no") % 2 == 0, " n "))
+    return imports.import_decks(slides, s, texts.unionByName(grid), cells)
+
+
+@query(
+    f"""
+WITH {_IMPORTED} SELECT deck_id, slide_no, coalesce(title, '[FALTA: título do slide ' || slide_no || ']') AS title, coalesce(content, '') AS content, coalesce(fg.alt, '-') AS alt,
+  coalesce(header, '-') AS header, CAST(coalesce(n_rows, -1) AS BIGINT) AS n_rows, CASE WHEN slide_no % 2 = 0 THEN 'n' ELSE '-' END AS notes
+FROM sl LEFT JOIN tt USING (slide_no) LEFT JOIN bo USING (slide_no) LEFT JOIN fg USING (slide_no) LEFT JOIN tb USING (slide_no)"""
+)
+def import_deck_slides(spark, sf):
+    script, _ = _imported(spark, sf)
+    return script.select(
+        "deck_id", "slide_no", "title", F.array_join("content", "|").alias("content"), F.coalesce("figure.alt", F.lit("-")).alias("alt"),
+        F.coalesce(F.array_join("table.header", "|"), F.lit("-")).alias("header"), F.when(F.col("table").isNull(), -1).otherwise(F.size("table.rows")).cast("long").alias("n_rows"),
+        F.coalesce("notes", F.lit("-")).alias("notes"),
+    )
+
+
+@query(
+    f"""
+WITH {_IMPORTED}, al AS (SELECT deck_id, slide_no, 'media' AS cause, md.n FROM sl JOIN md USING (slide_no) UNION ALL SELECT deck_id, slide_no, 'title', 1 FROM sl ANTI JOIN tt USING (slide_no)
+  UNION ALL SELECT deck_id, slide_no, 'alt', bare FROM sl JOIN fg USING (slide_no) UNION ALL SELECT deck_id, slide_no, 'generic_alt', generic FROM sl JOIN fg USING (slide_no)
+  UNION ALL SELECT deck_id, slide_no, 'figures', fg.n FROM sl JOIN fg USING (slide_no) WHERE fg.n > 1 UNION ALL SELECT deck_id, slide_no, 'header', bare FROM sl JOIN tb USING (slide_no))
+SELECT deck_id, slide_no, cause, CAST(n AS BIGINT) AS n FROM al WHERE n > 0"""
+)
+def import_deck_notices(spark, sf):
+    return _imported(spark, sf)[1]
+
+
+@query(
+    """
+SELECT doc_id, coalesce(source, '') || CASE doc_id % 3 WHEN 1 THEN ' — versão Libras como primeira língua' WHEN 2 THEN ' — versão leitura fácil' ELSE '' END
+  || CASE doc_id % 4 WHEN 1 THEN ' — alto contraste' WHEN 2 THEN ' — modo escuro' ELSE '' END AS title FROM documents"""
+)
+def document_titles(spark, sf):
+    docs = _t(spark, sf, "documents")
+    profile = _chosen(F.col("doc_id"), "completo", "libras", "leitura_facil")
+    theme = F.when(F.col("doc_id") % 4 != 3, _chosen(F.col("doc_id"), "Modo padrão", "Alto contraste", "Modo escuro", ""))
+    return docs.select("doc_id", imports.document_title(F.coalesce("source", F.lit("")), profile, theme).alias("title"))
+
+
+@query(
+    """
+WITH b AS (SELECT p_partkey, p_size % 9 + 1 AS lines, p_size % 14 + 1 AS rows, 1512000 + (p_partkey % 40) * 100000 AS y FROM part),
+r AS (SELECT *, 6444000 - y AS room, greatest(378000, least(630000, (6444000 - y) // rows)) AS rh FROM b), h AS (SELECT *, rh * rows AS height FROM r),
+p AS (SELECT *, y + CASE WHEN height < room THEN (room - height) // 3 ELSE 0 END AS place FROM h)
+SELECT p_partkey, CAST(greatest(3421440, least(4752000, 936000 + lines * 540000)) AS BIGINT) AS card, CAST(rh AS BIGINT) AS row_height, CAST(height AS BIGINT) AS height, CAST(place AS BIGINT) AS y,
+  place + height <= 6444000 AS fits, CAST(CASE WHEN place + height > 6444000 THEN greatest(1, room // 378000 - 1) ELSE -1 END AS BIGINT) AS most FROM p"""
+)
+def grid_heights(spark, sf):
+    y = F.pmod("p_partkey", F.lit(40)) * 100_000 + G.CONTENT_Y
+    part = _t(spark, sf, "part").select("p_partkey", G.card_height(F.col("p_size") % 9 + 1).alias("card"), G.table_box(y, F.col("p_size") % 14 + 1).alias("t"))
+    return part.select("p_partkey", "card", "t.*").withColumn("most", F.coalesce("most", F.lit(-1).cast("long")))

@@ -7,7 +7,7 @@ import pytest
 
 from conforma.functions import colour as C
 from conforma.functions import grid as G
-from conforma.operators import design, package, report, rules, transform
+from conforma.operators import design, imports, package, report, rules, transform
 from conforma.sources import pptx
 from pyspark.sql import functions as F
 
@@ -173,3 +173,26 @@ def test_stream(spark, tmp_path):
 
     want = Q._text_findings(spark, "/root/testdata/sf0.001").count()
     assert spark.read.parquet(str(tmp_path / "out")).count() == want
+
+
+def test_deck_becomes_a_script(spark, tmp_path):
+    def cell(*texts):
+        return "<a:tc><a:txBody>" + "".join(f"<a:p><a:r><a:t>{t}</a:t></a:r></a:p>" for t in texts) + "</a:txBody></a:tc>"
+
+    grid = f'<a:tbl><a:tblPr/><a:tr>{cell(" ")}{cell("")}</a:tr><a:tr>{cell("Ano")}{cell("Total ", "geral")}</a:tr><a:tr>{cell("2024")}{cell("7")}</a:tr></a:tbl>'
+    t = facts(spark, tmp_path, aula=deck([
+        shape("Titulo", "Rascunho", "title") + shape("Titulo", " Linhas\nde ônibus ", "title") + shape("Corpo", "Um.\n \nDois."),
+        shape("Foto", tag="pic", ph=None, alt="imagem 3") + shape("", tag="pic", ph=None) + shape("Dados", tag="graphicFrame", ph=None, extra=grid),
+        "",
+    ], author=" "))
+    script, notices = imports.import_decks(t["slide"], t["shape"], t["paragraph"], t["table_cell"])
+    a, b, c = script.orderBy("slide_no").collect()
+    assert (a.title, a.content, a.figure, a.table, a.notes) == ("Linhas de ônibus", ["Um.", "Dois."], None, None, None)
+    assert (b.title, b.content, b.figure.name) == ("[FALTA: título do slide 2]", [], "Foto")
+    assert b.figure.alt == "[FALTA: texto alternativo real, o atual é 'imagem 3']"
+    assert (b.table.header, b.table.rows) == (["Ano", "Total geral"], [["2024", "7"]])
+    assert (c.title, c.content) == ("[FALTA: título do slide 3]", [])
+    got = {(r.slide_no, r.cause): r.n for r in notices.collect()}
+    assert got == {(2, "title"): 1, (2, "generic_alt"): 1, (2, "alt"): 1, (2, "figures"): 2, (2, "header"): 1, (3, "title"): 1}
+    head = imports.import_headers(t["deck"]).head()
+    assert (head.title, head.author, head.language) == ("Aula sobre acessibilidade", "[FALTA: autor]", "pt-BR")
