@@ -1,7 +1,10 @@
-"""Readers of scripts and plain texts: JSON scripts, Markdown or text files, media manifests."""
+"""Readers of scripts and plain texts: JSON or YAML scripts, Markdown or text files, media manifests."""
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,33 @@ SCRIPT = f"apresentacao struct<titulo string, autor string, idioma string, assun
 def read_scripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(headers, slides) of JSON scripts, one file a script; slides numbered from 1."""
     rows = spark.read.schema(SCRIPT).option("multiLine", "true").json(path).select(F.col("_metadata.file_path").alias("deck_id"), "*")
+    return _tables(rows)
+
+
+def read_yaml_scripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(headers, slides, errors) of YAML scripts as read_scripts gives them; errors: deck_id, error of files that are no
+    YAML. Needs PyYAML where tasks run."""
+
+    def run(batches):
+        import yaml
+
+        for batch in batches:
+            out = []
+            for text in batch.column(1):
+                try:
+                    out.append((json.dumps(yaml.safe_load(text.as_py()), default=str), None))
+                except yaml.YAMLError as e:
+                    out.append((None, str(e)))
+            columns = [pa.array(c, pa.string()) for c in zip(*out, strict=True)] if out else [pa.nulls(0, pa.string())] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["deck_id", "script", "error"])
+
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("deck_id"), "value")
+    rows = raw.mapInArrow(run, "deck_id string, script string, error string")
+    parsed = rows.filter("error is null").select("deck_id", F.from_json("script", SCRIPT).alias("s")).select("deck_id", "s.*")
+    return *_tables(parsed), rows.filter("error is not null").select("deck_id", "error")
+
+
+def _tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     headers = rows.select("deck_id", "apresentacao.*")
     slides = rows.select("deck_id", F.posexplode("slides").alias("slide_no", "s"))
     slides = slides.select(
@@ -29,13 +59,13 @@ def read_scripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, line_no, line of Markdown or text files."""
-    rows = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("doc_id"), "value")
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), "value")
     return rows.select("doc_id", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """key, slide, text, hash, file, reused, fps, bytes, seconds, size of a media manifest."""
     entry = "slide int, texto string, hash string, arquivo string, reaproveitado boolean, fps double, bytes bigint, segundos double, px string"
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     rows = raw.select(F.explode(F.from_json("value", f"map<string, struct<{entry}>>")).alias("key", "e"))
     return rows.select("key", "e.*")

@@ -196,3 +196,34 @@ def test_deck_becomes_a_script(spark, tmp_path):
     assert got == {(2, "title"): 1, (2, "generic_alt"): 1, (2, "alt"): 1, (2, "figures"): 2, (2, "header"): 1, (3, "title"): 1}
     head = imports.import_headers(t["deck"]).head()
     assert (head.title, head.author, head.language) == ("Aula sobre acessibilidade", "[FALTA: autor]", "pt-BR")
+
+
+def test_yaml_scripts_equal_json_ones(spark, tmp_path):
+    import json
+
+    yaml = pytest.importorskip("yaml")
+    from conforma.sources import scripts
+
+    script = {"apresentacao": {"titulo": "Aula", "autor": "Ana"}, "slides": [{"titulo": "Um", "conteudo": ["a: b", "c"]}, {"tipo": "capa", "numero": "7"}]}
+    for kind, text in (("json", json.dumps(script)), ("yaml", yaml.safe_dump(script))):
+        (tmp_path / kind).mkdir()
+        (tmp_path / kind / "s").write_text(text)
+    (tmp_path / "yaml" / "broken").write_text("a: [")
+    *got, errors = scripts.read_yaml_scripts(spark, str(tmp_path / "yaml"))
+    for a, b in zip(got, scripts.read_scripts(spark, str(tmp_path / "json")), strict=True):
+        a, b = ([r.asDict(True) | {"deck_id": None} for r in x.orderBy(x.columns[1]).collect()] for x in (a, b))
+        assert a == b and a
+    assert [r.deck_id.rpartition("/")[2] for r in errors.collect()] == ["broken"]
+
+
+def test_lines_and_manifests_are_read_whole(spark, tmp_path):
+    import json
+
+    from conforma.sources import scripts
+
+    (tmp_path / "a.md").write_text("# Um\r\n\ntexto\n")
+    got = [(r.line_no, r.line) for r in scripts.read_lines(spark, str(tmp_path / "a.md")).orderBy("line_no").collect()]
+    assert got == [(0, "# Um"), (1, ""), (2, "texto"), (3, "")]
+    (tmp_path / "m.json").write_text(json.dumps({"slide_1": {"slide": 1, "texto": "oi", "reaproveitado": True}, "slide_2": {"slide": 2, "texto": "fim"}}, indent=2))
+    got = {r.key: r for r in scripts.read_manifest(spark, str(tmp_path / "m.json")).collect()}
+    assert (got["slide_1"].slide, got["slide_1"].texto, got["slide_2"].texto) == (1, "oi", "fim")
