@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
+    ball_kmeans,
+    collocations,
     decontaminate,
     jaccard,
     langid,
     licences,
+    mixing,
     packing,
     passages,
     pii,
@@ -32,8 +35,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licences": licences.query,
         "op9_jaccard": jaccard.query,
         "op10_passages": passages.query,
+        "op11_collocations": collocations.query,
+        "op12_mixing": mixing.query,
+        "op13_ball_kmeans": ball_kmeans.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_collocations": collocations.SQL, "op13_ball_kmeans": ball_kmeans.SQL}

@@ -67,7 +67,8 @@ def data(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("none"))
-    for name, kind in (("documents", DOCS), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
+    kinds = {"documents": DOCS, "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int"}
+    for name, kind in (kinds | {"embeddings": "vec_id long, embedding array<float>, label int"}).items():
         spark.createDataFrame([], kind).write.parquet(f"{path}/{name}.parquet")
     return path
 
