@@ -17,6 +17,7 @@ hash alike and are ranked by what else the row has; other columns are ignored; a
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -117,8 +118,8 @@ def ranked_sources(sizes: DataFrame, weights: tuple[int, ...]) -> DataFrame:
     held = held.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
     held = Scratch(spark, "mixing-order").write(held, "order")
     counts = sorted(tuple(r) for r in held.groupBy("part").agg(F.count("*")).collect())
-    before = np.concatenate([[0], np.cumsum([n for _, n in counts])[:-1]]).astype(int).tolist()
-    starts = spark.createDataFrame([(p, b) for (p, _), b in zip(counts, before, strict=True)] or [(0, 0)], "part int, before long")
+    before = accumulate((n for _, n in counts), initial=0)
+    starts = spark.createDataFrame([(p, b) for (p, _), b in zip(counts, before, strict=False)], "part int, before long")
     place = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))
     return held.join(F.broadcast(starts), "part").select("source", "source_size", weight.cast("double").alias("weight"))
