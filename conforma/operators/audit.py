@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colour as C
 from ..functions import text as T
-from . import design, report, resolve, rules
+from . import catalogue, report, resolve, rules
 
 SLIDE = ["deck_id", "slide_no"]
 SHAPE = [*SLIDE, "shape_ord"]
@@ -21,14 +21,6 @@ PARAGRAPH = [*SHAPE, "para_ord"]
 # The slots of a colour scheme, which colours may name without a map.
 SLOTS = ("dk1", "lt1", "dk2", "lt2", "accent1", "accent2", "accent3", "accent4", "accent5", "accent6", "hlink", "folHlink")
 
-# The rules that an audit of decks evaluates.
-EVALUATED = (
-    "A01", "A02", "A03", "A04", "A05", "A06", "B01", "B02", "B03", "B05", "B06", "B07", "B08", "B09", "C01", "C02", "C04", "C05",
-    "C06", "D01", "D02", "D03", "D04", "D05", "D06", "D08", "D10", "D11", "E01", "E02", "E03", "E08", "F01", "F02", "F03", "F04", "F05",
-    "F06", "F07", "F10", "G01", "G03", "G04", "G05", "H01", "H02", "H03", "I06", "I07", "N01", "N02", "N03", "N04", "N05", "N06", "N07",
-    "N08", "N09", "N10", "N11", "N12",
-)
-
 
 def inherited(shapes: DataFrame, slides: DataFrame, styles: DataFrame) -> DataFrame:
     """shapes with resolved boxes (x, y, cx, cy, box_origin) and the list styles of their layout, master,
@@ -118,6 +110,7 @@ def resolved(decks: dict[str, DataFrame], out: str) -> dict[str, DataFrame]:
     palette = palettes(decks["colour_map"], decks["scheme"], slides)
     runs = kept(resolved_runs(decks["run"], shapes, slides, palette), "runs")
     paragraphs, shapes = resolved_caps(runs, decks["paragraph"], shapes)
+    shapes = shapes.join(decks["deck"].select("deck_id", "slide_w", "slide_h"), "deck_id", "left")
     return decks | {"run": runs, "paragraph": kept(paragraphs, "paragraphs"), "shape": kept(shapes, "shapes")}
 
 
@@ -125,27 +118,18 @@ def audit(decks: dict[str, DataFrame], out: str, language: str = "pt") -> DataFr
     """The findings of all rules on decks (the tables of read_decks).
 
     The rules read resolved tables, which are written below out (a new shared folder), so that nothing is
-    resolved anew for each rule.
+    resolved anew for each rule; rules of single rows take one scan a table (see catalogue).
     """
-    decks = resolved(decks, out)
-    deck, slides, shapes, runs, paragraphs = (decks[k] for k in ("deck", "slide", "shape", "run", "paragraph"))
-    meta = decks["table_cell"].groupBy(*SHAPE, "tbl_ord").agg(F.first("first_row").alias("first_row"))
-    meta = meta.join(shapes.select(*SHAPE, "alt", "depth", "decorative"), SHAPE)
-    notes = slides.select("deck_id", F.col("notes").alias("text"))
-    return report.union(
-        [
-            rules.metadata(deck, language), rules.run_language(runs, language), rules.titles(slides, shapes), rules.loose_text(shapes),
-            rules.blank_layout(slides), rules.sections(decks["section"]), rules.typed_bullets(paragraphs),
-            rules.title_first(shapes), rules.reading_order(shapes, deck), rules.objects(shapes, deck), rules.alt_text(shapes, slides),
-            rules.contrast(runs), rules.crowded(paragraphs), rules.shouted(paragraphs), rules.paragraph_setting(paragraphs), rules.run_setting(runs),
-            rules.unexplained_acronyms(paragraphs, notes), rules.tables(meta, decks["table_cell"]), rules.links(linked(runs, shapes, decks["rel"])),
-            rules.media(slides, shapes, deck), design.distorted(shapes), design.outside(shapes), design.overlapping(shapes), design.visual_order(shapes),
-            design.idle(shapes, slides), design.near_edges(shapes), design.title_heights(shapes, slides), design.variety(runs),
-            design.inherited_caps(shapes), design.small_figures(shapes), design.furniture(shapes, slides), design.text_overflow(shapes, paragraphs),
-        ]
-    )
+    return findings(resolved(decks, out), language)
+
+
+def findings(tables: dict[str, DataFrame], language: str = "pt") -> DataFrame:
+    """The findings on resolved tables."""
+    links = linked(tables["run"], tables["shape"], tables["rel"])
+    return report.union([catalogue.row_rules(tables, language), catalogue.grouped_rules(tables, links, language)])
 
 
 def reports(decks: dict[str, DataFrame], out: str, language: str = "pt") -> tuple[DataFrame, DataFrame]:
     """The findings, and the rules that were evaluated on each deck."""
-    return audit(decks, out, language), report.evaluated(decks["deck"], list(EVALUATED))
+    tables = resolved(decks, out)
+    return findings(tables, language), catalogue.evaluated(tables)

@@ -9,31 +9,40 @@ from ..functions import grid as G
 from ..functions import text as T
 from .report import finding, row_findings, union
 from .resolve import column_bands, is_title
-from .rules import PK, SHAPE, order_ranks, scope
+from .rules import PK, SHAPE, in_scope, order_ranks, scope, within
 
 
 def useful(shapes: DataFrame) -> DataFrame:
     return scope(shapes, decorative=False, hidden=False).filter("x is not null")
 
 
-def distorted(shapes: DataFrame) -> DataFrame:
+def distorted_tests(columns: list[str]) -> list[tuple]:
     """A picture's ratio is off its native one by over 1 %; without native size, unverified."""
-    rows = scope(shapes).filter("tag = 'pic' and cx is not null and cy > 0")
-    native = F.col("native_w") / F.col("native_h")
-    off = F.abs(F.col("cx") / F.col("cy") - native) / native
+    native = F.try_divide("native_w", "native_h")
+    off = F.try_divide(F.abs(F.try_divide("cx", "cy") - native), native)
     unknown = F.col("native_w").isNull() | F.col("native_h").isNull()
-    return row_findings(
-        rows, [("N01", "E", off > G.RATIO_TOLERANCE, off), ("N01", "E", unknown, None, None, "unverified")]
-    )
+    tests = [("N01", "E", off > G.RATIO_TOLERANCE, off), ("N01", "E", unknown, None, None, "unverified")]
+    return within(in_scope(columns) & F.expr("tag = 'pic' and cx is not null and cy > 0"), tests)
 
 
-def outside(shapes: DataFrame) -> DataFrame:
+def distorted(shapes: DataFrame) -> DataFrame:
+    return row_findings(shapes, distorted_tests(shapes.columns))
+
+
+def useful_scope(columns: list[str]):
+    return in_scope(columns, decorative=False, hidden=False) & F.col("x").isNotNull()
+
+
+def outside_tests(columns: list[str]) -> list[tuple]:
     """Into the footer, or else beyond the margins."""
-    rows = useful(shapes)
     foot = F.col("y") + F.col("cy") > G.FOOTER_Y + G.TOLERANCE
     safe = G.inside_safe_area(*[F.col(c) for c in ("x", "y", "cx", "cy")])
     cause = F.when(foot, "footer").when(~safe, "margin")
-    return finding(rows.withColumn("cause", cause).filter("cause is not null"), "N02", "E", F.col("y") + F.col("cy"), F.col("cause"))
+    return within(useful_scope(columns), [("N02", "E", cause.isNotNull(), F.col("y") + F.col("cy"), cause)])
+
+
+def outside(shapes: DataFrame) -> DataFrame:
+    return row_findings(shapes, outside_tests(shapes.columns))
 
 
 def overlapping(shapes: DataFrame) -> DataFrame:
@@ -115,17 +124,25 @@ def variety(runs: DataFrame) -> DataFrame:
     return union([finding(n.filter(F.col(c) > 4), "N08", "A", F.col(c), F.lit(c)) for c in ("sizes", "colours")])
 
 
-def inherited_caps(shapes: DataFrame) -> DataFrame:
+def inherited_caps_tests(columns: list[str]) -> list[tuple]:
     """A shape's text shows in capitals that it inherits."""
-    rows = scope(shapes, hidden=False).filter(F.col("caps").isin("all", "small") & ~T.blank(F.col("text")))
-    return finding(rows, "N09", "E", detail=F.col("caps"))
+    shown = F.col("caps").isin("all", "small") & ~T.blank(F.col("text"))
+    return within(in_scope(columns, hidden=False), [("N09", "E", shown, None, F.col("caps"))])
 
 
-def small_figures(shapes: DataFrame) -> DataFrame:
+def inherited_caps(shapes: DataFrame) -> DataFrame:
+    return row_findings(shapes, inherited_caps_tests(shapes.columns))
+
+
+def small_figure_tests(columns: list[str]) -> list[tuple]:
     """A picture's shorter side is below 6 cm."""
-    rows = useful(shapes).filter("tag = 'pic' and media_kind is null")
     side = F.least("cx", "cy")
-    return finding(rows.filter(side < G.FIGURE_LEAST), "N10", "A", side)
+    figure = F.expr("tag = 'pic' and media_kind is null")
+    return within(useful_scope(columns), [("N10", "A", figure & (side < G.FIGURE_LEAST), side)])
+
+
+def small_figures(shapes: DataFrame) -> DataFrame:
+    return row_findings(shapes, small_figure_tests(shapes.columns))
 
 
 def furniture(shapes: DataFrame, slides: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """The rule catalogue over fact tables, layers A to L.
 
 Every function takes fact tables and returns findings. Scope (groups, decorative and hidden shapes,
-cells) is set by `scope()`. The expected language is a parameter.
+cells) is set by `in_scope()`. The expected language is a parameter. Rules of single rows are lists of tests
+(`..._tests`), which a function applies to rows of its own, and `catalogue` to all rows of a grain at once.
 """
 
 from __future__ import annotations
@@ -19,56 +20,75 @@ PK = ["deck_id", "slide_no"]
 SHAPE = [*PK, "shape_ord"]
 
 
-def scope(
-    rows: DataFrame, groups: bool = False, decorative: bool = True, hidden: bool = True, cells: bool = True
-) -> DataFrame:
-    """Rows of top-level shapes unless groups, without those that the rule doesn't look at."""
+def in_scope(columns: list[str], groups: bool = False, decorative: bool = True, hidden: bool = True, cells: bool = True) -> Column:
+    """Whether a row is of a top-level shape, unless groups, and none that the rule doesn't look at."""
     keep = F.lit(True)
-    if not groups and "depth" in rows.columns:
+    if not groups and "depth" in columns:
         keep &= F.col("depth") == 0
     if not decorative:
         keep &= ~F.col("decorative")
     if not hidden:
         keep &= ~F.col("hidden")
-    if not cells and "cell_ri" in rows.columns:
+    if not cells and "cell_ri" in columns:
         keep &= F.col("cell_ri").isNull()
-    return rows.filter(keep)
+    return keep
+
+
+def scope(rows: DataFrame, **flags: bool) -> DataFrame:
+    """Rows in a rule's scope."""
+    return rows.filter(in_scope(rows.columns, **flags))
+
+
+def within(keep: Column, tests: list[tuple]) -> list[tuple]:
+    """Tests that look at no other rows than those to keep."""
+    return [(rule, severity, keep & condition, *more) for rule, severity, condition, *more in tests]
 
 
 # A: metadata
 
 
-def metadata(decks: DataFrame, language: str = "pt") -> DataFrame:
+def metadata_tests(language: str = "pt") -> list[tuple]:
     """A01, A02, A04, A05, A06."""
     title, lang, author = (T.strip(F.coalesce(c, F.lit(""))) for c in ("title", "language", "author"))
     lang, author = F.lower(lang), F.lower(author)
     same = F.lower(title) == F.lower("stem")
     ratio = F.col("slide_w") / F.col("slide_h")
     ratio = F.when(F.col("slide_h") > 0, ratio)
-    return row_findings(
-        decks,
-        [
-            ("A01", "E", (title == "") | same, None, title),
-            ("A02", "E", ~lang.startswith(language), None, F.col("language")),
-            ("A04", "A", (author == "") | author.isin(*T.GENERIC_AUTHORS), None, F.col("author")),
-            ("A05", "A", T.strip(F.col("stem")).rlike(T.GENERIC_FILE_NAME), None, F.col("stem")),
-            ("A06", "D", F.abs(ratio - 16 / 9) > 0.02, ratio),
-        ],
-    )
+    return [
+        ("A01", "E", (title == "") | same, None, title),
+        ("A02", "E", ~lang.startswith(language), None, F.col("language")),
+        ("A04", "A", (author == "") | author.isin(*T.GENERIC_AUTHORS), None, F.col("author")),
+        ("A05", "A", T.strip(F.col("stem")).rlike(T.GENERIC_FILE_NAME), None, F.col("stem")),
+        ("A06", "D", F.abs(ratio - 16 / 9) > 0.02, ratio),
+    ]
+
+
+def metadata(decks: DataFrame, language: str = "pt") -> DataFrame:
+    return row_findings(decks, metadata_tests(language))
+
+
+SLIDES_NAMED = 12
 
 
 def run_language(runs: DataFrame, language: str = "pt") -> DataFrame:
-    """One finding for each foreign or missing run language of a deck: its count, first example."""
+    """One finding for each foreign or missing run language of a deck: its count, first example and first
+    slides. Slides are put in order by parts of a deck, so that no group holds all of a deck's."""
     lang = F.coalesce(F.nullif("lang", F.lit("")), F.lit("absent"))
     rows = runs.filter(~T.blank(F.col("text"))).withColumn("lang", lang)
     rows = rows.filter(~F.lower("lang").startswith(language))
     order = F.struct("slide_no", "shape_ord", "para_ord", "run_ord")
-    grouped = rows.groupBy("deck_id", "lang").agg(
-        F.count("*").alias("n"),
-        F.min_by(F.substring("text", 1, 40), order).alias("example"),
-        F.slice(F.array_sort(F.collect_set("slide_no")), 1, 12).alias("slides"),
-    )
-    return finding(grouped, "A03", "E", F.col("n"), F.concat_ws(": ", "lang", "example"))
+    example = F.struct(order.alias("at"), F.substring("text", 1, 40).alias("text"))
+    by_slide = rows.groupBy("deck_id", "lang", "slide_no").agg(F.count("*").alias("n"), F.min(example).alias("first"))
+
+    def earliest(lists: Column) -> Column:
+        return F.slice(F.array_sort(lists), 1, SLIDES_NAMED).alias("slides")
+
+    sums = [F.sum("n").alias("n"), F.min("first").alias("first")]
+    part = F.pmod(F.xxhash64("slide_no"), F.lit(256))
+    parts = by_slide.groupBy("deck_id", "lang", part).agg(*sums, earliest(F.collect_list("slide_no")))
+    grouped = parts.groupBy("deck_id", "lang").agg(*sums, earliest(F.flatten(F.collect_list("slides"))))
+    named = F.concat(F.lit("slides "), F.array_join(F.transform("slides", lambda s: s.cast("string")), ", "))
+    return finding(grouped, "A03", "E", F.col("n"), F.concat_ws(": ", "lang", F.concat_ws("; ", "first.text", named)))
 
 
 # B: structure
@@ -92,35 +112,52 @@ def titles(slides: DataFrame, shapes: DataFrame) -> DataFrame:
     )
 
 
-def loose_text(shapes: DataFrame) -> DataFrame:
+def loose_text_tests(columns: list[str]) -> list[tuple]:
     """Text in a box that is no placeholder."""
-    rows = scope(shapes).filter((F.col("tag") == "sp") & ~F.col("is_ph") & ~T.blank(F.col("text")))
-    return finding(rows, "B05", "E", detail=F.substring("text", 1, 50))
+    loose = (F.col("tag") == "sp") & ~F.col("is_ph") & ~T.blank(F.col("text"))
+    return within(in_scope(columns), [("B05", "E", loose, None, F.substring("text", 1, 50))])
 
 
-def blank_layout(slides: DataFrame) -> DataFrame:
+def loose_text(shapes: DataFrame) -> DataFrame:
+    return row_findings(shapes, loose_text_tests(shapes.columns))
+
+
+def blank_layout_tests() -> list[tuple]:
     """B06."""
-    return finding(slides.filter(F.lower(F.trim("layout_name")).isin("em branco", "blank")), "B06", "A")
+    return [("B06", "A", F.lower(F.trim("layout_name")).isin("em branco", "blank"))]
+
+
+def blank_layout(slides: DataFrame) -> DataFrame:
+    return row_findings(slides, blank_layout_tests())
+
+
+def section_tests() -> list[tuple]:
+    """Section names without meaning."""
+    name = T.strip(F.coalesce("name", F.lit("")))
+    return [("B07", "E", (name == "") | name.rlike(T.DEFAULT_SECTION), None, F.col("name"))]
 
 
 def sections(table: DataFrame) -> DataFrame:
-    """Section names without meaning, and repeated ones."""
+    """Repeated names."""
+    return union([row_findings(table, section_tests()), repeated_sections(table)])
+
+
+def repeated_sections(table: DataFrame) -> DataFrame:
+    """B08."""
     name = T.strip(F.coalesce("name", F.lit("")))
     again = table.groupBy("deck_id", F.lower(name).alias("name")).agg(F.count("*").alias("n"))
-    return union(
-        [
-            finding(table.filter((name == "") | name.rlike(T.DEFAULT_SECTION)), "B07", "E", detail=F.col("name")),
-            finding(again.filter("n > 1"), "B08", "D", F.col("n"), F.col("name")),
-        ]
-    )
+    return finding(again.filter("n > 1"), "B08", "D", F.col("n"), F.col("name"))
 
 
-def typed_bullets(paragraphs: DataFrame) -> DataFrame:
+def typed_bullet_tests(columns: list[str]) -> list[tuple]:
     """Lists typed with dashes or stars where no native bullet is set."""
-    rows = scope(paragraphs, groups=True, cells=False)
     typed = T.strip(F.col("text")).rlike(T.TYPED_BULLET)
     native = F.coalesce(F.col("bullet"), F.lit("buNone")) != "buNone"
-    return finding(rows.filter(typed & ~native), "B09", "A", detail=F.substring("text", 1, 40))
+    return within(in_scope(columns, groups=True, cells=False), [("B09", "A", typed & ~native, None, F.substring("text", 1, 40))])
+
+
+def typed_bullets(paragraphs: DataFrame) -> DataFrame:
+    return row_findings(paragraphs, typed_bullet_tests(paragraphs.columns))
 
 
 # C: reading order
@@ -165,13 +202,12 @@ def reading_order(shapes: DataFrame, decks: DataFrame) -> DataFrame:
     return finding(grouped.filter("n > 1 and off_row and not (not off_col and lefts >= 2)"), "C02", "E", F.col("n"))
 
 
-def objects(shapes: DataFrame, decks: DataFrame) -> DataFrame:
-    """Groups without a description, automatic names, shapes off the slide."""
-    top = scope(shapes)
+def object_tests(columns: list[str]) -> list[tuple]:
+    """Groups without a description, automatic names, shapes off the slide (slide_w, slide_h)."""
     shown = ~F.col("decorative")
     out = F.expr("x + cx <= 0 or y + cy <= 0 or x >= slide_w or y >= slide_h")
-    return row_findings(
-        top.join(decks.select("deck_id", "slide_w", "slide_h"), "deck_id"),
+    return within(
+        in_scope(columns),
         [
             ("C04", "A", shown & (F.col("n_children") > 5) & T.blank(F.col("alt")), F.col("n_children")),
             ("C05", "A", F.trim("name").rlike(T.AUTOMATIC_NAME), None, F.col("name")),
@@ -180,94 +216,118 @@ def objects(shapes: DataFrame, decks: DataFrame) -> DataFrame:
     )
 
 
+def objects(shapes: DataFrame, decks: DataFrame) -> DataFrame:
+    sized = shapes.join(decks.select("deck_id", "slide_w", "slide_h"), "deck_id")
+    return row_findings(sized, object_tests(shapes.columns))
+
+
 # D: alternative text
 
 
-def alt_text(shapes: DataFrame, slides: DataFrame) -> DataFrame:
-    """D01 to D06, D08, D11, and D07 (unverified).
+def alt_facts(shapes: DataFrame) -> DataFrame:
+    """shapes with what the tests of a description look at, each worked out once."""
+    plain = (F.col("tag") == "sp") & ~F.col("is_ph") & T.blank(F.col("text"))
+    candidate = in_scope(shapes.columns) & (F.col("tag").isin("pic", "graphicFrame", "grpSp", "cxnSp") | plain)
+    rows = shapes.withColumn("__alt", F.coalesce("alt", F.lit("")))
+    said = candidate & ~F.col("decorative") & ~T.blank(F.col("__alt"))
+    return rows.withColumns({"__described": candidate, "__said": F.when(said, F.col("__alt"))})
+
+
+def alt_tests() -> list[tuple]:
+    """D01 to D06, D08, D11, and D07 (unverified), on rows of alt_facts.
 
     Candidates are pictures, frames, groups, connectors, and shapes without text that are no
     placeholder. A decorative shape with text, a missing and a blank text end the examination; the
-    other rules add up. D10 can never fail, as a missing text ends it before.
+    other rules add up. D10 can never fail, as a missing text ends it before. D07 holds only on slides
+    without notes (silent).
     """
-    plain = (F.col("tag") == "sp") & ~F.col("is_ph") & T.blank(F.col("text"))
-    rows = scope(shapes).filter(F.col("tag").isin("pic", "graphicFrame", "grpSp", "cxnSp") | plain)
-    alt = F.coalesce("alt", F.lit(""))
-    rows = rows.withColumn("alt", alt)
-    alt, dec = F.col("alt"), F.col("decorative")
+    alt, said, decorative = F.col("__alt"), F.col("__said"), F.col("decorative")
     dense = F.coalesce(F.col("content_uri").rlike("/(chart|diagram)$"), F.lit(False))
-    ends = (
-        F.when(dec & ~T.blank(alt), F.array(F.lit("D11E")))
-        .when(dec, F.array().cast("array<string>"))
-        .when(alt == "", F.array(F.lit("D01E")))
-        .when(T.blank(alt), F.array(F.lit("D02E")))
-    )
-    tests = {
-        "D03E": T.looks_like_file(alt) | T.generic_alt(alt),
-        "D04A": alt.rlike(T.ALT_PREFIX),
-        "D05E": alt.rlike(T.AUTOMATIC_ALT),
-        "D06A": F.char_length(alt) > 150,
-        "D08A": T.lacks_accent(alt),
-    }
-    more = F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in tests.items()]))
-    hits = rows.select(*SHAPE, "alt", F.explode(F.coalesce(ends, more)).alias("hit"))
-    found = [finding(hits.filter(F.col("hit").endswith(s)), F.substring("hit", 1, 3), s, F.char_length("alt"), F.col("alt")) for s in "EA"]
-    silent = slides.filter(T.blank(F.col("notes"))).select(*PK)
-    long = rows.filter(dense & ~dec & ~T.blank(alt)).join(silent, PK)
-    return union([*found, finding(long, "D07", "E", verdict="unverified")])
+    tests = [
+        ("D11", "E", decorative & ~T.blank(alt)),
+        ("D01", "E", ~decorative & (alt == "")),
+        ("D02", "E", ~decorative & (alt != "") & T.blank(alt)),
+        ("D03", "E", T.looks_like_file(said) | T.generic_alt(said)),
+        ("D04", "A", said.rlike(T.ALT_PREFIX)),
+        ("D05", "E", said.rlike(T.AUTOMATIC_ALT)),
+        ("D06", "A", F.char_length(said) > 150),
+        ("D08", "A", T.lacks_accent(said)),
+    ]
+    tests = [(*x, F.char_length(alt), alt) for x in tests]
+    return within(F.col("__described"), [*tests, ("D07", "E", dense & said.isNotNull(), None, None, "unverified")])
+
+
+def silent_only(findings: DataFrame, slides: DataFrame) -> DataFrame:
+    """findings without D07 on slides that have notes."""
+    spoken = slides.filter(~T.blank(F.col("notes"))).select(*PK, F.lit("D07").alias("rule"))
+    return findings.join(spoken, [*PK, "rule"], "left_anti").select(*findings.columns)
+
+
+def alt_text(shapes: DataFrame, slides: DataFrame) -> DataFrame:
+    return silent_only(row_findings(alt_facts(shapes), alt_tests()), slides)
 
 
 # E: contrast
 
 
-def contrast(runs: DataFrame) -> DataFrame:
-    """E01, E02, E03, E08, and E09 or E01 unverified.
+def contrast_facts(runs: DataFrame) -> DataFrame:
+    """runs with luminances, ratio and size class, column by column, so that no expression is worked out twice."""
+    for side in ("fg", "bg"):
+        runs = runs.withColumn(f"__{side}", C.parse_hex(F.col(side)))
+        runs = runs.withColumn(f"__l{side}", C.luminance(F.col(f"__{side}")))
+    large = C.large_text(F.col("size"), F.col("bold"))
+    runs = runs.withColumns({"__ratio": C.ratio(F.col("__lfg"), F.col("__lbg")), "__large": large})
+    ratio, large = F.col("__ratio"), F.col("__large")
+    low = ratio + 0.005 < F.when(large, 3.0).otherwise(4.5)
+    rule = F.when(low & ~large, "E01").when(low, "E02").when(~large & (ratio < 7.0), "E03")
+    return runs.withColumn("__level", rule)
+
+
+def contrast_tests(columns: list[str]) -> list[tuple]:
+    """E01, E02, E03, E08, and E09 or E01 unverified, on rows of contrast_facts.
 
     runs: size, bold, fg and bg (hex, null if unresolved) and reason.
     """
-    rows = scope(runs, groups=True, decorative=False).filter(~T.blank(F.col("text")))
-    for side in ("fg", "bg"):  # column by column, so that no expression is worked out twice
-        rows = rows.withColumn(f"__{side}", C.parse_hex(F.col(side)))
-        rows = rows.withColumn(f"__l{side}", C.luminance(F.col(f"__{side}")))
-    rows = rows.withColumns({"ratio": C.ratio(F.col("__lfg"), F.col("__lbg")), "large": C.large_text(F.col("size"), F.col("bold"))})
-    ratio, large = F.col("ratio"), F.col("large")
-    least = F.when(large, 3.0).otherwise(4.5)
-    rule = (
-        F.when((ratio + 0.005 < least) & ~large, "E01")
-        .when(ratio + 0.005 < least, "E02")
-        .when(~large & (ratio < 7.0), "E03")
-    )
-    ranked = rows.withColumn("r", rule)
+    ratio, level, text = F.col("__ratio"), F.col("__level"), F.col("text")
     glare = (F.upper("fg") == "000000") & (F.upper("bg") == "FFFFFF")
     graded = F.coalesce(F.col("reason").rlike("gradient|picture|pattern"), F.lit(False))
-    return row_findings(
-        ranked,
+    return within(
+        in_scope(columns, groups=True, decorative=False) & ~T.blank(text),
         [
-            *[(r, s, F.col("r") == r, ratio, F.col("text")) for r, s in (("E01", "E"), ("E02", "E"), ("E03", "D"))],
-            ("E08", "A", glare, ratio, F.col("text")),
+            *[(r, s, level == r, ratio, text) for r, s in (("E01", "E"), ("E02", "E"), ("E03", "D"))],
+            ("E08", "A", glare, ratio, text),
             ("E09", "A", ratio.isNull() & graded, None, F.col("reason"), "unverified"),
             ("E01", "A", ratio.isNull() & ~graded, None, F.col("reason"), "unverified"),
         ],
     )
 
 
+def contrast(runs: DataFrame) -> DataFrame:
+    return row_findings(contrast_facts(runs), contrast_tests(runs.columns))
+
+
 # F: typography
 
 LINE_MOST = 80
 PARAGRAPHS_MOST = 6
 
 
-def crowded(paragraphs: DataFrame) -> DataFrame:
-    """more than six paragraphs in a block that is no title; lines of over 80 characters."""
-    rows = scope(paragraphs, groups=True, cells=False).filter(~T.blank(F.col("text")))
-    n = rows.filter(~F.col("titled")).groupBy(*SHAPE).agg(F.count("*").alias("n"))
+def long_line_tests(columns: list[str]) -> list[tuple]:
+    """lines of over 80 characters."""
     length = F.char_length(T.strip(F.col("text")))
-    return union(
-        [
-            finding(n.filter(F.col("n") > PARAGRAPHS_MOST), "F07", "A", F.col("n")),
-            finding(rows.filter(length > LINE_MOST), "F07", "A", length),
-        ]
-    )
+    return within(in_scope(columns, groups=True, cells=False), [("F07", "A", length > LINE_MOST, length)])
+
+
+def crowded_blocks(paragraphs: DataFrame) -> DataFrame:
+    """more than six paragraphs in a block that is no title."""
+    rows = scope(paragraphs, groups=True, cells=False).filter(~T.blank(F.col("text")) & ~F.col("titled"))
+    n = rows.groupBy(*SHAPE).agg(F.count("*").alias("n"))
+    return finding(n.filter(F.col("n") > PARAGRAPHS_MOST), "F07", "A", F.col("n"))
+
+
+def crowded(paragraphs: DataFrame) -> DataFrame:
+    """F07, blocks and lines."""
+    return union([crowded_blocks(paragraphs), row_findings(paragraphs, long_line_tests(paragraphs.columns))])
 
 
 def text_lines(paragraphs: DataFrame) -> DataFrame:
@@ -290,35 +350,41 @@ def text_lines(paragraphs: DataFrame) -> DataFrame:
     )
 
 
+def shouted_tests(columns: list[str]) -> list[tuple]:
+    """F06 for sentences in capitals, typed or (where caps is known) inherited."""
+    tests = [("F06", "A", T.all_caps(F.col("text")), None, F.substring("text", 1, 40))]
+    if "caps" in columns:
+        tests.append(("F06", "A", F.col("caps").isin("all", "small"), None, F.col("caps")))
+    return within(in_scope(columns, groups=True) & ~T.blank(F.col("text")), tests)
+
+
 def shouted(paragraphs: DataFrame) -> DataFrame:
-    """F06 for sentences in capitals, typed or inherited."""
-    rows = scope(paragraphs, groups=True).filter(~T.blank(F.col("text")))
-    found = [finding(rows.filter(T.all_caps(F.col("text"))), "F06", "A", detail=F.substring("text", 1, 40))]
-    if "caps" in rows.columns:
-        found.append(finding(rows.filter(F.col("caps").isin("all", "small")), "F06", "A", detail=F.col("caps")))
-    return union(found)
+    return row_findings(paragraphs, shouted_tests(paragraphs.columns))
 
 
-def paragraph_setting(paragraphs: DataFrame) -> DataFrame:
+def paragraph_tests(columns: list[str]) -> list[tuple]:
     """F04 justified text; F05 tight lines (body below 1.5, titles below 0.9; large body exempt)."""
-    rows = scope(paragraphs, groups=True).filter(~T.blank(F.col("text")))
     body = ~F.col("titled") & F.col("cell_ri").isNull() & (F.coalesce("max_size", F.lit(0)) < 4000)
     tight = (body & (F.col("line_pct") < 150000)) | (F.col("titled") & (F.col("line_pct") < 90000))
-    return row_findings(
-        rows, [("F04", "E", F.col("algn") == "just"), ("F05", "A", tight, F.col("line_pct") / 100000)]
+    return within(
+        in_scope(columns, groups=True) & ~T.blank(F.col("text")),
+        [("F04", "E", F.col("algn") == "just"), ("F05", "A", tight, F.col("line_pct") / 100000)],
     )
 
 
-def run_setting(runs: DataFrame) -> DataFrame:
+def paragraph_setting(paragraphs: DataFrame) -> DataFrame:
+    return row_findings(paragraphs, paragraph_tests(paragraphs.columns))
+
+
+def run_tests(columns: list[str]) -> list[tuple]:
     """F01 typefaces, F02 and F03 sizes, F06 italics and underlines outside links."""
-    rows = scope(runs, groups=True).filter(~T.blank(F.col("text")))
     face = F.lower(T.strip(F.col("typeface")))
     unsafe = (face != "") & ~F.col("typeface").startswith("+") & ~face.isin(*T.SANS_SAFE)
     size, titled = F.col("size"), F.col("titled")
     underlined = (F.coalesce("u", F.lit("none")) != "none") & ~F.col("has_link")
     shown = F.substring("text", 1, 30)
-    return row_findings(
-        rows,
+    return within(
+        in_scope(columns, groups=True) & ~T.blank(F.col("text")),
         [
             ("F01", "A", unsafe, None, F.col("typeface")),
             ("F02", "E", size.isNull(), None, None, "unverified"),
@@ -330,6 +396,10 @@ def run_setting(runs: DataFrame) -> DataFrame:
     )
 
 
+def run_setting(runs: DataFrame) -> DataFrame:
+    return row_findings(runs, run_tests(runs.columns))
+
+
 def unexplained_acronyms(paragraphs: DataFrame, notes: DataFrame | None = None) -> DataFrame:
     """an acronym's first place in a deck, if the deck never spells it out.
 
@@ -390,23 +460,23 @@ def link_targets(links: DataFrame, rels: DataFrame) -> DataFrame:
     return joined.withColumn("target", F.coalesce("target", "link_rid", F.lit("")))
 
 
-def links(rows: DataFrame) -> DataFrame:
-    """Raw addresses, vague texts, one text for several targets."""
+def link_tests() -> list[tuple]:
+    """Raw addresses, vague texts."""
+    text = T.strip(F.col("text"))
+    return [("H01", "A", text.rlike(T.RAW_URL), None, F.col("text")), ("H02", "A", T.vague_link(text), None, F.col("text"))]
+
+
+def ambiguous_links(rows: DataFrame) -> DataFrame:
+    """One text for several targets."""
     text = T.strip(F.col("text"))
     many = rows.filter(text != "").groupBy("deck_id", F.lower(text).alias("text"))
     many = many.agg(F.count_distinct("target").alias("n")).filter("n > 1")
-    return union(
-        [
-            row_findings(
-                rows,
-                [
-                    ("H01", "A", text.rlike(T.RAW_URL), None, F.col("text")),
-                    ("H02", "A", T.vague_link(text), None, F.col("text")),
-                ],
-            ),
-            finding(many, "H03", "A", F.col("n"), F.col("text")),
-        ]
-    )
+    return finding(many, "H03", "A", F.col("n"), F.col("text"))
+
+
+def links(rows: DataFrame) -> DataFrame:
+    """H01, H02, H03."""
+    return union([row_findings(rows, link_tests()), ambiguous_links(rows)])
 
 
 # I to M: media and what no static look can verify
@@ -419,26 +489,54 @@ ALWAYS_UNVERIFIED = (
 SIGN_WINDOW = "janela de libras"
 
 
-def media(slides: DataFrame, shapes: DataFrame, decks: DataFrame) -> DataFrame:
-    """I06, I07, and unverified I01, I02, J01, J02 and the constant rows."""
+def transition_tests() -> list[tuple]:
+    """Transitions that move."""
     moves = F.array_except(F.col("transition_children"), F.array(*[F.lit(x) for x in ("fade", "cut", "sndAc", "extLst")]))
+    return [("I06", "A", F.size(moves) > 0, None, F.concat_ws(",", moves))]
+
+
+def _sign_window() -> Column:
+    return (F.col("media_kind") == "video") & (F.lower(F.trim("name")) == SIGN_WINDOW)
+
+
+def media_tests(columns: list[str]) -> list[tuple]:
+    """I07 small targets; I01 videos other than sign windows (unverified)."""
+    small = F.col("has_link") & ((F.col("cx") < G.TARGET_LEAST) | (F.col("cy") < G.TARGET_LEAST))
+    video = (F.col("media_kind") == "video") & ~F.coalesce(_sign_window(), F.lit(False))
+    tests = [("I07", "A", small, F.least("cx", "cy")), ("I01", "E", video, None, None, "unverified")]
+    return within(in_scope(columns, groups=True), tests)
+
+
+def constant_tests() -> list[tuple]:
+    """Rules that are unverified for every deck."""
+    return [(r, s, F.lit(True), None, None, "unverified") for r, s in ALWAYS_UNVERIFIED]
+
+
+def media_counts(shapes: DataFrame, decks: DataFrame) -> DataFrame:
+    """Unverified I02, J01, J02, by a deck's tracks and sign windows."""
     rows = scope(shapes, groups=True)
-    small = rows.filter(F.col("has_link")).filter((F.col("cx") < G.TARGET_LEAST) | (F.col("cy") < G.TARGET_LEAST))
-    window = (F.col("media_kind") == "video") & (F.lower(F.trim("name")) == SIGN_WINDOW)
-    n = rows.groupBy("deck_id").agg(F.count_if(window).alias("windows"), F.count_if(F.col("media_kind") == "audio").alias("tracks"))
+    n = rows.groupBy("deck_id").agg(F.count_if(_sign_window()).alias("windows"), F.count_if(F.col("media_kind") == "audio").alias("tracks"))
     counted = decks.select("deck_id").join(n, "deck_id", "left").fillna(0, ["windows", "tracks"])
-    without = counted.filter("windows = 0")
-    said = [finding(decks, r, s, verdict="unverified") for r, s in ALWAYS_UNVERIFIED]
+    tracks, windows = F.col("tracks"), F.col("windows")
+    return row_findings(
+        counted,
+        [
+            ("I02", "E", tracks > 0, tracks, None, "unverified"),
+            ("J01", "E", windows > 0, windows, None, "unverified"),
+            ("J01", "E", windows == 0, None, None, "unverified"),
+            ("J02", "A", windows == 0, None, None, "unverified"),
+        ],
+    )
+
+
+def media(slides: DataFrame, shapes: DataFrame, decks: DataFrame) -> DataFrame:
+    """I06, I07, and unverified I01, I02, J01, J02 and the constant rows."""
     return union(
         [
-            finding(slides.filter(F.size(moves) > 0), "I06", "A", detail=F.concat_ws(",", moves)),
-            finding(small, "I07", "A", F.least("cx", "cy")),
-            finding(rows.filter((F.col("media_kind") == "video") & ~F.coalesce(window, F.lit(False))), "I01", "E", verdict="unverified"),
-            finding(counted.filter("tracks > 0"), "I02", "E", F.col("tracks"), verdict="unverified"),
-            finding(counted.filter("windows > 0"), "J01", "E", F.col("windows"), verdict="unverified"),
-            finding(without, "J01", "E", verdict="unverified"),
-            finding(without, "J02", "A", verdict="unverified"),
-            *said,
+            row_findings(slides, transition_tests()),
+            row_findings(shapes, media_tests(shapes.columns)),
+            media_counts(shapes, decks),
+            row_findings(decks, constant_tests()),
         ]
     )
 

@@ -30,8 +30,9 @@ def _chosen(column, *values: str):
     f"""
 WITH {PARA}, r AS (SELECT p.deck_id, p.slide_no, p.para_ord, p.text, coalesce(nullif(d.lang, ''), 'absent') AS lang FROM para p JOIN documents d ON d.doc_id = p.slide_no AND d.source = p.deck_id WHERE t <> ''),
 g AS (SELECT * FROM r WHERE NOT starts_with(lower(lang), 'en')),
-f AS (SELECT *, count(*) OVER (PARTITION BY deck_id, lang) AS n, row_number() OVER (PARTITION BY deck_id, lang ORDER BY slide_no, para_ord) AS rn FROM g)
-SELECT deck_id, 'A03' AS rule, 'E' AS severity, CAST(n AS DOUBLE) AS value, lang || ': ' || left(text, 40) AS detail FROM f WHERE rn = 1"""
+f AS (SELECT *, count(*) OVER (PARTITION BY deck_id, lang) AS n, row_number() OVER (PARTITION BY deck_id, lang ORDER BY slide_no, para_ord) AS rn FROM g),
+s AS (SELECT deck_id, lang, string_agg(slide_no, ', ' ORDER BY slide_no) AS slides FROM (SELECT *, row_number() OVER (PARTITION BY deck_id, lang ORDER BY slide_no) AS k FROM (SELECT DISTINCT deck_id, lang, slide_no FROM g)) WHERE k <= 12 GROUP BY ALL)
+SELECT deck_id, 'A03' AS rule, 'E' AS severity, CAST(n AS DOUBLE) AS value, lang || ': ' || left(text, 40) || '; slides ' || slides AS detail FROM f JOIN s USING (deck_id, lang) WHERE rn = 1"""
 )
 def a_run_language(spark, sf):
     docs = _t(spark, sf, "documents")

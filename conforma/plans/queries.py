@@ -695,12 +695,12 @@ def build_set(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    from . import facts  # noqa: F401  (registers its queries)
+    from . import facts, wholes  # noqa: F401  (register their queries)
 
     return {name: f for name, (f, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import facts  # noqa: F401
+    from . import facts, wholes  # noqa: F401
 
     return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
