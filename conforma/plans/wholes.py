@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grid as G
 from ..functions import text as T
-from ..operators import catalogue
+from ..operators import catalogue, trees
 from ..sources import adapters as A
 from .queries import _found, _in, _lum, _t, query
 
@@ -197,3 +197,89 @@ def catalogue_rows(spark, sf):
     """Every rule of single rows on items (shapes), lines (paragraphs), parts (runs), orders (slides) and pages (decks)."""
     found = catalogue.row_rules(_catalogue_tables(spark, sf), "en")
     return _found(found, "deck_id", "rule", "severity", "verdict", "slide_no", "shape_ord", "para_ord", "value")
+
+
+# Trees
+
+_VOID = ("meta", "br")
+_TREE = f"""
+tk0 AS (SELECT CAST(page_id AS VARCHAR) AS deck_id, regexp_extract_all(html, '</?[a-zA-Z][a-zA-Z0-9]*') AS ts FROM pages),
+tk1 AS (SELECT deck_id, unnest(ts) AS k, CAST(generate_subscripts(ts, 1) - 1 AS INTEGER) AS ord FROM tk0),
+tk2 AS (SELECT deck_id, ord, upper(regexp_replace(k, '^</?', '')) AS type, CASE WHEN starts_with(k, '</') THEN -1 WHEN lower(k[2:]) IN {_in(_VOID)} THEN 0 ELSE 1 END AS step FROM tk1),
+tk3 AS (SELECT *, coalesce(sum(step) OVER (PARTITION BY deck_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS level FROM tk2),
+tk4 AS (SELECT * FROM tk3 WHERE step >= 0), holders AS (SELECT deck_id, ord AS holder, level + 1 AS at FROM tk4 WHERE step = 1),
+nodes AS MATERIALIZED (SELECT c.deck_id, c.ord AS node, c.type, h.holder AS parent FROM tk4 c ASOF LEFT JOIN holders h ON h.deck_id = c.deck_id AND h.at = c.level AND c.ord > h.holder),
+tree AS (SELECT deck_id, node, type, 0 AS depth, [node] AS path FROM nodes WHERE parent IS NULL
+  UNION ALL SELECT n.deck_id, n.node, n.type, t.depth + 1, list_append(t.path, n.node) FROM tree t JOIN nodes n ON n.deck_id = t.deck_id AND n.parent = t.node WHERE t.depth < {trees.MAX_DEPTH})"""
+
+
+@query(
+    f"""
+WITH RECURSIVE {_TREE} SELECT deck_id, node, type, depth, CAST(row_number() OVER (PARTITION BY deck_id ORDER BY path) - 1 AS INTEGER) AS place FROM tree"""
+)
+def l_tag_tree(spark, sf):
+    """The elements of pages as the tags of exported files, depth first."""
+    tokens = F.regexp_extract_all("html", F.lit("(</?[a-zA-Z][a-zA-Z0-9]*)"), 1)
+    rows = _t(spark, sf, "pages").select(F.col("page_id").cast("string").alias("deck_id"), F.posexplode(tokens).alias("ord", "k"))
+    name = F.regexp_replace("k", "^</?", "")
+    step = F.when(F.col("k").startswith("</"), -1).when(F.lower(name).isin(*_VOID), 0).otherwise(1)
+    nodes = trees.parents(rows.select("deck_id", "ord", F.upper(name).alias("type"), step.alias("step")), ["deck_id"])
+    return trees.tag_tree(nodes.withColumn("node", F.col("ord")))
+
+
+# Reports and scripts of unknown nesting: conversations, whose turns are rules or slides, in three layouts
+
+
+def _reports(spark, sf):
+    n = F.char_length("text")
+    said = [
+        F.when(n % 2 == 0, "FAILED").otherwise("PASSED").alias("ruleStatus"),
+        F.lit("ISO 14289-1").alias("specification"),
+        F.when(n % 5 != 0, n % 5).alias("failedChecks"),
+        F.col("role").alias("description"),
+    ]
+    test = (n % 7).alias("testNumber")
+    flat = F.struct(*said, F.concat(F.lit("7."), "turn").alias("clause"), F.struct(test).alias("ruleId"))
+    deep = F.struct(*said, F.struct(F.concat(F.lit("7."), "turn").alias("clause"), test).alias("ruleId"), F.array(F.struct(F.lit("failed").alias("status"))).alias("checks"))
+    rows = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(flat).alias("flat"), F.collect_list(deep).alias("deep"))
+    inner = F.struct(F.struct(F.struct(F.col("flat").alias("ruleSummaries")).alias("details")).alias("validationResult"))
+    layouts = [
+        F.to_json(F.struct(F.struct(F.array(inner).alias("jobs")).alias("report"))),
+        F.to_json(F.col("deep")),
+        F.to_json(F.struct(F.lit("PASSED").alias("ruleStatus"), F.create_map(F.lit("a b"), F.struct(F.array("flat", "flat").alias("x"))).alias("jobs"))),
+    ]
+    json = F.when(F.col("conv_id") % 3 == 0, layouts[0]).when(F.col("conv_id") % 3 == 1, layouts[1]).otherwise(layouts[2])
+    return rows.select(F.col("conv_id").alias("deck_id"), json.alias("json"))
+
+
+@query(
+    """
+WITH c AS (SELECT conv_id AS deck_id, 'ISO 14289-1 7.' || turn || '-' || (length(text) % 7) AS rule, CASE WHEN length(text) % 5 = 0 THEN 1 ELSE length(text) % 5 END AS n, role AS description
+  FROM conversations WHERE length(text) % 2 = 0)
+SELECT deck_id, rule, CAST(n AS BIGINT) AS n, description FROM c UNION ALL SELECT deck_id, rule, CAST(n AS BIGINT), description FROM c WHERE deck_id % 3 = 2"""
+)
+def l_failed_nodes(spark, sf):
+    """Failures at any depth of three layouts of reports; the third holds each twice."""
+    return trees.failed_nodes(_reports(spark, sf)).select("deck_id", "rule", "n", "description")
+
+
+@query(
+    """
+WITH c AS (SELECT conv_id, turn, length(text) AS n FROM conversations)
+SELECT conv_id AS deck_id, CAST(sum((n % 2 = 0)::INT + (n % 3 = 0)::INT + (n % 5 = 0)::INT * 2 + (n % 7 = 0)::INT + (n % 11 = 0)::INT) AS BIGINT) AS n FROM c GROUP BY 1"""
+)
+def script_markers(spark, sf):
+    """Markers in titles, lines, cards (two each), figures and cells of scripts."""
+    n, mark = F.char_length("text"), F.lit("[FALTA: texto]")
+
+    def left(k: int):
+        return F.when(n % k == 0, mark).otherwise("escrito [FALTA: não]")
+
+    card = F.struct(left(5).alias("titulo"), F.array(F.lit("x"), left(5)).alias("texto"))
+    slide = F.struct(
+        left(2).alias("titulo"), F.array(left(3), F.lit("linha")).alias("conteudo"), F.array(card).alias("cartoes"),
+        F.struct(left(7).alias("alt")).alias("figura"), F.struct(F.array(F.array(F.lit("a"), left(11))).alias("linhas")).alias("tabela"),
+    )
+    rows = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(slide).alias("slides"))
+    scripts = rows.select(F.col("conv_id").alias("deck_id"), F.to_json(F.struct("slides")).alias("json"))
+    return trees.missing_markers(scripts)

@@ -1,4 +1,4 @@
-"""Makes the package importable on executors."""
+"""What the library needs of a session: the package on executors, shared folders, settings."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
@@ -24,3 +24,19 @@ def ship(spark: SparkSession) -> None:
     archive = shutil.make_archive(str(target), "zip", ROOT, "conforma")
     spark.sparkContext.addPyFile(archive)
     _shipped.add(app)
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """rows written once, in the shared checkpoint folder, for plans that read them several times."""
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        root = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-shared-"))
+    return rows.checkpoint()
+
+
+def unlimited_recursion(spark: SparkSession) -> None:
+    """Recursive SQL is bounded by depth alone, not by a number of rows."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
