@@ -43,7 +43,9 @@ def inherited(shapes: DataFrame, slides: DataFrame, styles: DataFrame) -> DataFr
 def palettes(maps: DataFrame, schemes: DataFrame, slides: DataFrame) -> DataFrame:
     """Each slide's colours by alias: palette (map), of its maps' aliases and the scheme's slots."""
     slots = slides.select(*SLIDE, F.explode(F.array(*[F.lit(s) for s in SLOTS])).alias("alias"))
-    known = resolve.theme_colour(maps.select(*SLIDE, "alias").unionByName(slots).distinct(), maps, schemes).filter("hex is not null")
+    aliases = maps.select(*SLIDE, "alias").unionByName(slots).distinct()
+    aliases = aliases.join(slides.select(*SLIDE, "master_part"), SLIDE)
+    known = resolve.theme_colour(aliases, maps, resolve.schemes_by_master(schemes, slides)).filter("hex is not null")
     return known.groupBy(*SLIDE).agg(F.map_from_entries(F.collect_list(F.struct("alias", "hex"))).alias("palette"))
 
 

@@ -98,14 +98,29 @@ def box(rows: DataFrame) -> DataFrame:
     return found.withColumns({c: F.col(f"__box.{c}") for c in ("x", "y", "cx", "cy")}).drop("__box")
 
 
+def schemes_by_master(schemes: DataFrame, slides: DataFrame) -> DataFrame:
+    """deck_id, master_part, slot, hex: the colours of every master that slides use; a master without a theme of its
+    own, and slides without a master, have the deck's (part null). A row a master and slot."""
+    masters = slides.select("deck_id", "master_part").distinct()
+    own = schemes.filter("part is not null").select("deck_id", F.col("part").alias("master_part"), "slot", "hex")
+    lacking = masters.join(own.select("deck_id", "master_part").distinct(), ["deck_id", "master_part"], "left_anti")
+    general = lacking.join(schemes.filter("part is null").select("deck_id", "slot", "hex"), "deck_id")
+    return own.unionByName(general.select(*own.columns))
+
+
 def theme_colour(colours: DataFrame, maps: DataFrame, schemes: DataFrame) -> DataFrame:
     """colours (…, deck_id, slide_no, alias) with hex: alias to slot by the most specific map (slide,
-    layout, master), slot to the scheme's colour; 'phClr' stays unresolved."""
+    layout, master), slot to the scheme's colour, that of the slide's master where schemes and colours name
+    it (master_part); 'phClr' stays unresolved."""
     rank = F.when(F.col("level") == "slide", 0).when(F.col("level") == "layout", 1).otherwise(2)
     slots = maps.groupBy("deck_id", "slide_no", "alias").agg(F.min_by("slot", rank).alias("slot"))
     known = colours.join(slots, ["deck_id", "slide_no", "alias"], "left")
     known = known.withColumn("slot", F.when(F.col("alias") != "phClr", F.coalesce("slot", "alias")))
-    return known.join(schemes.select("deck_id", "slot", "hex"), ["deck_id", "slot"], "left")
+    if "master_part" not in schemes.columns:
+        return known.join(schemes.select("deck_id", "slot", "hex"), ["deck_id", "slot"], "left")
+    held = schemes.select(*[F.col(c).alias(f"__{c}") for c in ("deck_id", "master_part", "slot")], "hex")
+    same = (F.col("deck_id") == F.col("__deck_id")) & (F.col("slot") == F.col("__slot")) & F.col("master_part").eqNullSafe(F.col("__master_part"))
+    return known.join(held, same, "left").drop("__deck_id", "__master_part", "__slot")
 
 
 def background(slides: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grid as G
 from ..functions import text as T
-from ..operators import catalogue, trees
+from ..operators import catalogue, resolve, trees
 from ..sources import adapters as A
 from .queries import _found, _in, _lum, _t, query
 
@@ -283,3 +283,33 @@ def script_markers(spark, sf):
     rows = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(slide).alias("slides"))
     scripts = rows.select(F.col("conv_id").alias("deck_id"), F.to_json(F.struct("slides")).alias("json"))
     return trees.missing_markers(scripts)
+
+
+# Themes by master
+
+_SLOT_NAMES = ("dk1", "lt1", "dk2", "lt2", "accent1")
+
+
+@query(
+    f"""
+WITH n AS (SELECT 'm' || (n_nationkey // 5) AS part, {list(_SLOT_NAMES)!r}[n_nationkey % 5 + 1] AS slot, upper(printf('%06x', n_nationkey * 654321 % 16777216)) AS hex FROM nation),
+o AS (SELECT o_orderkey AS slide_no, CASE WHEN o_orderkey % 11 <> 0 THEN 'm' || (o_orderkey % 7) END AS master, ['tx1', 'bg1', 'accent1', 'lt2', 'accent6'][o_custkey % 5 + 1] AS alias FROM orders),
+s AS (SELECT *, CASE alias WHEN 'tx1' THEN CASE WHEN slide_no % 3 = 0 THEN 'dk2' ELSE 'dk1' END WHEN 'bg1' THEN 'lt1' ELSE alias END AS slot,
+  CASE WHEN master IN ('m0', 'm1', 'm2', 'm3') THEN master ELSE 'm4' END AS held FROM o)
+SELECT coalesce(master, '-') AS master, alias, s.slot, coalesce(hex, '-') AS hex, count(*) AS n FROM s LEFT JOIN n ON n.part = held AND n.slot = s.slot GROUP BY ALL"""
+)
+def resolve_master_themes(spark, sf):
+    """Nations as the themes of five masters, the last of which is the deck's; orders as slides of eight masters or none."""
+    k, key = F.col("n_nationkey"), F.col("o_orderkey")
+    part = F.when(k < 20, F.concat(F.lit("m"), F.floor(k / 5).cast("string")))
+    slot = F.element_at(F.array(*[F.lit(s) for s in _SLOT_NAMES]), (k % 5 + 1).cast("int"))
+    hexes = F.lpad(F.hex((k.cast("long") * 654321) % 16777216), 6, "0")
+    schemes = _t(spark, sf, "nation").select(F.lit("d").alias("deck_id"), part.alias("part"), slot.alias("slot"), hexes.alias("hex"))
+    alias = F.element_at(F.array(*[F.lit(s) for s in ("tx1", "bg1", "accent1", "lt2", "accent6")]), (F.col("o_custkey") % 5 + 1).cast("int"))
+    master = F.when(key % 11 != 0, F.concat(F.lit("m"), (key % 7).cast("string")))
+    slides = _t(spark, sf, "orders").select(F.lit("d").alias("deck_id"), key.alias("slide_no"), master.alias("master_part"), alias.alias("alias"))
+    own = F.array(*[F.struct(F.lit(level).alias("level"), F.lit(a).alias("alias"), F.lit(s).alias("slot")) for level, a, s in (("master", "tx1", "dk1"), ("master", "bg1", "lt1"))])
+    layout = F.when(F.col("slide_no") % 3 == 0, F.array(F.struct(F.lit("layout").alias("level"), F.lit("tx1").alias("alias"), F.lit("dk2").alias("slot"))))
+    maps = slides.select("deck_id", "slide_no", F.explode(F.concat(own, F.coalesce(layout, F.slice(own, 1, 0)))).alias("m")).select("deck_id", "slide_no", "m.*")
+    found = resolve.theme_colour(slides, maps, resolve.schemes_by_master(schemes, slides))
+    return found.groupBy(F.coalesce("master_part", F.lit("-")).alias("master"), "alias", "slot", F.coalesce("hex", F.lit("-")).alias("hex")).agg(F.count("*").alias("n"))

@@ -32,7 +32,7 @@ SCHEMAS = {
     "slide": "deck_id string, slide_no long, layout_name string, notes string, transition_children array<string>, "
     f"layout_part string, master_part string, slide_bg {COLOUR}, layout_bg {COLOUR}, master_bg {COLOUR}",
     "style": f"deck_id string, part string, scope string, ph_type string, ph_idx string, ph_ord int, levels {LEVELS}, x long, y long, cx long, cy long",
-    "scheme": "deck_id string, slot string, hex string",
+    "scheme": "deck_id string, part string, slot string, hex string",
     "colour_map": "deck_id string, slide_no long, level string, alias string, slot string",
     "shape": f"{KEY}, depth int, tag string, name string, alt string, decorative boolean, hidden boolean, is_ph boolean, "
     "ph_type string, ph_idx string, x long, y long, cx long, cy long, media_kind string, link_rid string, has_link boolean, "
@@ -104,6 +104,16 @@ def _written(parent) -> dict | None:
     return None
 
 
+def _scheme(z: zipfile.ZipFile, deck: str, part: str | None, theme: str | None):
+    """The colours of a theme: that of a master (part), or the presentation's own (part None)."""
+    if theme in z.namelist():
+        for slot in (c for s in ET.fromstring(z.read(theme)).iter(f"{A}clrScheme") for c in s):
+            hexes = (_written(slot) or {}).get("hex")
+            if hexes is None and (system := slot.find(f"{A}sysClr")) is not None:
+                hexes = "000000" if system.get("val") == "windowText" else "FFFFFF"
+            yield "scheme", dict(deck_id=deck, part=part, slot=_local(slot), hex=hexes)
+
+
 def _levels(styles) -> dict:
     """What a list style sets at its nine levels."""
     at = [styles.find(f"{A}lvl{n}pPr/{A}defRPr") if styles is not None else None for n in range(1, 10)]
@@ -150,6 +160,8 @@ class _Templates:
             self.roots[part] = root = ET.fromstring(self.z.read(part))
             self.rels[part] = {kind: _part(part, t) for _, kind, t in _rels(self.z, part)}
             self.fresh += self._styles(root, part, scope)
+            if scope == "master":
+                self.fresh += _scheme(self.z, self.deck, part, self.rels[part].get("theme"))
         return self.roots[part]
 
     def _styles(self, root, part: str, scope: str):
@@ -189,9 +201,7 @@ def parse(name: str, raw: bytes):
         yield "section", dict(deck_id=name, sec_ord=k, name=s.get("name"), slide_ids=[i.get("id") for i in s.iter() if _local(i) == "sldId"])
     yield "style", dict(deck_id=name, scope="default", levels=_levels(root.find(f"{P}defaultTextStyle")))
     theme = next((_part(main, t) for _, kind, t in _rels(z, main) if kind == "theme"), None)
-    if theme in z.namelist():
-        for slot in (c for s in ET.fromstring(z.read(theme)).iter(f"{A}clrScheme") for c in s):
-            yield "scheme", dict(deck_id=name, slot=_local(slot), hex=(_written(slot) or {}).get("hex"))
+    yield from _scheme(z, name, None, theme)
     templates = _Templates(z, name)
     for number, rid in enumerate(ids, 1):
         yield from _slide(z, name, number, _part(main, targets[rid]), templates)

@@ -104,6 +104,36 @@ def test_stretched_picture(spark, tmp_path):
     assert ("N01", 1, "fail") in found(spark, tmp_path, raw)[1]
 
 
+def with_second_master(raw):
+    """The deck with slide 2 on a layout of a second master, whose theme is dark."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(raw)) as old, zipfile.ZipFile(out, "w") as z:
+        for name in old.namelist():
+            text = old.read(name)
+            if name == "ppt/slides/_rels/slide1.xml.rels":
+                text = text.replace(b"slideLayouts/l.xml", b"slideLayouts/l2.xml")
+            z.writestr(name, text)
+        for part in ("slideMasters/m.xml", "slideLayouts/l.xml"):
+            z.writestr(f"ppt/{part.replace('.xml', '2.xml')}", old.read(f"ppt/{part}"))
+        z.writestr("ppt/slideLayouts/_rels/l2.xml.rels", rels(("slideMaster", "../slideMasters/m2.xml")))
+        z.writestr("ppt/slideMasters/_rels/m.xml.rels", rels(("theme", "../theme/theme1.xml")))
+        z.writestr("ppt/slideMasters/_rels/m2.xml.rels", rels(("theme", "../theme/theme2.xml")))
+        system = '<a:lt1><a:sysClr val="windowText"/></a:lt1>'
+        z.writestr("ppt/theme/theme2.xml", f'<a:theme {NS}><a:themeElements><a:clrScheme><a:dk1><a:srgbClr val="F5F5F5"/></a:dk1>{system}<a:accent1><a:srgbClr val="222222"/></a:accent1></a:clrScheme></a:themeElements></a:theme>')
+    return out.getvalue()
+
+
+def test_each_master_has_its_theme(spark, tmp_path):
+    pale = solid("schemeClr", "accent1")
+    slides = [said("Titulo", f"Pagina {n}", "title") + said("Corpo", "Um texto", "body", extra=pale) for n in "ab"]
+    found(spark, tmp_path, with_second_master(deck(slides)))
+    runs = {(r.slide_no, r.text): (r.fg, r.bg) for r in spark.read.parquet(str(tmp_path / "resolved" / "runs")).collect()}
+    assert runs == {
+        (1, "Pagina a"): ("1A1A1A", "FAFAFA"), (1, "Um texto"): ("DDDDDD", "FAFAFA"),
+        (2, "Pagina b"): ("F5F5F5", "000000"), (2, "Um texto"): ("222222", "000000"),
+    }
+
+
 def test_malformed_number_is_an_error_row(spark, tmp_path):
     (tmp_path / "d.pptx").write_bytes(deck([said("Titulo", "Abertura", "title", run='sz="x"')]))
     tables = pptx.read_decks(spark, str(tmp_path))
