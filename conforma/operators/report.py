@@ -122,14 +122,25 @@ def as_json(findings: DataFrame, ran: DataFrame) -> DataFrame:
     return whole.select("deck_id", F.to_json(F.struct("deck_id", summary.alias("summary"), "evaluated", "findings")).alias("json"))
 
 
-def as_markdown(findings: DataFrame) -> DataFrame:
-    """deck_id, markdown: one table of findings a deck, in report order."""
+HEAD = ("| rule | severity | verdict | slide | detail |", "| - | - | - | - | - |")
+
+
+def markdown_lines(findings: DataFrame) -> DataFrame:
+    """deck_id, place, line: one table of findings a deck, in report order, a row a line (the head at places -1, 0), for
+    sinks that write line by line."""
     cell = F.regexp_replace(F.coalesce("detail", F.lit("")), r"([|])", r"\\$1")
     line = F.format_string("| %s | %s | %s | %s | %s |", "rule", "severity", "verdict", F.coalesce(F.col("slide_no").cast("string"), F.lit("")), cell)
-    lines = report_order(findings).select("deck_id", F.struct("place", line.alias("line")).alias("l"))
-    head = "| rule | severity | verdict | slide | detail |\n| - | - | - | - | - |\n"
-    body = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n")
-    return lines.groupBy("deck_id").agg(F.concat(F.lit(head), body).alias("markdown"))
+    lines = report_order(findings).select("deck_id", F.col("place").cast("long").alias("place"), line.alias("line"))
+    head = F.posexplode(F.array(*[F.lit(x) for x in HEAD])).alias("at", "line")
+    heads = findings.select("deck_id").distinct().select("deck_id", head)
+    return lines.unionByName(heads.select("deck_id", (F.col("at") - 1).cast("long").alias("place"), "line"))
+
+
+def as_markdown(findings: DataFrame) -> DataFrame:
+    """deck_id, markdown: the lines of each deck as one text."""
+    lines = F.array_sort(F.collect_list(F.struct("place", "line")))
+    text = F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
+    return markdown_lines(findings).groupBy("deck_id").agg(text.alias("markdown"))
 
 
 def write_text(reports: DataFrame, column: str, path: str) -> None:

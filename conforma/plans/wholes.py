@@ -8,6 +8,7 @@ from ..functions import grid as G
 from ..functions import text as T
 from ..operators import catalogue, resolve, trees
 from ..sources import adapters as A
+from ..sources import scripts
 from .queries import _found, _in, _lum, _t, query
 
 # All rules of single rows. The adapter's choices are integer arithmetic on keys, so that every rule has rows.
@@ -313,3 +314,26 @@ def resolve_master_themes(spark, sf):
     maps = slides.select("deck_id", "slide_no", F.explode(F.concat(own, F.coalesce(layout, F.slice(own, 1, 0)))).alias("m")).select("deck_id", "slide_no", "m.*")
     found = resolve.theme_colour(slides, maps, resolve.schemes_by_master(schemes, slides))
     return found.groupBy(F.coalesce("master_part", F.lit("-")).alias("master"), "alias", "slot", F.coalesce("hex", F.lit("-")).alias("hex")).agg(F.count("*").alias("n"))
+
+
+# Scripts as YAML
+
+
+@query(
+    """
+WITH d AS (SELECT source AS deck_id, doc_id AS slide_no, string_split(text, chr(10)) AS ls, CASE WHEN doc_id % 3 = 0 THEN lang END AS notes FROM documents),
+l AS (SELECT deck_id, slide_no, list_concat(['- tipo: "conteudo"', '  titulo: ' || CAST(to_json(ls[1]) AS VARCHAR)], list_filter([CASE WHEN notes IS NOT NULL THEN '  notas: ' || CAST(to_json(notes) AS VARCHAR) END], lambda x: x IS NOT NULL),
+  CASE WHEN len(ls) > 1 THEN list_concat(['  conteudo:'], list_transform(ls[2:], lambda x: '  - ' || CAST(to_json(x) AS VARCHAR))) ELSE ['  conteudo: []'] END) AS ys FROM d WHERE ls IS NOT NULL)
+SELECT deck_id, slide_no, CAST(generate_subscripts(ys, 1) - 1 AS INTEGER) AS place, unnest(ys) AS line FROM l
+UNION ALL SELECT deck_id, 0, CAST(generate_subscripts(hs, 1) - 1 AS INTEGER), unnest(hs) FROM (SELECT DISTINCT source AS deck_id, ['apresentacao:', '  titulo: ' || CAST(to_json(source) AS VARCHAR), 'slides:'] AS hs FROM documents)"""
+)
+def script_yaml(spark, sf):
+    """Documents as the slides of a source's script, written as YAML."""
+    docs = _t(spark, sf, "documents").filter("text is not null")
+    lines = F.split("text", "\n")
+    slides = docs.select(
+        F.col("source").alias("deck_id"), F.col("doc_id").alias("slide_no"), F.lit("conteudo").alias("type"), lines[0].alias("title"),
+        F.slice(lines, 2, 1 << 30).alias("content"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("notes"),
+    )
+    headers = _t(spark, sf, "documents").select(F.col("source").alias("deck_id"), F.col("source").alias("titulo")).distinct()
+    return scripts.yaml_lines(headers, slides)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLIDE = (
@@ -57,6 +57,53 @@ def _tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return headers, slides
 
 
+# Characters that JSON leaves as they are, but YAML takes for line ends or refuses.
+_ODD = "".join(map(chr, [*range(0x7F, 0xA0), 0x2028, 0x2029, 0xFEFF, 0xFFFE, 0xFFFF]))
+
+
+def quoted(text: Column) -> Column:
+    """A text as a double-quoted YAML scalar: JSON's escapes, and \\u for what YAML doesn't take inside quotes."""
+    json_ = F.to_json(F.array(text))
+    plain = F.substring(json_, 2, F.char_length(json_) - 2)
+    escaped = plain
+    for c in _ODD:
+        escaped = F.replace(escaped, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
+    return F.when(plain.rlike(f"[{_ODD}]"), escaped).otherwise(plain)
+
+
+NOTICES_SHOWN = 40
+
+
+def yaml_lines(headers: DataFrame, slides: DataFrame, notices: DataFrame | None = None) -> DataFrame:
+    """deck_id, slide_no, place, line: scripts as YAML, in the tables of read_scripts; what is null is left out.
+
+    notices (deck_id, text) become comments at the top, the first NOTICES_SHOWN of each deck. Lines of a deck are in order
+    by slide_no (0: the header) and place.
+    """
+
+    def entry(indent: str, name: str, value: Column) -> Column:
+        return F.when(value.isNotNull(), F.concat(F.lit(f"{indent}{name}: "), quoted(value)))
+
+    names = ("titulo", "autor", "idioma", "assunto", "resumo")
+    given = [entry("  ", n, F.col(n)) for n in names if n in headers.columns]
+    head = F.concat(F.array(F.lit("apresentacao:")), F.array_compact(F.array(*given)), F.array(F.lit("slides:")))
+    if notices is not None:
+        said = notices.groupBy("deck_id").agg(F.array_sort(F.collect_set("text")).alias("__said"))
+        headers = headers.join(said, "deck_id", "left")
+        comments = F.transform(F.slice("__said", 1, NOTICES_SHOWN), lambda x: F.concat(F.lit("# "), F.regexp_replace(x, r"\s+", " ")))
+        head = F.concat(F.coalesce(comments, F.array().cast("array<string>")), head)
+    of_head = headers.select("deck_id", F.lit(0).cast("long").alias("slide_no"), F.posexplode(head).alias("place", "line"))
+
+    fields = {"titulo": "title", "notas": "notes", "mensagem_chave": "key_message", "numero": "number"}
+    first = F.concat(F.lit("- tipo: "), quoted(F.coalesce("type", F.lit("conteudo"))))
+    given = [entry("  ", n, F.col(c)) for n, c in fields.items() if c in slides.columns]
+    content = F.when(F.size("content") > 0, F.concat(F.array(F.lit("  conteudo:")), F.transform("content", lambda x: F.concat(F.lit("  - "), quoted(x)))))
+    content = F.when(F.size("content") == 0, F.array(F.lit("  conteudo: []"))).otherwise(content)
+    body = F.concat(F.array(first), F.array_compact(F.array(*given)), F.coalesce(content, F.array().cast("array<string>")))
+    of_slides = slides.select("deck_id", "slide_no", F.posexplode(body).alias("place", "line"))
+    return of_head.unionByName(of_slides)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, line_no, line of Markdown or text files."""
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), "value")
