@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import grid as G
@@ -45,16 +47,47 @@ def outside(shapes: DataFrame) -> DataFrame:
     return row_findings(shapes, outside_tests(shapes.columns))
 
 
+PER_CELL = 16
+
+
+def in_cells(boxes: DataFrame, per_cell: int = PER_CELL) -> DataFrame:
+    """A row for each cell of its slide's grid that a box touches: cell_x, cell_y, and first_x, first_y, the box's first
+    cell. Two boxes that overlap share the cell at the left upper corner of what they share, whose numbers are
+    the greater ones of their first cells; a pair is met there only.
+
+    A slide of n boxes has about n / per_cell cells, none smaller than its average box, so that boxes
+    lie in about four cells and cells hold about per_cell boxes, however many a slide has.
+    """
+    side = F.ceil(F.sqrt(F.count("*") / F.lit(float(per_cell))))
+
+    def width(low: str, size: str) -> Column:
+        extent = F.max(F.col(low) + F.col(size)) - F.min(low)
+        return F.greatest(F.lit(1), F.ceil(extent / side), F.ceil(F.avg(size))).cast("long")
+
+    grid = boxes.groupBy(*PK).agg(F.min("x").alias("__x"), F.min("y").alias("__y"), width("x", "cx").alias("__w"), width("y", "cy").alias("__h"))
+
+    def cell(low: str, size: str | None, origin: str, step: str) -> Column:
+        at = F.col(low) - F.col(origin) + (F.greatest(F.lit(0), F.col(size)) if size else F.lit(0))
+        return F.floor(at / F.col(step)).cast("int")
+
+    rows = boxes.join(grid, PK)
+    rows = rows.withColumns({"first_x": cell("x", None, "__x", "__w"), "first_y": cell("y", None, "__y", "__h")})
+    rows = rows.withColumn("cell_x", F.explode(F.sequence("first_x", cell("x", "cx", "__x", "__w"))))
+    rows = rows.withColumn("cell_y", F.explode(F.sequence("first_y", cell("y", "cy", "__y", "__h"))))
+    return rows.drop("__x", "__y", "__w", "__h")
+
+
 def overlapping(shapes: DataFrame) -> DataFrame:
     """Two shapes of a slide share over 10 % of the smaller one's area."""
-    rows = useful(shapes).select(*SHAPE, "x", "y", "cx", "cy")
+    rows = in_cells(useful(shapes).select(*SHAPE, "x", "y", "cx", "cy"))
     a, b = rows.alias("a"), rows.alias("b")
-    same = (F.col("a.deck_id") == F.col("b.deck_id")) & (F.col("a.slide_no") == F.col("b.slide_no"))
-    pairs = a.join(b, same & (F.col("a.shape_ord") < F.col("b.shape_ord")) & G.overlap("a", "b"))
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*PK, "cell_x", "cell_y")]
+    once = (F.greatest("a.first_x", "b.first_x") == F.col("a.cell_x")) & (F.greatest("a.first_y", "b.first_y") == F.col("a.cell_y"))
+    pairs = a.join(b, reduce(lambda p, q: p & q, same) & once & (F.col("a.shape_ord") < F.col("b.shape_ord")) & G.overlap("a", "b"))
     smaller = F.least(F.col("a.cx") * F.col("a.cy"), F.col("b.cx") * F.col("b.cy"))
     share = G.intersection("a", "b") / smaller
     found = pairs.filter((smaller > 0) & (share > 0.10))
-    found = found.select("a.*", F.col("b.shape_ord").alias("other"), share.alias("share"))
+    found = found.select(*[F.col(f"a.{c}") for c in SHAPE], F.col("b.shape_ord").alias("other"), share.alias("share"))
     return finding(found, "N03", "A", F.col("share"), F.col("other"))
 
 

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 KEYS = ("deck_id", "slide_no", "shape_ord", "para_ord")
 SEVERITY_RANK = {"E": 0, "A": 1, "D": 2, "—": 3}
 
@@ -99,10 +101,9 @@ def gate(decks: DataFrame, findings: DataFrame) -> DataFrame:
 def report_order(findings: DataFrame) -> DataFrame:
     """With `place`: the order of a deck's report, by severity, rule and position."""
     rank = F.create_map(*[F.lit(x) for kv in SEVERITY_RANK.items() for x in kv])[F.col("severity")]
-    order = Window.partitionBy("deck_id").orderBy(
-        F.col("verdict") != "fail", rank, "rule", "slide_no", "shape_ord", "para_ord", "detail"
-    )
-    return findings.withColumn("place", F.row_number().over(order))
+    order = [F.col("verdict") != "fail", rank, *[F.col(c) for c in ("rule", "slide_no", "shape_ord", "para_ord", "detail")]]
+    placed = numbered(findings, ["deck_id"], order)
+    return placed.withColumn("place", F.col("place").cast("int"))
 
 
 def label(slide_no: Column, name: Column, tag: Column, extra: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ordering import numbered
 from .resolve import is_title
 from .rules import scope
 
@@ -77,13 +78,11 @@ def subtitles(blocks: DataFrame, key: str = "deck_id", order: str = "slide_no")
     rows = blocks.withColumn("__w", word_list(F.col("text")))
     took = F.greatest(F.lit(LEAST_BLOCK_MS), F.round(F.size("__w") * 60000.0 / WORDS_PER_MINUTE).cast("long"))
     rows = rows.withColumns({"__ms": took, "lines": wrapped(F.col("__w"))})
-    w = Window.partitionBy(key).orderBy(order)
-    end = F.sum("__ms").over(w.rowsBetween(Window.unboundedPreceding, 0))
     shown = F.aggregate("lines", F.lit(0), lambda a, x: a + F.size(F.filter(F.split(x, " "), lambda y: y != "")))
-    return rows.select(
-        key, order, F.row_number().over(w).alias("n"), (end - F.col("__ms")).alias("start_ms"), end.alias("end_ms"),
-        "lines", (F.size("__w") - shown).alias("dropped_words"),
-    )
+    rows = rows.select(key, order, "__ms", "lines", (F.size("__w") - shown).alias("dropped_words"))
+    timed = numbered(rows, [key], [F.col(order)], "n", {"end_ms": F.col("__ms")})
+    start = (F.col("end_ms") - F.col("__ms")).alias("start_ms")
+    return timed.select(key, order, F.col("n").cast("int").alias("n"), start, "end_ms", "lines", "dropped_words")
 
 
 def srt(timed: DataFrame, key: str = "deck_id") -> DataFrame:
@@ -134,16 +133,21 @@ def slow_videos(videos: DataFrame) -> DataFrame:
 # Readings
 
 
+def with_total(slides: DataFrame) -> DataFrame:
+    """slides with total, the number of slides of their deck."""
+    n = slides.groupBy(F.col("deck_id").alias("__deck")).agg(F.count("*").alias("total"))
+    return slides.join(n, F.col("deck_id").eqNullSafe(F.col("__deck"))).drop("__deck")
+
+
 def reading(slides: DataFrame, shapes: DataFrame, paragraphs: DataFrame, cells: DataFrame) -> DataFrame:
     """deck_id, slide_no, ord, sub, line: what a screen reader announces, in order.
 
     Title first; then texts (bullets named), tables with their headers, other shapes by description;
     notes last. Decorative and hidden shapes are silent.
     """
-    total = F.count("*").over(Window.partitionBy("deck_id"))
     heads = scope(shapes).filter(is_title(F.col("ph_type"))).groupBy(*PK)
     heads = heads.agg(F.min("shape_ord").alias("t_ord"), F.min_by(T.strip(F.col("text")), "shape_ord").alias("t"))
-    rows = slides.withColumn("total", total).join(heads, PK, "left")
+    rows = with_total(slides).join(heads, PK, "left")
     title = F.coalesce(F.nullif("t", F.lit("")), F.lit("SEM TITULO"))
     first = rows.select(*PK, F.lit(-1).alias("ord"), F.lit(0).alias("sub"), F.format_string("Slide %d de %d: %s", "slide_no", "total", title).alias("line"))
     shown = scope(shapes, decorative=False, hidden=False).join(heads.select(*PK, "t_ord"), PK, "left")
@@ -181,8 +185,7 @@ def transcript(lines: DataFrame) -> DataFrame:
 def audio_script(slides: DataFrame, texts: DataFrame, titles: DataFrame) -> DataFrame:
     """deck_id, slide_no, script: 'Slide i de n. title.', the body, and the figure's description from
     the notes. texts: body by slide; titles: title by slide."""
-    total = F.count("*").over(Window.partitionBy("deck_id"))
-    rows = slides.withColumn("total", total).join(texts.select(*PK, F.col("text").alias("body")), PK, "left")
+    rows = with_total(slides).join(texts.select(*PK, F.col("text").alias("body")), PK, "left")
     rows = rows.join(titles.select(*PK, F.col("text").alias("title")), PK, "left")
     named = F.coalesce(F.nullif("title", F.lit("")), F.lit("Sem título"))
     figure = F.regexp_extract(F.coalesce("notes", F.lit("")), r"(?s)Descrição da figura:\s*(.+)", 1)
@@ -348,7 +351,7 @@ def assign_tracks(slides: DataFrame, tracks: DataFrame) -> DataFrame:
     """deck_id, slide_no, track: tracks (deck_id, track_no from 0, track) in cycles from slide 2 on if there
     are more slides than tracks, else one by one."""
     n = tracks.groupBy("deck_id").agg(F.count("*").alias("n"))
-    rows = slides.withColumn("total", F.count("*").over(Window.partitionBy("deck_id"))).join(n, "deck_id")
+    rows = with_total(slides).join(n, "deck_id")
     more = F.col("total") > F.col("n")
     place = F.when(more, F.pmod(F.col("slide_no") - 2, F.col("n"))).otherwise(F.col("slide_no") - 1)
     rows = rows.filter(~(more & (F.col("slide_no") == 1))).withColumn("track_no", place)
