@@ -8,8 +8,8 @@ from ..functions import grid as G
 from ..functions import text as T
 from ..operators import catalogue, resolve, trees
 from ..sources import adapters as A
-from ..sources import scripts
-from .queries import _found, _in, _lum, _t, query
+from ..sources import scripts, sql
+from .queries import _CAPS, PARA, REGISTRY, _found, _in, _lum, _t, query
 
 # All rules of single rows. The adapter's choices are integer arithmetic on keys, so that every rule has rows.
 
@@ -149,7 +149,6 @@ _RUN_TESTS = [
 
 
 def _metadata_sql() -> str:
-    from .queries import REGISTRY
     from ..operators.rules import ALWAYS_UNVERIFIED
 
     always = ", ".join(str(x) for x in ALWAYS_UNVERIFIED)
@@ -337,3 +336,41 @@ def script_yaml(spark, sf):
     )
     headers = _t(spark, sf, "documents").select(F.col("source").alias("deck_id"), F.col("source").alias("titulo")).distinct()
     return scripts.yaml_lines(headers, slides)
+
+
+# The same rules in Spark SQL
+
+
+@query(REGISTRY["e_contrast"][1])
+def e_contrast_sql(spark, sf):
+    """The contrast rules written in SQL with the library's functions."""
+    sql.register(spark)
+    sql.register_tables(spark, {"run": A.colour_runs(_t(spark, sf, "part"))})
+    return spark.sql(
+        """
+WITH r AS (SELECT deck_id, slide_no, fg, bg, reason, contrast_ratio(fg, bg) AS ratio, contrast_rule(fg, bg, size, bold) AS rule FROM conforma_run WHERE NOT decorative AND NOT blank_text(text))
+SELECT deck_id, rule, if(rule = 'E03', 'D', 'E') AS severity, 'fail' AS verdict, slide_no, round(ratio, 6) AS value FROM r WHERE rule IS NOT NULL
+UNION ALL SELECT deck_id, 'E08', 'A', 'fail', slide_no, round(ratio, 6) FROM r WHERE fg = '000000' AND bg = 'FFFFFF'
+UNION ALL SELECT deck_id, if(reason RLIKE 'gradient|picture|pattern', 'E09', 'E01'), 'A', 'unverified', slide_no, NULL FROM r WHERE ratio IS NULL"""
+    )
+
+
+_BARE = "regexp_replace(lower(t), '[.:;!? ]+$', '')"
+
+
+@query(
+    f"""
+WITH {PARA}, caps AS ({_CAPS}), c AS (SELECT deck_id, count(*) AS n FROM caps GROUP BY 1),
+l AS (SELECT deck_id, count(*) FILTER (t = '') AS blank, count(*) FILTER (regexp_matches(t, '^[-*•·]\\s+\\S')) AS bullets, count(*) FILTER (regexp_matches(text, '(?i)^\\s*(https?://|www\\.)')) AS addresses,
+  count(*) FILTER ({_BARE} <> '' AND ({_BARE} IN {_in(T.GENERIC_ALT)} OR length({_BARE}) <= 3)) AS generic, count(*) FILTER (list_has_any(regexp_extract_all(lower(text), '[a-zà-ÿ]+'), {list(T.NEEDS_ACCENT)})) AS accents FROM para GROUP BY 1)
+SELECT deck_id, blank, coalesce(n, 0) AS capitals, bullets, addresses, generic, accents FROM l LEFT JOIN c USING (deck_id)"""
+)
+def text_predicates_sql(spark, sf):
+    """The text predicates, called from SQL on all lines."""
+    sql.register(spark)
+    sql.register_tables(spark, {"paragraph": A.paragraphs(_t(spark, sf, "documents"))})
+    return spark.sql(
+        """
+SELECT deck_id, count_if(blank_text(text)) AS blank, count_if(NOT blank_text(text) AND all_caps(text)) AS capitals, count_if(typed_bullet(text)) AS bullets,
+  count_if(raw_address(text)) AS addresses, count_if(generic_alt(text)) AS generic, count_if(lacks_accent(text)) AS accents FROM conforma_paragraph GROUP BY deck_id"""
+    )
