@@ -216,14 +216,24 @@ def declared_resources(versions: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
+def build_sets(requests: DataFrame) -> DataFrame:
+    """requests (other columns, profiles, modes, every_mode) with profile, mode, file_suffix instead: a row for each version
+    to build. Other palettes than the standard one only for profiles that declare them, unless every_mode."""
+
+    def known(values: dict[str, str]) -> Column:
+        return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+
+    all_palettes = F.col("profile").isin(*[p for p, v in RESOURCES.items() if v[NAMES.index("all_palettes")]])
+    rows = requests.withColumn("profile", F.explode(F.array_distinct("profiles"))).withColumn("mode", F.explode(F.array_distinct("modes")))
+    rows = rows.filter(F.col("profile").isin(*RESOURCES) & (all_palettes | F.col("every_mode") | (F.col("mode") == "padrao")))
+    suffix = F.concat(known(PROFILE_SUFFIX)[F.col("profile")], known(SUFFIX)[F.col("mode")])
+    return rows.withColumn("file_suffix", suffix).drop("profiles", "modes", "every_mode")
+
+
 def build_set(spark, profiles: list[str], modes: list[str], every_mode: bool = False) -> DataFrame:
-    """profile, mode, file_suffix of the versions to build: other palettes than the standard one only
-    for profiles that declare them."""
-    p = resource_plan(spark).filter(F.col("profile").isin(*profiles))
-    m = spark.createDataFrame([(i, x, SUFFIX[x]) for i, x in enumerate(modes)], "mode_ord int, mode string, suffix string")
-    rows = p.crossJoin(m).filter(F.col("all_palettes") | F.lit(every_mode) | (F.col("mode") == "padrao"))
-    own = F.create_map(*[F.lit(x) for kv in PROFILE_SUFFIX.items() for x in kv])[F.col("profile")]
-    return rows.select("profile", "mode", F.concat(own, F.col("suffix")).alias("file_suffix"))
+    """profile, mode, file_suffix of the versions of one request."""
+    asked = "profiles array<string>, modes array<string>, every_mode boolean"
+    return build_sets(spark.createDataFrame([(profiles, modes, every_mode)], asked))
 
 
 def media_table(versions: DataFrame, counts: DataFrame) -> DataFrame:

@@ -687,11 +687,25 @@ def track_cycle(spark, sf):
 
 @query(
     """
-SELECT * FROM (VALUES ('completo', 'padrao', '-padrao'), ('completo', 'daltonico', '-daltonico-seguro'), ('libras', 'padrao', '-libras-padrao'),
- ('libras', 'daltonico', '-libras-daltonico-seguro'), ('leitura_facil', 'padrao', '-leitura-facil-padrao')) AS t(profile, mode, file_suffix)"""
+WITH p AS (SELECT unnest(['completo', 'libras', 'leitura_facil', 'outro']) AS profile, unnest(['', '-libras', '-leitura-facil', '']) AS a),
+m AS (SELECT unnest(['padrao', 'alto_contraste', 'daltonico']) AS mode, unnest(['-padrao', '-alto-contraste', '-daltonico-seguro']) AS b)
+SELECT o_orderkey AS deck_id, profile, mode, a || b AS file_suffix FROM orders, p, m
+WHERE (CASE profile WHEN 'completo' THEN o_custkey % 2 = 0 WHEN 'libras' THEN o_custkey % 3 = 0 WHEN 'leitura_facil' THEN o_custkey % 5 <> 0 ELSE false END)
+  AND (mode = 'padrao' OR (mode = 'alto_contraste' AND o_orderkey % 3 = 0) OR (mode = 'daltonico' AND o_orderkey % 4 = 0))
+  AND (profile <> 'leitura_facil' OR mode = 'padrao' OR o_orderpriority = '1-URGENT')"""
 )
 def build_set(spark, sf):
-    return package.build_set(spark, list(package.RESOURCES), ["padrao", "daltonico"])
+    """Orders as requests for the versions of a deck."""
+    n, k = F.col("o_orderkey"), F.col("o_custkey")
+
+    def some(**when):
+        return F.array_compact(F.array(*[F.when(c, F.lit(x)) for x, c in when.items()]))
+
+    requests = _t(spark, sf, "orders").select(
+        n.alias("deck_id"), some(completo=k % 2 == 0, libras=k % 3 == 0, leitura_facil=k % 5 != 0, outro=k % 7 == 0).alias("profiles"),
+        some(padrao=F.lit(True), alto_contraste=n % 3 == 0, daltonico=n % 4 == 0).alias("modes"), (F.col("o_orderpriority") == "1-URGENT").alias("every_mode"),
+    )
+    return package.build_sets(requests)
 
 
 def queries() -> dict[str, Query]:

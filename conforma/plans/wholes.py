@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import grid as G
 from ..functions import text as T
-from ..operators import catalogue, resolve, trees
+from ..operators import audit, catalogue, package, report, resolve, rules, transform, trees
 from ..sources import adapters as A
 from ..sources import scripts, sql
-from .queries import _CAPS, PARA, REGISTRY, _found, _in, _lum, _t, query
+from .queries import _CAPS, _RES, _VERSIONS, PARA, REGISTRY, _found, _in, _lum, _t, query
 
 # All rules of single rows. The adapter's choices are integer arithmetic on keys, so that every rule has rows.
 
@@ -149,9 +149,7 @@ _RUN_TESTS = [
 
 
 def _metadata_sql() -> str:
-    from ..operators.rules import ALWAYS_UNVERIFIED
-
-    always = ", ".join(str(x) for x in ALWAYS_UNVERIFIED)
+    always = ", ".join(str(x) for x in rules.ALWAYS_UNVERIFIED)
     _, sql = REGISTRY["a_metadata"]
     # a_metadata's SQL has no value column: A06's is the page's ratio
     return f"""
@@ -374,3 +372,115 @@ def text_predicates_sql(spark, sf):
 SELECT deck_id, count_if(blank_text(text)) AS blank, count_if(NOT blank_text(text) AND all_caps(text)) AS capitals, count_if(typed_bullet(text)) AS bullets,
   count_if(raw_address(text)) AS addresses, count_if(generic_alt(text)) AS generic, count_if(lacks_accent(text)) AS accents FROM conforma_paragraph GROUP BY deck_id"""
     )
+
+
+# Reports
+
+
+@query(
+    """
+WITH d AS (SELECT CAST(page_id AS VARCHAR) AS deck_id, page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, coalesce(regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1), '') AS lang FROM pages),
+f AS (SELECT deck_id, 'A01' AS rule, trim(title) AS detail FROM d WHERE trim(title) = '' OR (page_id % 10 = 0 AND trim(title) = title) UNION ALL SELECT deck_id, 'A02', nullif(lang, '') FROM d WHERE NOT starts_with(lower(trim(lang)), 'en')),
+g AS (SELECT deck_id, count(*) AS n, string_agg('{"rule":"' || rule || '","severity":"E","verdict":"fail"' || coalesce(',"detail":' || CAST(to_json(detail) AS VARCHAR), '') || '}', ',' ORDER BY rule) AS fs FROM f GROUP BY 1)
+SELECT deck_id, '{"deck_id":"' || deck_id || '","summary":{"errors":' || coalesce(n, 0) || ',"warnings":0,"hints":0,"unverified":0},"evaluated":["A01","A02"]' || coalesce(',"findings":[' || fs || ']', '') || '}' AS json FROM d LEFT JOIN g USING (deck_id)"""
+)
+def report_json(spark, sf):
+    decks = A.page_decks(_t(spark, sf, "pages"))
+    found = rules.metadata(decks, "en").filter("rule in ('A01', 'A02')")
+    return report.as_json(found, report.evaluated(decks, ["A01", "A02"]))
+
+
+@query(
+    f"""
+WITH {_VERSIONS}, {_RES}, n AS (SELECT deck_id, sum(n) FILTER (kind = 'audio') AS a, sum(n) FILTER (kind = 'video') AS w FROM rs GROUP BY 1)
+SELECT package_id, CASE WHEN file_ord = 1 THEN 'libras' ELSE 'completo' END AS profile, count(*) AS versions, CAST(sum(coalesce(a, 0)) AS BIGINT) AS audio, CAST(sum(coalesce(w, 0)) AS BIGINT) AS video
+FROM v LEFT JOIN n USING (deck_id) GROUP BY ALL"""
+)
+def package_media(spark, sf):
+    c = _t(spark, sf, "conversations")
+    return package.media_table(A.versions(c, profiles=True), A.turn_resources(c))
+
+
+@query(
+    """
+WITH f AS (SELECT s_nationkey AS package_id, s_suppkey AS deck_id FROM supplier WHERE s_suppkey % 4 = 0), o AS (SELECT package_id, min(deck_id) AS deck_id FROM f GROUP BY 1 HAVING count(*) = 1)
+SELECT CAST(package_id AS VARCHAR) AS package_id, CAST(deck_id AS VARCHAR) AS deck_id, unnest(['O01', 'O02']) AS rule, 'unverified' AS verdict FROM o"""
+)
+def o_single_files(spark, sf):
+    files = _t(spark, sf, "supplier").filter("s_suppkey % 4 = 0").select(F.col("s_nationkey").alias("package_id"), F.col("s_suppkey").alias("deck_id"))
+    return package.alone(files).select("package_id", "deck_id", "rule", "verdict")
+
+
+# Colours and weights that runs inherit
+
+_CHAIN = f"""
+c0 AS (SELECT l_orderkey AS slide_no, l_linenumber AS line, CAST(l_quantity AS BIGINT) AS q, l_partkey AS p, l_suppkey AS s, l_orderkey % 3 = 0 AS ph FROM lineitem),
+c1 AS (SELECT *, CASE WHEN q % 5 = 0 THEN '110000' WHEN q % 7 = 0 THEN '220000' WHEN p % 6 = 0 THEN '330000' WHEN s % 5 = 0 THEN '440000' WHEN ph AND p % 4 = 0 THEN '550000'
+  WHEN ph AND p % 4 = 1 THEN '660000' WHEN ph AND p % 4 = 2 THEN '770000' WHEN s % 2 = 0 THEN '880000' ELSE '1A1A1A' END AS fg,
+  CASE WHEN q % 8 = 0 THEN 'EE0000' WHEN q % 9 = 0 THEN NULL WHEN s % 7 = 0 THEN 'DD0000' WHEN slide_no % 5 = 0 THEN 'CC0000' WHEN slide_no % 7 = 0 THEN 'BB0000' WHEN slide_no % 2 = 0 THEN 'AA0000' ELSE 'FAFAFA' END AS bg FROM c0)"""
+
+
+@query(
+    f"""
+WITH {_CHAIN} SELECT fg, coalesce(bg, '-') AS bg, q % 3 = 0 AND NOT q % 2 = 0 AS bold, coalesce(CASE WHEN bg IS NULL THEN 'table style' END, '-') AS reason, count(*) AS n FROM c1 GROUP BY ALL"""
+)
+def resolve_run_colours(spark, sf):
+    """Text and background of runs: own, paragraph's, shape's, style's, placeholder's, deck's, theme's; cell's, shape's,
+    slide's, layout's, master's, theme's. A table style's fill is no single colour."""
+    key = ["deck_id", "slide_no", "shape_ord"]
+    q, p, s, order = F.col("l_quantity").cast("long"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_orderkey")
+    kind = "struct<hex: string, alias: string, mods: array<struct<name: string, val: int>>, reason: string>"
+
+    def colour(when, value: str, field: str = "hex"):
+        return F.when(when, F.from_json(F.lit(f'{{"{field}": "{value}"}}'), kind))
+
+    def level(when, value: str):
+        return F.when(when, F.struct(F.array(F.lit(None).cast("long")).alias("sz"), F.array(F.lit(None).cast("string")).alias("cap"), F.array(colour(when, value)).alias("colour")))
+
+    item = _t(spark, sf, "lineitem").withColumn("__ord", F.monotonically_increasing_id())
+    ids = [F.lit("d").alias("deck_id"), order.alias("slide_no"), F.col("__ord").alias("shape_ord")]
+    shapes = item.select(
+        *ids, (order % 3 == 0).alias("is_ph"), colour(s % 7 == 0, "DD0000").alias("fill"), colour(s % 5 == 0, "440000").alias("style_colour"), level(p % 6 == 0, "330000").alias("levels"),
+        level(p % 4 == 0, "550000").alias("layout_levels"), level(p % 4 == 1, "660000").alias("master_levels"), level(p % 4 == 2, "770000").alias("text_levels"), level(s % 2 == 0, "880000").alias("default_levels"),
+    )
+    none = F.lit(None)
+    runs = item.select(
+        *ids, F.lit(0).alias("lvl"), none.cast("long").alias("sz"), none.cast("long").alias("para_sz"), colour(q % 5 == 0, "110000").alias("colour"), colour(q % 7 == 0, "220000").alias("para_colour"),
+        F.coalesce(colour(q % 8 == 0, "EE0000"), colour(q % 9 == 0, "table style", "reason")).alias("cell_fill"), F.when(q % 3 == 0, F.when(q % 2 == 0, False).otherwise(True)).alias("bold"),
+    )
+    orders = item.select(order.alias("slide_no")).distinct()
+    n = F.col("slide_no")
+    slides = orders.select(F.lit("d").alias("deck_id"), "slide_no", *[colour(n % k == 0, v).alias(f"{c}_bg") for c, k, v in (("slide", 5, "CC0000"), ("layout", 7, "BB0000"), ("master", 2, "AA0000"))])
+    palette = orders.select(F.lit("d").alias("deck_id"), "slide_no", F.create_map(F.lit("tx1"), F.lit("1A1A1A"), F.lit("bg1"), F.lit("FAFAFA")).alias("palette"))
+    found = audit.resolved_runs(runs, shapes, slides, palette)
+    return found.groupBy("fg", F.coalesce("bg", F.lit("-")).alias("bg"), "bold", F.coalesce("reason", F.lit("-")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+# Texts as slides
+
+
+@query(
+    rf"""
+WITH RECURSIVE {PARA}, l AS (SELECT slide_no AS doc_id, para_ord, nullif(trim(regexp_extract(text, '^#{{1,6}}\s+(.+?)\s*#*$', 1)), '') AS h, regexp_replace(t, '^[-*+•]\s+', '') AS t FROM para),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY para_ord) AS rn FROM l WHERE h IS NOT NULL OR t <> ''), o AS (SELECT *, h IS NOT NULL OR rn = 1 AS opens FROM k),
+b AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY para_ord) AS block FROM o),
+n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, block) AS n, row_number() OVER (PARTITION BY doc_id, block ORDER BY para_ord) - 1 AS pos, first_value(coalesce(h, left(t, 60))) OVER (PARTITION BY doc_id, block ORDER BY para_ord) AS title FROM b),
+bl AS MATERIALIZED (SELECT doc_id, CAST(block AS BIGINT) AS block, title, pos, CASE WHEN NOT opens THEN t END AS text FROM n WHERE NOT opens OR n = 1),
+cut AS (SELECT doc_id, block, title, pos, 0 AS k, CAST(NULL AS VARCHAR) AS line, text AS rest FROM bl
+  UNION ALL SELECT doc_id, block, title, pos, k + 1, CASE WHEN c < 20 THEN rest ELSE trim(left(rest, c + 1)) END, CASE WHEN c < 20 THEN NULL ELSE trim(substr(rest, c + 2)) END FROM (
+    SELECT *, CASE WHEN length(rest) <= 80 THEN -1 WHEN contains(head, '. ') AND length(regexp_extract(head, '(?s)^(.*)\. ', 1)) >= 20 THEN length(regexp_extract(head, '(?s)^(.*)\. ', 1))
+      WHEN contains(head, ' ') THEN length(regexp_extract(head, '(?s)^(.*) ', 1)) ELSE -1 END AS c FROM (SELECT *, left(rest, 80) AS head FROM cut WHERE rest <> ''))),
+ln AS (SELECT doc_id, block, title, pos, k, line FROM cut WHERE k > 0 OR rest IS NULL),
+ch AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, block ORDER BY pos, k) - 1) // 6 AS chunk FROM ln),
+gr AS (SELECT doc_id, block, title, chunk, list(line ORDER BY pos, k) FILTER (line IS NOT NULL) AS ls, count(*) OVER (PARTITION BY doc_id, block) AS n FROM ch GROUP BY doc_id, block, title, chunk),
+sl AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block, chunk) + 1 AS slide_no, CASE WHEN n > 1 THEN title || ' (' || (chunk + 1) || ' de ' || n || ')' ELSE title END AS title, coalesce(ls, ['[FALTA: conteúdo deste slide]']) AS ls
+  FROM gr WHERE NOT (block = 1 AND ls IS NULL)
+  UNION ALL SELECT doc_id, 1, min(title), ['[FALTA: subtítulo, autor e contexto]'] FROM bl WHERE block = 1 GROUP BY doc_id)
+SELECT doc_id, CAST(slide_no AS BIGINT) AS slide_no, title, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS place, unnest(ls) AS line FROM sl"""
+)
+def import_slide_lines(spark, sf):
+    """Documents as text files, cut into slides of six short lines."""
+    p = A.paragraphs(_t(spark, sf, "documents"))
+    lines = p.select(F.col("slide_no").alias("doc_id"), F.col("para_ord").alias("line_no"), F.col("text").alias("line"))
+    slides = transform.import_slides(transform.text_blocks(lines))
+    return slides.select("doc_id", "slide_no", "title", F.posexplode("content").alias("place", "line"))
