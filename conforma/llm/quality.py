@@ -2,11 +2,12 @@
 
 Every document gives a few counts. Documents that pass the base rules feed quantile sketches of four
 metrics, one for each language and source: counts of logarithmic buckets (a value is known to within
-GAMMA / 2), which merge by addition. A group's quantiles TAIL, one half and 1 - TAIL are drawn to its
+GAMMA / 2), which merge by addition. A group's outer and middle quantiles are drawn to its
 language's, and those to all documents', as if PRIOR documents of those were in the group, so that small
-groups lean on larger ones without a step. A fence lies REACH times as far beyond an outer quantile as
-that is from the middle. Documents join their group's fences and are kept if all metrics lie inside;
-a single symbol, repeated line or repeated window fails no document.
+groups lean on larger ones without a step. A fence lies so many times (reach) as far beyond an outer quantile as
+that is from the middle. Nine documents in ten or more repeat no line and no window in any group, so that their habits show
+in the last hundredth only: tail and reach belong to a metric. Documents join their group's fences and are kept if all
+metrics lie inside; a single symbol, repeated line or repeated window fails no document, nor does a symbol in 200 words.
 
 Defined cases: a null or blank text has zero counts and fails; a null language or source is a group
 like any other; repeated documents each count and give a row; other columns are ignored; an empty
@@ -29,9 +30,17 @@ SMALLEST = 1e-3
 PRIOR = 100
 TAIL = 0.1
 REACH = 3.0
-
-#: Metric: whether low values fail, too.
-METRICS = {"word_length": True, "symbols": False, "dup_lines": False, "repeats": False}
+RARE_TAIL = 0.01
+RARE_REACH = 0.5
+WORDS_A_SYMBOL = 200
+
+#: Metric: whether low values fail, too; its outer quantiles (tail, 1 - tail) and its reach.
+METRICS = {
+    "word_length": (True, TAIL, REACH),
+    "symbols": (False, TAIL, REACH),
+    "dup_lines": (False, RARE_TAIL, RARE_REACH),
+    "repeats": (False, RARE_TAIL, RARE_REACH),
+}
 
 SHINGLE = 8
 _BLANKS = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
@@ -105,15 +114,15 @@ def base_failed() -> Column:
 
 
 def metrics(spared: bool = False) -> dict[str, Column]:
-    """The metrics; if spared, without a single occurrence of what they count."""
+    """The metrics; if spared, without a single occurrence of what they count, or a symbol in WORDS_A_SYMBOL words."""
     words, one = F.greatest(F.col("n_words"), F.lit(1)), int(spared)
 
-    def without(count: str, least: int) -> Column:
+    def without(count: str, least: int | Column) -> Column:
         return F.greatest(F.col(count) - least * one, F.lit(0))
 
     return {
         "word_length": F.col("word_chars") / words,
-        "symbols": without("n_symbols", 1) / words,
+        "symbols": without("n_symbols", 1 + F.floor(words / WORDS_A_SYMBOL)) / words,
         "dup_lines": without("n_dup_lines", 1) / F.greatest(F.col("n_lines"), F.lit(1)),
         "repeats": without("n_repeat_words", 2 * SHINGLE) / words,
     }
@@ -134,8 +143,8 @@ def sketches(measured: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", "m.metric", "m.bucket").agg(F.count("*").alias("n"))
 
 
-def quantiles(sketch: DataFrame, keys: list[str], tail: float = TAIL) -> DataFrame:
-    """keys, metric, docs and the quantiles low, mid and high of sketches merged by keys.
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, metric, docs and the metric's quantiles low, mid and high of sketches merged by keys.
 
     A window holds one sketch: some hundreds of buckets, however many documents they count.
     """
@@ -148,14 +157,16 @@ def quantiles(sketch: DataFrame, keys: list[str], tail: float = TAIL) -> DataFra
     placed = merged.select(
         *keys, "metric", value.alias("v"), below.alias("below"), F.sum("n").over(group).alias("docs")
     )
-    at = {"low": tail, "mid": 0.5, "high": 1 - tail}
+    tails = F.create_map(*[F.lit(x) for name, (_, tail, _) in METRICS.items() for x in (name, tail)])[F.col("metric")]
+    placed = placed.withColumn("tail", tails)
+    at = {"low": F.col("tail"), "mid": F.lit(0.5), "high": 1 - F.col("tail")}
     return placed.groupBy(*keys, "metric").agg(
         F.first("docs").alias("docs"),
         *[F.min(F.when(F.col("below") >= p * F.col("docs"), F.col("v"))).alias(name) for name, p in at.items()],
     )
 
 
-def fences(sketch: DataFrame, prior: float = PRIOR, reach: float = REACH, tail: float = TAIL) -> DataFrame:
+def fences(sketch: DataFrame, prior: float = PRIOR) -> DataFrame:
     """lang, source, and low_<metric> and high_<metric>."""
     names = ("low", "mid", "high")
 
@@ -165,11 +176,11 @@ def fences(sketch: DataFrame, prior: float = PRIOR, reach: float = REACH, tail:
         return own.join(to.withColumnsRenamed({c: f"{c}_" for c in to.columns}), on).select(*keys, "metric", *values)
 
     same = F.col("metric") == F.col("metric_")
-    of_lang = drawn(quantiles(sketch, ["lang"], tail), quantiles(sketch, [], tail), same, ["lang"])
+    of_lang = drawn(quantiles(sketch, ["lang"]), quantiles(sketch, []), same, ["lang"])
     same &= F.col("lang").eqNullSafe(F.col("lang_"))
-    rows = drawn(quantiles(sketch, ["lang", "source"], tail), of_lang, same, ["lang", "source"])
+    rows = drawn(quantiles(sketch, ["lang", "source"]), of_lang, same, ["lang", "source"])
     out = []
-    for metric, both in METRICS.items():
+    for metric, (both, _, reach) in METRICS.items():
         mine = F.col("metric") == metric
         low = F.col("low") - reach * (F.col("mid") - F.col("low")) if both else F.lit(-1.0)
         out.append(F.max(F.when(mine, low)).alias(f"low_{metric}"))
@@ -177,7 +188,7 @@ def fences(sketch: DataFrame, prior: float = PRIOR, reach: float = REACH, tail:
     return rows.groupBy("lang", "source").agg(*out)
 
 
-def judge(docs: DataFrame, prior: float = PRIOR, reach: float = REACH) -> DataFrame:
+def judge(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
     """doc_id, the counts, base_failed, kept and the fences that were applied.
 
     A group's fences are a row; Spark sends them to the tasks or, beyond its broadcast limit, splits
@@ -185,7 +196,7 @@ def judge(docs: DataFrame, prior: float = PRIOR, reach: float = REACH) -> DataFr
     """
     measured = Scratch(docs.sparkSession, "quality").write(measure(docs), "counts")
     passed = measured.filter(~base_failed())
-    limits = fences(sketches(passed), prior, reach).select(
+    limits = fences(sketches(passed), prior).select(
         F.col("lang").alias("lang_"), F.col("source").alias("source_"),
         *[f"{side}_{m}" for m in METRICS for side in ("low", "high")],
     )

@@ -246,18 +246,21 @@ def test_quality_verdicts_are_those_of_exact_quantiles(spark):
     failed = (counts[:, 0] < 20) | (100 * counts[:, 4] > 30 * counts[:, 0])
     inside, sure = ~failed, np.ones(len(docs), bool)
     for name, (column, over, unit) in units.items():
+        _, tail, reach = Q.METRICS[name]
+        outer = (tail, 0.5, 1 - tail)
+        unit = unit + n // Q.WORDS_A_SYMBOL if name == "symbols" else unit
         value, spared = counts[:, column] / over, np.maximum(counts[:, column] - unit, 0) / over
         at = lambda keep, p: np.quantile(value[keep & ~failed], p, method="inverted_cdf")  # noqa: B023, E731
         for i, (_, lang, source) in enumerate(docs):
             own, of_lang = (np.array([d[1:k] == (lang, source)[: k - 1] for d in docs]) for k in (3, 2))
-            q = np.array([at(np.ones(len(docs), bool), p) for p in (0.1, 0.5, 0.9)])
+            q = np.array([at(np.ones(len(docs), bool), p) for p in outer])
             for group in (of_lang, own):
                 size = (group & ~failed).sum()
-                q = (size * np.array([at(group, p) for p in (0.1, 0.5, 0.9)]) + Q.PRIOR * q) / (size + Q.PRIOR)
-            low = q[0] - Q.REACH * (q[1] - q[0]) if name == "word_length" else -1
-            high = q[2] + Q.REACH * (q[2] - q[1])
+                q = (size * np.array([at(group, p) for p in outer]) + Q.PRIOR * q) / (size + Q.PRIOR)
+            low = q[0] - reach * (q[1] - q[0]) if name == "word_length" else -1
+            high = q[2] + reach * (q[2] - q[1])
             inside[i] &= low <= spared[i] <= high
-            error = (Q.GAMMA - 1) / 2 * ((1 + Q.REACH) * q[2] + Q.REACH * q[1])
+            error = (Q.GAMMA - 1) / 2 * ((1 + reach) * q[2] + reach * q[1])
             sure[i] &= min(abs(spared[i] - low), abs(spared[i] - high)) > error or spared[i] == high == 0
             if name == "word_length" or high > 0:
                 assert rows[i][f"high_{name}"] == pytest.approx(high, abs=error)
@@ -270,6 +273,34 @@ def test_quality_verdicts_are_those_of_exact_quantiles(spark):
     assert np.mean([rows[i].kept for i in range(len(docs)) if i not in odd]) > 0.97
 
 
+def test_quality_fences_follow_the_habits_of_groups(spark):
+    """Groups that differ in one habit each have other fences in that metric, and texts of a habit stay in their group."""
+    from conforma.llm import quality as Q
+
+    rng = np.random.default_rng(3)
+    docs = []
+    for source in ("plain", "long words", "symbols", "lines", "repeats"):
+        for k in range(400):
+            size = 9 if source == "long words" else 5
+            lines = [" ".join("".join(rng.choice(list("abcdefgh"), size)) for _ in range(10)) for _ in range(8)]
+            if source == "symbols" and k % 4:
+                lines[0] = lines[0].replace(" ", " $ ")
+            if source == "lines" and k % 20 == 0:
+                lines += [lines[3][:12]] * 3
+            if source == "repeats" and k % 20 == 0:
+                lines.append("so " + " ".join(lines[5].split()[:9]))
+                lines.append("as " + " ".join(lines[6].split()[:9]))
+            docs.append((len(docs), "\n".join(lines), "en", source))
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    rows = Q.judge(df).collect()
+    high = {(r.source, m): r[f"high_{m}"] for r in rows for m in Q.METRICS}
+    for source, metric in (("long words", "word_length"), ("symbols", "symbols"), ("lines", "dup_lines"), ("repeats", "repeats")):
+        assert high[source, metric] > 1.25 * high["plain", metric], metric
+    for source in ("plain", "long words", "symbols", "lines", "repeats"):
+        assert np.mean([r.kept for r in rows if r.source == source]) > 0.97, source
+    assert len({round(high[s, "repeats"], 6) for s in ("plain", "symbols", "repeats")}) > 1
+
+
 def test_toxicity(spark, data):
     got = collect(spark, data, "op6_toxicity")
     assert len(got) == len(rows()[0])
