@@ -289,7 +289,6 @@ def test_quality_fences_follow_the_habits_of_groups(spark):
                 lines += [lines[3][:12]] * 3
             if source == "repeats" and k % 20 == 0:
                 lines.append("so " + " ".join(lines[5].split()[:9]))
-                lines.append("as " + " ".join(lines[6].split()[:9]))
             docs.append((len(docs), "\n".join(lines), "en", source))
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
     rows = Q.judge(df).collect()
