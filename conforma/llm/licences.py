@@ -179,15 +179,21 @@ def lines(text: Column) -> Column:
 
 
 def background(docs: DataFrame, n: int = BACKGROUND) -> list[str]:
-    """The beginnings of the lines with the n smallest hashes: the unknown class's training sample.
+    """The n different lines (whole ones) with the smallest hashes: the unknown class's training sample.
 
-    The distinct hashes alone are ranked first, so that no task sends n lines and no line counts twice.
+    The number of different lines is estimated first, so that only lines with hashes below a bound, some times n, are
+    shuffled; the bound is raised until n lines or all are below it.
     """
     rows = docs.select(F.explode(lines(F.col("text"))).alias("x")).filter(F.length("x") > 20)
-    rows = rows.select(F.substring("x", 1, 400).alias("x"), F.xxhash64("x").alias("h"))
-    last = rows.select("h").distinct().orderBy("h").limit(n).agg(F.max("h")).head()[0]
-    chosen = rows.filter(F.col("h") <= F.lit(last)).distinct() if last is not None else rows.limit(0)
-    return [r.x for r in chosen.orderBy("h", "x").collect()]
+    rows = rows.select("x", F.xxhash64("x").alias("h"))
+    about = rows.agg(F.approx_count_distinct("h")).head()[0]
+    share = 2 * n / max(about, 1)
+    while True:
+        below = rows.filter(F.col("h") <= int(-(2**63) + share * 2**64)) if share < 1 else rows
+        chosen = below.distinct().orderBy("h", "x").limit(n).collect()
+        if len(chosen) == n or share >= 1:
+            return [r.x for r in chosen]
+        share *= 4
 
 
 def _ngrams(words: Column) -> Column:

@@ -638,3 +638,17 @@ def test_pipeline(spark, data):
     assert 7 not in ids["contamination"] and 6 not in ids["contamination"] and 16 in ids["contamination"]
     final = P.run(spark, data)
     assert sorted({r.doc_id or 0 for r in final.collect()}) == sorted(set(ids["pseudonyms"]))
+
+
+@pytest.mark.parametrize("n", [5, 40, 900])
+def test_background_lines_are_whole_and_have_the_smallest_hashes(spark, n):
+    from conforma.llm import licences
+    from pyspark.sql import functions as F
+
+    texts = [(i, "\n".join(f"line {i % 90} {j} " + "word " * (j * 40 + 3) for j in range(4)) + "\nshort\n" + "copied in every text " * 2) for i in range(150)]
+    df = spark.createDataFrame([*texts, (None, None)], "doc_id long, text string")
+    lines = df.select(F.explode(F.split("text", "\n")).alias("x")).filter("length(x) > 20").distinct()
+    want = [r.x for r in lines.orderBy(F.xxhash64("x"), "x").limit(n).collect()]
+    got = licences.background(df, n)
+    assert got == want and len(got) == min(n, 361) and max(map(len, got)) > 400
+    assert licences.background(df.limit(0), n) == []
