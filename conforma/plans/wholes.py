@@ -403,11 +403,12 @@ def package_media(spark, sf):
 
 @query(
     """
-WITH f AS (SELECT s_nationkey AS package_id, s_suppkey AS deck_id FROM supplier WHERE s_suppkey % 4 = 0), o AS (SELECT package_id, min(deck_id) AS deck_id FROM f GROUP BY 1 HAVING count(*) = 1)
+WITH f AS (SELECT s_suppkey // 2 AS package_id, s_suppkey AS deck_id FROM supplier WHERE s_acctbal > 0), o AS (SELECT package_id, min(deck_id) AS deck_id FROM f GROUP BY 1 HAVING count(*) = 1)
 SELECT CAST(package_id AS VARCHAR) AS package_id, CAST(deck_id AS VARCHAR) AS deck_id, unnest(['O01', 'O02']) AS rule, 'unverified' AS verdict FROM o"""
 )
 def o_single_files(spark, sf):
-    files = _t(spark, sf, "supplier").filter("s_suppkey % 4 = 0").select(F.col("s_nationkey").alias("package_id"), F.col("s_suppkey").alias("deck_id"))
+    """Suppliers in pairs as the files of a package; those without credit are missing."""
+    files = _t(spark, sf, "supplier").filter("s_acctbal > 0").select(F.expr("s_suppkey div 2").alias("package_id"), F.col("s_suppkey").alias("deck_id"))
     return package.alone(files).select("package_id", "deck_id", "rule", "verdict")
 
 
