@@ -623,6 +623,52 @@ def test_passages_against_all_pairs(spark):
     assert len(got & want) >= 0.9 * len(want) and len(want) > 40
 
 
+@pytest.mark.parametrize("copies,families,words", [(6, 8, 60), (12, 6, 70), (50, 2, 60)])
+def test_passages_of_edited_families(spark, copies, families, words):
+    """One word changed in each copy, so that many copies are near misses of each other: a comparison of all pairs
+    (plain sets of 5-word shingles over all spans of 50 words or more of the copies) is the truth."""
+    from conforma.llm import passages
+
+    rng = np.random.default_rng(copies)
+    texts, family, place = [], [], []
+    for f in range(families):
+        for _ in range(copies):
+            own = [f"f{f}w{i}" for i in range(words)]
+            own[int(rng.integers(0, words))] = f"x{rng.integers(0, 10**9)}"
+            head = [f"h{x}" for x in rng.integers(0, 10**9, int(rng.integers(0, 60)))]
+            texts.append([*head, *own, *[f"t{x}" for x in rng.integers(0, 10**9, int(rng.integers(0, 60)))]])
+            family.append(f)
+            place.append(len(head))
+    order = rng.permutation(len(texts))
+    texts, family, place = ([x[i] for i in order] for x in (texts, family, place))
+    cut = lambda i, a, b: {tuple(texts[i][place[i] + k : place[i] + k + 5]) for k in range(a, b - 4)}
+    pairs = set()
+    for i in range(len(texts)):
+        for j in (j for j in range(i) if family[j] == family[i]):
+            spans = [(a, b) for a in range(0, words - 49) for b in range(a + 50, words + 1)]
+            if any(len(cut(i, *x) & cut(j, *x)) >= 0.75 * len(cut(i, *x) | cut(j, *x)) for x in spans):
+                pairs.add((i, j))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    rows = passages.classes(passages.repeats(df)).collect()
+    assert all(family[r.doc_id] == family[r.source_id] and r.source_id < r.doc_id and r.class_id <= r.source_id for r in rows)
+    for r in rows:
+        a, b = texts[r.doc_id][r.start : r.end], texts[r.source_id][r.source_start : r.source_end]
+        a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (a, b))
+        assert len(a & b) >= 0.75 * len(a | b)
+    want = {i for i, _ in pairs}
+    assert len({r.doc_id for r in rows} & want) >= 0.9 * len(want) and len(want) > copies
+    of = {r.doc_id: r.class_id for r in rows} | {r.source_id: r.class_id for r in rows}
+    assert sum(i in of and of.get(i) == of.get(j) for i, j in pairs) >= 0.9 * len(pairs)
+
+
+def test_passages_in_blocks_of_two(spark, monkeypatch):
+    from conforma.llm import passages
+
+    monkeypatch.setattr(passages, "OPEN_BLOCK", 2)
+    monkeypatch.setattr(passages, "SLICE", 2)
+    test_passages_of_edited_families(spark, 6, 8, 60)
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline as P
 
