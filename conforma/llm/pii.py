@@ -7,7 +7,9 @@ equal values stay equal in every document, and different ones different.
 
 Defined cases: a null text stays null with zero counts; text without values stays as it is; repeated
 documents each give a row; all other columns pass through, except that columns named like the counts
-are replaced; an empty table gives an empty result. Values are looked for inside lines.
+are replaced; an empty table gives an empty result. Values are looked for inside lines, but for private-key blocks
+and for secrets that stand alone on the line after their keyword. What a pseudonym would leave as it is (no
+letter or digit) isn't counted.
 """
 
 from __future__ import annotations
@@ -221,11 +223,16 @@ class Pseudonyms:
         if m["cloud"]:
             return m["cloud"][:4] + self.string(m["cloud"][4:], "cloud", _BASE36)
         if m["hex"]:
-            return self.string(m["hex"], "hex", _HEX)
+            return m[0][: -len(m["hex"])] + self.string(m["hex"], "hex", _HEX)
+        if m["signed"]:
+            return m[0][:3] + self.string(m[0][3:], "signed")
         start = m.start("value") - m.start()
-        value = m["value"]
+        return m[0][:start] + self.value(m["value"])
+
+    def value(self, value: str) -> str:
+        """A secret named by a keyword."""
         hexa = all(c in _HEX for c in value)
-        return m[0][:start] + self.string(value, "hex" if hexa else "value", _HEX if hexa else _CLASS_OF)
+        return self.string(value, "hex" if hexa else "value", _HEX if hexa else _CLASS_OF)
 
     def text(self, text: str) -> tuple[str, dict[str, int]]:
         """The text with its values replaced, and the number of each kind."""
@@ -236,23 +243,50 @@ class Pseudonyms:
         def one(m: re.Match) -> str:
             kind = m.lastgroup
             new = getattr(self, kind)(m)
-            if new is None:
+            if new is None or new == m[0]:
                 return m[0]
             counts[kind] = counts.get(kind, 0) + 1
             return new
 
-        lines = text.split("\n")
-        for i, line in enumerate(lines):
-            if _TRIGGER.search(line):
-                lines[i] = _VALUE.sub(one, line)
-        return "\n".join(lines), counts
+        def alone(m: re.Match) -> str:
+            new = self.value(m["value"])
+            if new != m["value"]:
+                counts["secret"] = counts.get("secret", 0) + 1
+            return m[0][: m.start("value") - m.start()] + new + m[0][m.end("value") - m.start() :]
+
+        def lines(part: str) -> str:
+            rows, named = part.split("\n"), False
+            for i, line in enumerate(rows):
+                if named and _ALONE.fullmatch(line):
+                    rows[i], named = _ALONE.sub(alone, line), False
+                elif _TRIGGER.search(line):
+                    rows[i], named = _VALUE.sub(one, line), bool(_NAMED.search(line))
+                elif line.strip():
+                    named = False
+            return "\n".join(rows)
+
+        out, at = [], 0
+        for m in _BLOCK.finditer(text) if _BLOCK_HEAD in text else ():
+            out += [lines(text[at : m.start("key")]), self.string(m["key"], "block")]
+            counts["secret"] = counts.get("secret", 0) + 1
+            at = m.end("key")
+        return "".join([*out, lines(text[at:])]), counts
 
 
 _EDGE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
+_BLOCK_HEAD = "-----BEGIN "
 _KEYWORD = r"(?i:password|passwd|pwd|secret|api[_\-]?key|token)"
 #: A line without these has no value of any kind: all that _VALUE matches has a digit, an at sign, a
-#: keyword, a cloud key's head or 32 letters that are hexadecimal digits.
-_TRIGGER = re.compile(rf"[0-9@]|AKIA|[a-f]{{32}}|{_KEYWORD}")
+#: keyword, a cloud key's or signed token's head or 32 letters that are hexadecimal digits.
+_TRIGGER = re.compile(rf"[0-9@]|AKIA|eyJ|[a-f]{{32}}|{_KEYWORD}|{_BLOCK_HEAD}")
+#: A keyword that ends its line, and a value that fills one.
+_NAMED = re.compile(rf"{_EDGE}{_KEYWORD}\s{{0,4}}[=:]\s*$")
+_ALONE = re.compile(r"\s*[\"']?(?P<value>[A-Za-z0-9_\-+/.!]{6,}+)[\"']?\s*")
+#: A private key's lines after its head line and headers; only the last word before the end line may be short.
+_BLOCK = re.compile(
+    rf"{_BLOCK_HEAD}[A-Z0-9 ]{{0,40}}PRIVATE KEY(?: BLOCK)?-----[ \t]*+(?:\r?\n[A-Za-z\-]++:[^\n]*+)*+"
+    r"(?P<key>(?:\s*+[A-Za-z0-9+/=]{16,}+)++(?:\s*+[A-Za-z0-9+/=]{1,15}+(?=\s*+-----END))?)"
+)
 #: Phones have a country prefix, or an area in brackets, or a national plan in its common grouping.
 _PHONE = (
     rf"(?<![0-9])\+1[ .\-]?\(?[0-9]{{3}}\)?[ .\-]?[0-9]{{3}}[ .\-]?[0-9]{{4}}{_END}"
@@ -265,9 +299,10 @@ _PHONE = (
     rf"|0[1-9][0-9]{{1,3}}[ \-/][0-9]{{3,4}}[ \-]?[0-9]{{3,4}})(?![0-9A-Za-z]|[.\-,/][0-9])"  # Britain, Germany
 )
 _VALUE = re.compile(
-    rf"(?P<email>(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{{1,64}}@[A-Za-z0-9\-]{{1,63}}"
-    rf"(?:\.[A-Za-z0-9\-]{{1,63}}){{0,8}}\.[A-Za-z]{{2,24}}(?![A-Za-z0-9]))"
-    rf"|(?P<secret>{_EDGE}(?:(?P<cloud>AKIA[0-9A-Z]{{16}}){_END}|(?P<hex>[0-9a-f]{{32,}}+){_END}"
+    rf"(?P<email>(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++"
+    rf"(?:\.[A-Za-z0-9\-]++)*\.[A-Za-z]{{2,}}(?![A-Za-z0-9]))"
+    rf"|(?P<secret>{_EDGE}(?:(?P<cloud>AKIA[0-9A-Z]{{16}}){_END}|(?:0x)?(?P<hex>[0-9a-f]{{32,}}+){_END}"
+    rf"|(?P<signed>(?<![_\-.])eyJ[A-Za-z0-9_\-]{{8,}}\.[A-Za-z0-9_\-]{{8,}}\.[A-Za-z0-9_\-]{{8,}}+)"
     rf"|{_KEYWORD}\s{{0,4}}[=:]\s{{0,4}}[\"']?"
     rf"(?P<value>[A-Za-z0-9_\-+/.!]{{6,}})))"
     rf"|(?P<iban>{_EDGE}[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{2,7}}(?: ?[0-9A-Z]{{1,3}})?{_END})"
