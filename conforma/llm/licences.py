@@ -2,9 +2,10 @@
 
 Scored are lines, and paragraphs of several lines: runs of lines with letters or digits, so that notices
 wrapped in source files, behind comment marks, are whole. A paragraph's family counts if none of its
-lines has it. The features of both are the distinct word 2- and 3-grams that licence templates have;
+lines has it; then families of its lines whose name is within its own (CC-BY in CC-BY-SA) are parts of
+it and don't count. The features of both are the distinct word 2- and 3-grams that licence templates have;
 a softmax regression over them tells licence families from the unknown class. It is trained on the
-driver from the templates (with words dropped and other words around) and a bounded sample of the
+driver from the templates (with words dropped and other words around; as unknown: parts of them, and notices whose names are replaced) and a bounded sample of the
 documents' own lines, of BACKGROUND, as unknown; its temperature and the least probability of a known
 family are set on variants and lines left out. A prediction counts if its line or paragraph also has CONFIRM
 of the 2-grams of one of that family's templates. Texts without any of the words that every confirmed
@@ -27,61 +28,136 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-# Notices by which licences of each family are commonly declared.
+# Notices by which licences of each family are commonly declared, heads and grants of their full texts.
 TEMPLATES = {
+    "0BSD": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+        "SPDX-License-Identifier: 0BSD",
+    ],
+    "AGPL": [
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        "SPDX-License-Identifier: AGPL",
+    ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
         "Released under the Apache 2.0 license.",
         'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        "Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+        "SPDX-License-Identifier: Apache-2.0",
     ],
     "BSD": [
         "Licensed under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "SPDX-License-Identifier: BSD",
     ],
     "CC-BY": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "Licensed under CC BY",
+        "This work is licensed under a Creative Commons Attribution License",
+        "This work is licensed under a Creative Commons Attribution 3.0 Unported License",
+        "SPDX-License-Identifier: CC-BY",
     ],
     "CC-BY-NC": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "Licensed under CC BY-NC",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial License",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License",
+        "SPDX-License-Identifier: CC-BY-NC",
+    ],
+    "CC-BY-NC-ND": [
+        "Licensed under CC BY-NC-ND",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives License",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 3.0 Unported License",
+        "SPDX-License-Identifier: CC-BY-NC-ND",
+    ],
+    "CC-BY-NC-SA": [
+        "Licensed under CC BY-NC-SA",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike License",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License",
+        "SPDX-License-Identifier: CC-BY-NC-SA",
+    ],
+    "CC-BY-ND": [
+        "Licensed under CC BY-ND",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives License",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 3.0 Unported License",
+        "SPDX-License-Identifier: CC-BY-ND",
     ],
     "CC-BY-SA": [
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "Licensed under CC BY-SA",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike License",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License",
+        "SPDX-License-Identifier: CC-BY-SA",
+    ],
+    "EPL-2.0": [
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        'THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE ("AGREEMENT"). ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT\'S ACCEPTANCE OF THIS AGREEMENT.',
+        "SPDX-License-Identifier: EPL-2.0",
     ],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "Released under the GNU General Public License, version 2.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "SPDX-License-Identifier: GPL",
+    ],
+    "ISC": [
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
     ],
     "LGPL": [
         "This library is licensed under the GNU Lesser General Public License, version 3.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+        "SPDX-License-Identifier: LGPL",
     ],
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT license.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction.',
+        "SPDX-License-Identifier: MIT",
     ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
+        "Mozilla Public License Version 2.0",
+        "SPDX-License-Identifier: MPL-2.0",
     ],
     "Public domain": [
         "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
         "To the extent possible under law, the author has waived all copyright and related rights under CC0 1.0.",
+        "SPDX-License-Identifier: Unlicense",
+        "SPDX-License-Identifier: CC0",
     ],
 }
 
+# Words that name a licence or what sets it apart from its neighbours.
+NAMES = set(
+    "0bsd affero agpl apache attribution bsd by cc cc0 commons creative eclipse epl general gnu gpl isc lesser lgpl "
+    "mit mozilla mpl nc nd noderivatives noncommercial sa sharealike unlicense".split()
+)
+
 UNKNOWN = "unknown"
 BACKGROUND = 1000
 VARIANTS = 24
 CONFIRM = 0.7
 LEAST = 0.5
 MAX_FEATURES = 20_000
+#: Counts of so many templates are summed in one long, in fields of so many bits.
+PACKED, FIELD = 7, 9
 
 
 def tokens(text: str) -> list[str]:
@@ -133,10 +209,17 @@ def train(background: list[str], seed: int = 3) -> Model:
     filler = np.array([w for line in lines for w in line] or ["text"])
     for y, words in templates:
         for _ in range(VARIANTS):
-            kept = [w for w in words if rng.random() > 0.06]
+            kept = [w for w in words if w in NAMES or rng.random() > 0.06]
+            if not any(map(str.isdigit, families[y])):  # a family of any version
+                kept = [str(rng.integers(6)) if w.isdigit() and rng.random() < 0.3 else w for w in kept]
             a, b = (rng.choice(filler, int(rng.integers(0, 12))).tolist() for _ in range(2))
             rows.append(grams([*a, *kept, *b]))
             labels.append(y)
+        named = [w in NAMES for w in words]
+        for _ in range(VARIANTS // 2 if any(named) else 0):  # nor is a notice of another name
+            own = [str(rng.choice(filler)) if n else w for w, n in zip(words, named, strict=True)]
+            rows.append(grams(own))
+            labels.append(0)
         for _ in range(VARIANTS // 2):  # a few of a template's words are no licence
             n = max(2, len(words) // 4)
             at = int(rng.integers(0, len(words) - n + 1))
@@ -223,13 +306,19 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     names = [f"w{i}" for i in range(len(model.families))]
     templates = [(f, t) for f in known for t in TEMPLATES[f]]
     pairs = [{g for g in grams(tokens(t)) if g.count(" ") == 1} for _, t in templates]
-    rows = [("", [0.0] * len(names), [])]  # keeps documents without features
+    if max(map(len, pairs)) >= 1 << FIELD:
+        raise ValueError(f"a template has {1 << FIELD} different 2-grams or more")
+    counts = [f"t{k}" for k in range(-(-len(pairs) // PACKED))]
+    rows = [("", [0.0] * len(names), [0] * len(counts))]  # keeps documents without features
     for i, g in enumerate(model.features):
-        rows.append((g, [float(v) for v in model.weights[i]], [k for k, p in enumerate(pairs) if g in p]))
-    weights = spark.createDataFrame(rows, "gram string, w array<double>, in array<int>")
-    weights = weights.select("gram", *[F.col("w")[i].alias(c) for i, c in enumerate(names)], *[
-        F.array_contains("in", k).cast("int").alias(f"t{k}") for k in range(len(templates))
-    ])
+        own = [0] * len(counts)
+        for k, p in enumerate(pairs):
+            own[k // PACKED] |= (g in p) << FIELD * (k % PACKED)
+        rows.append((g, [float(v) for v in model.weights[i]], own))
+    weights = spark.createDataFrame(rows, "gram string, w array<double>, t array<long>")
+    weights = weights.select(
+        "gram", *[F.col("w")[i].alias(c) for i, c in enumerate(names)], *[F.col("t")[k].alias(c) for k, c in enumerate(counts)]
+    )
 
     filled = F.size(F.filter(lines(F.col("text")), lambda x: F.trim(x) != ""))
     runs = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), MARKS, ""), BETWEEN)
@@ -259,29 +348,39 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     hits = hits.select("row", "par", "doc_id", "n_paragraphs", "gram", F.explode(units).alias("line"))
     sums = hits.join(F.broadcast(weights), "gram").groupBy("row", "par", "line").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_paragraphs").alias("n_paragraphs"),
-        *[F.sum(c).alias(c) for c in names], *[F.sum(f"t{k}").alias(f"t{k}") for k in range(len(templates))],
+        *[F.sum(c).alias(c) for c in [*names, *counts]],
     )
-    logits = [(F.col(c) + float(model.bias[i])) / model.temperature for i, c in enumerate(names)]
-    top = F.greatest(*logits)
-    total = sum((F.exp(z - top) for z in logits), F.lit(0.0))
-    best = F.coalesce(*[F.when(z == top, F.lit(f)) for z, f in zip(logits, model.families, strict=True)])
+    # In steps, so that what many conditions read is worked out once.
+    ids = ["row", "par", "line", "doc_id", "n_paragraphs"]
+    each = sums.select(*ids, *counts, *[((F.col(c) + float(model.bias[i])) / model.temperature).alias(c) for i, c in enumerate(names)])
+    each = each.withColumn("top", F.greatest(*names))
+    total = sum((F.exp(F.col(c) - F.col("top")) for c in names), F.lit(0.0))
+    best = F.coalesce(*[F.when(F.col(c) == F.col("top"), F.lit(f)) for c, f in zip(names, model.families, strict=True)])
+    each = each.select(*ids, *counts, best.alias("best"), (1 / total).alias("p"))
     confirmed = F.lit(False)
-    for k, (f, _) in enumerate(templates):
-        confirmed |= (best == f) & (F.col(f"t{k}") >= CONFIRM * len(pairs[k]))
-    sure = (best != UNKNOWN) & (1 / total >= model.least) & confirmed
-    each = sums.select("row", "par", "line", "doc_id", "n_paragraphs", F.when(sure, best).alias("family"), F.when(sure, 1 / total).alias("p"))
+    for f in known:
+        some = F.lit(False)
+        for k in [k for k, (own, _) in enumerate(templates) if own == f]:
+            n = F.shiftright(f"t{k // PACKED}", FIELD * (k % PACKED)).bitwiseAND((1 << FIELD) - 1)
+            some |= n >= CONFIRM * len(pairs[k])
+        confirmed |= (F.col("best") == f) & some
+    sure = (F.col("best") != UNKNOWN) & (F.col("p") >= model.least) & confirmed
+    each = each.select(*ids, F.when(sure, F.col("best")).alias("family"), F.when(sure, F.col("p")).alias("p"))
     is_line = F.col("line") != WHOLE
+    found = F.when(F.col("family").isNotNull(), F.struct("family", "p"))
     by_par = each.groupBy("row", "par").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_paragraphs").alias("n_paragraphs"),
-        F.collect_list(F.when(is_line, F.col("family"))).alias("of_lines"),
-        F.max(F.when(~is_line, F.col("family"))).alias("of_whole"),
-        F.max(F.when(is_line, F.col("p"))).alias("p_lines"), F.max(F.when(~is_line, F.col("p"))).alias("p_whole"),
+        F.collect_list(F.when(is_line, found)).alias("of_lines"), F.max(F.when(~is_line, found)).alias("of_whole"),
     )
-    more = F.col("of_whole").isNotNull() & ~F.array_contains("of_lines", F.col("of_whole"))
+    own = F.col("of_whole.family")
+    more = F.col("of_whole").isNotNull() & ~F.exists("of_lines", lambda x: x["family"] == own)
+    others = F.filter("of_lines", lambda x: ~F.contains(own, x["family"]))
     each = by_par.select(
         "row", "doc_id", "n_paragraphs",
-        F.when(more, F.concat("of_lines", F.array("of_whole"))).otherwise(F.col("of_lines")).alias("families"),
-        F.greatest("p_lines", F.when(more, F.col("p_whole"))).alias("p"),
+        F.when(more, F.concat(others, F.array("of_whole"))).otherwise(F.col("of_lines")).alias("found"),
+    ).select(
+        "row", "doc_id", "n_paragraphs", F.transform("found", lambda x: x["family"]).alias("families"),
+        F.array_max(F.transform("found", lambda x: x["p"])).alias("p"),
     )
     out = each.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),

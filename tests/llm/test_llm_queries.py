@@ -410,7 +410,9 @@ def licence_rows(text, model):
         own = [licences.tokens(x) for x in run.split("\n")]
         found = [v for words in own for v in verdict(words)]
         whole = verdict([w for words in own for w in words]) if len(own) > 1 else []
-        out += found + [v for v in whole if v[0] not in {f for f, _ in found}]
+        if whole and whole[0][0] not in {f for f, _ in found}:
+            found = [v for v in found if v[0] not in whole[0][0]] + whole
+        out += found
     return sorted(f for f, _ in out), max((p for _, p in out), default=None)
 
 
@@ -452,6 +454,54 @@ def test_confirmed_texts_have_a_telling_word():
             assert sum(not words & set(g.split(" ")) for g in pairs) < licences.CONFIRM * len(pairs)
 
 
+def test_licences_of_full_texts_tags_and_neighbours(spark):
+    """Heads and grants of full texts, tags, versions and wrapped notices; families that were never taught are unknown."""
+    from conforma.llm import licences
+
+    cases = {
+        "AGPL": [
+            "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU Affero General"
+            " Public License as\n# published by the Free Software Foundation, either version 3 of the\n# License, or (at your option)"
+            " any later version.",
+            "// SPDX-License-Identifier: AGPL-3.0-or-later",
+        ],
+        "Apache-2.0": ["                 Apache License\n           Version 2.0, January 2004\n        http://www.apache.org/licenses/"],
+        "BSD": ["SPDX-License-Identifier: BSD-3-Clause"],
+        "CC-BY-NC-SA": ["Licensed under CC BY-NC-SA 2.5."],
+        "CC-BY-SA": [
+            "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", "Licensed under CC BY-SA 3.0"
+        ],
+        "EPL-2.0": [
+            "/* This program and the accompanying materials are made\n * available under the terms of the Eclipse Public License 2.0\n"
+            " * which is available at https://www.eclipse.org/legal/epl-2.0/ */"
+        ],
+        "GPL": ["GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007", "SPDX-License-Identifier: GPL-2.0-only"],
+        "ISC": [
+            "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted,"
+            " provided that the above\ncopyright notice and this permission notice appear in all copies."
+        ],
+        "Public domain": [
+            "This is free and unencumbered software released into the public domain.",
+            "Anyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or"
+            " as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.",
+        ],
+        "": [
+            "SPDX-License-Identifier: Zlib", "Licensed under the Zlib License.", "Licensed under the Academic Free License, version 3.0.",
+            "This program is free software: you can redistribute it and/or modify it under the terms of the Harbour Licence as published"
+            " by the Harbour Board, either version 3 of the License, or (at your option) any later version.",
+            "Licensed under the Harbour Public License, version 2.0.", "Released under the Harbour License.",
+            "Permission is granted to copy this document under the terms of the GNU Free Documentation License, Version 1.3.",
+            "We compare the GNU General Public License with others.",
+        ],
+    }
+    rows = [(f, t) for f, ts in cases.items() for t in ts]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    words = "rivers carry sand to the sea while towns keep ledgers of grain and boats wait for wind near old stone quays".split()
+    model = licences.train([" ".join(words[(i * 7 + j * (i % 5 + 1)) % len(words)] for j in range(9)) for i in range(200)])
+    got = {r.doc_id: ",".join(r.families) for r in licences.scan(df, model).collect()}
+    assert [(got[i], t) for i, (_, t) in enumerate(rows)] == rows
+
+
 def test_licence_plan_has_no_python(spark, data):
     plan = Q.queries()["op8_licences"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
