@@ -4,9 +4,11 @@ A phrase is a run of 13 consecutive words of a test item, or a shorter item as a
 takes its documents in shards of bounded size. A shard's words become symbols, where a run of words
 that no phrase has is one separator; over those the task builds an FM-index, searches all phrases
 backward through wavelet-tree ranks, locates the occurrences by sampled suffix positions and merges
-them into spans. Documents are never shuffled. Test items are searched in blocks of bounded size, one
-block in a pass over the documents: a pass adds its spans to those of the passes before, which wrote them
-into the shared folder, so that no worker holds more than one block.
+them into spans. Test items are searched in blocks of bounded size, one block in a pass over the documents, so
+that no worker holds more than one block. With one block, documents aren't shuffled. With more, each pass
+but the last writes the hits of texts that have any, by the texts' digests, into the shared folder; the
+last pass's rows are joined with those (by digest, so that copies of a text are found again whatever the
+order of rows), and spans merged.
 
 Defined cases: a null or wordless text has no words, spans or items; a test item whose id or text is
 null, or without words, has no phrase; items of the same id count as one; repeated documents each
@@ -16,6 +18,7 @@ give a row; other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -83,15 +86,11 @@ def _occurrences(shard: list[list[bytes]], phrases: Phrases) -> tuple[np.ndarray
     return phrase, kept[index.locate(first + np.arange(len(phrase)))]
 
 
-def _scan(shard: list[list[bytes]], phrases: Phrases, before: list[tuple[list, list]]) -> Iterator[tuple[list, list]]:
-    """(spans, items) of each document of a shard, with those found before."""
+def _scan(shard: list[list[bytes]], phrases: Phrases) -> Iterator[tuple[list, list]]:
+    """(spans, items) of each document of a shard."""
     starts = np.concatenate([[0], np.cumsum([len(d) + 1 for d in shard])])
     change = np.zeros(starts[-1] + 1, np.int64)
-    items: list[set[str]] = [set(own) for _, own in before]
-    for start, (spans, _) in zip(starts, before, strict=False):
-        for x in spans:
-            change[start + x["start"]] += 1
-            change[start + x["end"]] -= 1
+    items: list[set[str]] = [set() for _ in shard]
     phrase, place = _occurrences(shard, phrases)
     change += np.bincount(place, minlength=len(change))
     change -= np.bincount(place + phrases.lengths[phrase], minlength=len(change))
@@ -109,16 +108,16 @@ def _scan(shard: list[list[bytes]], phrases: Phrases, before: list[tuple[list, l
         yield own, sorted(found)
 
 
-def _pass(rows: DataFrame, shared, shard_words: int, last: bool) -> DataFrame:
-    """rows, searched for a block of phrases; their text, __text, leaves with the last pass."""
-    kept = [c for c in rows.columns if c not in ("n_words", "spans", "items") and not (last and c == "__text")]
+def _pass(rows: DataFrame, shared, shard_words: int) -> DataFrame:
+    """rows without their text, __text, which is searched for a block of phrases."""
+    kept = [c for c in rows.columns if c != "__text"]
     schema = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in kept) + FOUND
 
     def run(batches):
         out_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-        def flush(parts, shard, before):
-            found = list(_scan(shard, shared.value, before))
+        def flush(parts, shard):
+            found = list(_scan(shard, shared.value))
             own = pa.Table.from_batches(parts).combine_chunks().to_batches()[0].columns if kept else []
             return pa.RecordBatch.from_arrays(
                 [
@@ -130,25 +129,54 @@ def _pass(rows: DataFrame, shared, shard_words: int, last: bool) -> DataFrame:
                 names=[*kept, "n_words", "spans", "items"],
             )
 
-        parts, shard, before, n = [], [], [], 0
+        parts, shard, n = [], [], 0
         for batch in batches:
-            texts, spans, items = (batch.column(c) for c in ("__text", "spans", "items"))
+            texts = batch.column("__text")
             own, start = batch.select(kept), 0
             for i in range(batch.num_rows):
                 shard.append(words(texts[i].as_py() or ""))
-                before.append((spans[i].as_py() or [], items[i].as_py() or []))
                 n += len(shard[-1]) + 1
                 if n >= shard_words:
-                    yield flush([*parts, own.slice(start, i + 1 - start)], shard, before)
-                    parts, shard, before, n, start = [], [], [], 0, i + 1
+                    yield flush([*parts, own.slice(start, i + 1 - start)], shard)
+                    parts, shard, n, start = [], [], 0, i + 1
             if start < batch.num_rows:
                 parts.append(own.slice(start))
         if shard:
-            yield flush(parts, shard, before)
+            yield flush(parts, shard)
 
     return rows.mapInArrow(run, schema)
 
 
+def _joined(spans: pa.Array) -> pa.Array:
+    """Spans of each row in order, those that meet or overlap joined."""
+    flat, sizes = spans.flatten(), np.diff(np.asarray(spans.offsets))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    start, end = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end"))
+    shift = owner * (int(end.max(initial=0)) + 1)  # spans of different rows never meet
+    order = np.lexsort((start, owner))
+    start, end, shift, owner = (x[order] for x in (start, end, shift, owner))
+    reach = np.maximum.accumulate(end + shift)
+    fresh = np.append(True, start[1:] + shift[1:] > reach[:-1])[: len(start)] | np.append(True, owner[1:] != owner[:-1])[: len(start)]
+    at = np.flatnonzero(fresh)
+    last = np.append(at[1:], len(start))[: len(at)] - 1
+    out = pa.StructArray.from_arrays([pa.array(start[at]), pa.array((reach - shift)[last])], names=["start", "end"])
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[at], minlength=len(sizes)))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), out)
+
+
+def _with_hits(found: DataFrame, hits: DataFrame) -> DataFrame:
+    """found's rows with the spans and items that other passes found in the same text."""
+    more = hits.groupBy("__digest").agg(
+        F.flatten(F.collect_list("spans")).alias("__spans"), F.flatten(F.collect_list("items")).alias("__items")
+    )
+    joined = F.arrow_udf(_joined, "array<struct<start: long, end: long>>")
+    none = [F.array().cast(f"array<{k}>") for k in ("struct<start: long, end: long>", "string")]
+    rows = found.join(more, "__digest", "left")
+    spans = joined(F.concat("spans", F.coalesce("__spans", none[0])))
+    items = F.array_sort(F.array_distinct(F.concat("items", F.coalesce("__items", none[1]))))
+    return rows.withColumn("spans", spans).withColumn("items", items).drop("__digest", "__spans", "__items")
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -166,20 +194,20 @@ def decontaminate(
     n_blocks = max(1, -(-size // block_bytes))
     others = docs.drop("n_words", "spans", "items")
     keep = [c for c in keep or others.columns if c in others.columns]
-    spans, items = (F.lit(None).cast(k) for k in ("array<struct<start: long, end: long>>", "array<string>"))
-    rows = others.select(*keep, F.col("text").alias("__text"), spans.alias("spans"), items.alias("items"))
-    scratch = Scratch(spark, "decontaminate") if n_blocks > 1 else None
+    scratch, hits = Scratch(spark, "decontaminate"), []
     for b in range(n_blocks):
         block = tests.filter(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == b)
         shared = spark.sparkContext.broadcast(Phrases([(r.i, r.t) for r in block.collect()], window))
-        last = b == n_blocks - 1
-        rows = _pass(rows, shared, shard_words, last)
-        if not last:
-            rows = scratch.write(rows, f"pass-{b}")
-            shared.destroy()
-            if b:
-                scratch.remove(f"pass-{b - 1}")
-    return rows
+        text, key = F.col("text").alias("__text"), F.sha2(F.col("text").cast("binary"), 256).alias("__digest")
+        if b == n_blocks - 1:
+            break
+        found = _pass(others.select(key, text), shared, shard_words).filter(F.size("items") > 0)
+        hits.append(scratch.write(found.drop("n_words").dropDuplicates(["__digest"]), f"pass-{b}"))
+        shared.destroy()
+    if not hits:
+        return _pass(others.select(*keep, text), shared, shard_words)
+    found = _pass(others.select(*keep, key, text), shared, shard_words)
+    return _with_hits(found, reduce(DataFrame.unionAll, hits))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -464,3 +464,15 @@ def test_repeated_heads_take_time_by_length(unit):
     start = time.perf_counter()
     p.text(unit * 30_000)
     assert time.perf_counter() - start < 20
+
+
+@given(st.lists(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 9)), max_size=9), max_size=6))
+def test_spans_are_joined(rows):
+    import pyarrow as pa
+    from conforma.llm import decontaminate as D
+
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    got = D._joined(pa.array([[{"start": a, "end": a + n} for a, n in row] for row in rows], kind)).to_pylist()
+    for own, row in zip(got, rows, strict=True):
+        assert [x for s in own for x in range(s["start"], s["end"])] == sorted({x for a, n in row for x in range(a, a + n)})
+        assert all(a["end"] < b["start"] for a, b in zip(own, own[1:], strict=False))
