@@ -337,38 +337,60 @@ def blocks(docs: DataFrame, held_out: Column, own: np.ndarray, block_tokens: int
 PLACES = "array<struct<block: long, first: int, contexts: binary>>"
 
 
-def merged_words(split: DataFrame) -> DataFrame:
-    """word, contexts (uint16) and counts (int64) over all blocks, and the word's places."""
-    rows = split.filter(F.col("word").isNotNull()).groupBy("word")
-    rows = rows.agg(F.collect_list(F.struct("block", "first", "contexts", "counts")).alias("p"))
+#: Entries of a word that are merged in one row.
+FAN_IN = 64
+
+
+def _merged(rows: DataFrame, places: bool) -> DataFrame:
+    """(word, part, contexts, counts (int64)), summed over a row's list p of counts; with p's places, if asked."""
+    kind = "<u4" if places else "<i8"
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(1)
+            lists = batch.column("p")
             of_place = lists.flatten()
             per_word = np.diff(np.asarray(lists.offsets))
             contexts, n = unpacked(of_place.field("contexts"), "<u2")
-            counts, _ = unpacked(of_place.field("counts"), "<u4")
+            counts, _ = unpacked(of_place.field("counts"), kind)
             owner = np.repeat(np.repeat(np.arange(len(per_word)), per_word), n)
             key, at = np.unique(owner * CONTEXTS + contexts, return_inverse=True)
             total = np.zeros(len(key), np.int64)
             np.add.at(total, at, counts.astype(np.int64))
             sizes = np.bincount(key // CONTEXTS, minlength=batch.num_rows)
-            kept = pa.StructArray.from_arrays([of_place.field(c) for c in ("block", "first", "contexts")], names=["block", "first", "contexts"])
-            offsets = pa.array(np.concatenate([[0], np.cumsum(per_word)]), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), binaries((key % CONTEXTS).astype("<u2"), sizes), binaries(total, sizes), pa.ListArray.from_arrays(offsets, kept)],
-                names=["word", "contexts", "counts", "places"],
-            )
+            out = [*batch.select(["word", "part"]).columns, binaries((key % CONTEXTS).astype("<u2"), sizes), binaries(total, sizes)]
+            if places:
+                kept = pa.StructArray.from_arrays([of_place.field(c) for c in ("block", "first", "contexts")], names=["block", "first", "contexts"])
+                offsets = pa.array(np.concatenate([[0], np.cumsum(per_word)]), pa.int32())
+                out.append(pa.ListArray.from_arrays(offsets, kept))
+            yield pa.RecordBatch.from_arrays(out, names=["word", "part", "contexts", "counts", *["places"][: int(places)]])
 
-    return rows.mapInArrow(run, f"word binary, contexts binary, counts binary, places {PLACES}")
+    return rows.mapInArrow(run, "word binary, part long, contexts binary, counts binary" + (f", places {PLACES}" if places else ""))
+
+
+def merged_words(split: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(word, contexts (uint16), counts (int64)) over all blocks, and (word, places) by parts of blocks.
+
+    A word's blocks are dealt to parts of about FAN_IN, merged there, then FAN_IN parts at a time, so that no row
+    grows with the number of blocks. With one part both are the same table.
+    """
+    parts = -(-split.select("block").distinct().count() // FAN_IN) or 1
+    rows = split.filter(F.col("word").isNotNull()).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)))
+    rows = rows.groupBy("word", "part").agg(F.collect_list(F.struct("block", "first", "contexts", "counts")).alias("p"))
+    words = places = scratch.write(_merged(rows, True), "words")
+    level = 0
+    while parts > 1:
+        parts, level = -(-parts // FAN_IN), level + 1
+        rows = words.select("word", F.pmod("part", F.lit(parts)).alias("part"), "contexts", "counts")
+        rows = rows.groupBy("word", "part").agg(F.collect_list(F.struct("contexts", "counts")).alias("p"))
+        words = scratch.write(_merged(rows, False), f"words-{level}")
+    return words, places
 
 
 def _pairs(batch) -> tuple:
     """words, owner, context and count of the pairs in a batch of (word, contexts, counts)."""
-    context, n = unpacked(batch.column(1), "<u2")
-    counts, _ = unpacked(batch.column(2), "<i8")
-    return batch.column(0).to_pylist(), np.repeat(np.arange(len(n)), n), context.astype(np.int64), counts
+    context, n = unpacked(batch.column("contexts"), "<u2")
+    counts, _ = unpacked(batch.column("counts"), "<i8")
+    return batch.column("word").to_pylist(), np.repeat(np.arange(len(n)), n), context.astype(np.int64), counts
 
 
 # What a sweep sums: spelled bytes by keys from 0 on, and by these and further down, totals.
@@ -428,7 +450,7 @@ def score(
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity."""
     scratch = Scratch(docs.sparkSession, "pitman-yor")
     split = scratch.write(blocks(docs, held_out, context_table(docs, held_out), block_tokens), "blocks")
-    words = scratch.write(merged_words(split), "words")
+    words, places = merged_words(split, scratch)
     model, v = fit(words, sweeps)
     n = int(model.customers.sum())
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -441,18 +463,37 @@ def score(
             states = [x[3] for x in gibbs(own, owner, context, counts, shared.value, last=True)]
             kept = states[1:] or states
             logs = np.log10(np.maximum(sum(kept) / len(kept), 1e-300)).astype("<f4")
-            lists = batch.column(3)
-            places, per_word = lists.flatten(), np.diff(np.asarray(lists.offsets))
-            wanted, each = unpacked(places.field("contexts"), "<u2")
-            of_place = np.repeat(np.arange(len(own)), per_word)
-            at = np.searchsorted(owner * CONTEXTS + context, np.repeat(of_place, each) * CONTEXTS + wanted)
             total = np.bincount(owner, counts, len(own)).astype(np.int64)
+            sizes = np.bincount(owner, minlength=len(own))
+            more = {c: batch.column(c) for c in batch.schema.names if c == "places"}
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("word"), batch.column("contexts"), binaries(logs, sizes), pa.array(total), *more.values()],
+                names=["word", "contexts", "logs", "c", *more],
+            )
+
+    def placed(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            context, sizes = unpacked(batch.column("contexts"), "<u2")
+            logs, _ = unpacked(batch.column("logs"), "<f4")
+            owner = np.repeat(np.arange(batch.num_rows), sizes)
+            lists = batch.column("places")
+            of, per_word = lists.flatten(), np.diff(np.asarray(lists.offsets))
+            wanted, each = unpacked(of.field("contexts"), "<u2")
+            of_place = np.repeat(np.arange(batch.num_rows), per_word)
+            at = np.searchsorted(owner * CONTEXTS + context, np.repeat(of_place, each) * CONTEXTS + wanted)
             yield pa.RecordBatch.from_arrays(
-                [places.field("block"), places.field("first"), pa.array(total[of_place]), binaries(logs[at], each)],
+                [of.field("block"), of.field("first"), batch.column("c").take(pa.array(of_place)), binaries(logs[at], each)],
                 names=["block", "first", "c", "logs"],
             )
 
-    stats = words.mapInArrow(predict, "block long, first int, c long, logs binary")
+    stats, found = "word binary, contexts binary, logs binary, c long", "block long, first int, c long, logs binary"
+    if words is places:
+        stats = words.mapInArrow(lambda batches: placed(predict(batches)), found)
+    else:
+        stats = words.select("word", "contexts", "counts").mapInArrow(predict, stats)
+        stats = stats.join(places.select("word", "places"), "word").mapInArrow(placed, found)
     vectors = split.filter(F.col("word").isNull()).select("block", "doc_id", "held_out", "n_tokens", "ids", "tfs")
 
     def of_block(vectors_: pa.Table, stats_: pa.Table) -> pa.Table:

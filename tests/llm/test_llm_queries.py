@@ -116,6 +116,11 @@ def test_benchmark_in_blocks(spark, data):
         for k in ({}, {"block_bytes": 50, "shard_words": 64})
     )
     assert whole == parts
+    docs = docs.union(docs.limit(3))  # copies, and all of a document's columns
+    spans = [
+        sorted(map(str, D.decontaminate(docs, bench, **k).collect())) for k in ({}, {"block_bytes": 50, "shard_words": 64})
+    ]
+    assert spans[0] == spans[1]
 
 
 def test_pack(spark, data):
@@ -352,11 +357,12 @@ def prose_scores(spark, partitions, block_tokens, arrow=10_000):
     return {r.doc_id: r.score for r in rows}
 
 
-def test_pitman_yor_ranks_held_out_texts(spark):
+def test_pitman_yor_ranks_held_out_texts(spark, monkeypatch):
     """Prose above the same words in any order, and both above junk, whatever the partitions and blocks."""
     got = prose_scores(spark, 2, 1 << 20)
     for i in range(10):
         assert got[1000 + i] > got[2000 + i] > got[3000 + i]
+    monkeypatch.setattr("conforma.llm.pitman_yor.FAN_IN", 3)  # three levels of merging
     other = prose_scores(spark, 7, 700, 13)
     assert all(other[i] == pytest.approx(x, rel=1e-6) for i, x in got.items())
 
