@@ -7,6 +7,8 @@ cells) is set by `in_scope()`. The expected language is a parameter. Rules of si
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,17 +191,29 @@ def order_ranks(boxes: DataFrame, band: Column | int) -> DataFrame:
 
 
 def reading_order(shapes: DataFrame, decks: DataFrame) -> DataFrame:
-    """The tree's order is neither that of rows nor, with two columns or more, that of columns."""
+    """The tree's order is neither that of rows nor, with two columns or more, that of columns.
+
+    Decks' heights are joined with slides, so that no window has a whole deck in one task.
+    """
     rows = scope(shapes, decorative=False, hidden=False).filter("media_kind is null and x is not null")
     heights = decks.select("deck_id", F.greatest(F.lit(1), F.floor(F.col("slide_h") / 12)).alias("band"))
-    ranked = order_ranks(rows.join(heights, "deck_id"), F.col("band"))
-    grouped = ranked.groupBy(*PK).agg(
-        F.count("*").alias("n"),
-        F.bool_or(F.col("rn_tree") != F.col("rn_row")).alias("off_row"),
-        F.bool_or(F.col("rn_tree") != F.col("rn_col")).alias("off_col"),
-        F.count_distinct("x").alias("lefts"),
+    slides = rows.groupBy(*PK).agg(F.collect_list(F.struct("shape_ord", "x", "y")).alias("boxes"))
+    slides = slides.withColumn("n", F.size("boxes")).filter("n > 1").join(heights, "deck_id")
+
+    def places(*by: Callable[[Column], Column]) -> Column:
+        """shape_ord of a slide's boxes in an order."""
+        keys = F.transform("boxes", lambda b: F.struct(*[f(b).alias(f"k{i}") for i, f in enumerate(by)], b["shape_ord"].alias("o")))
+        return F.transform(F.array_sort(keys), lambda k: k["o"])
+
+    x, y = (lambda b: b["x"]), (lambda b: b["y"])
+    found = slides.withColumns(
+        {
+            "off_row": places() != places(lambda b: F.floor(b["y"] / F.col("band")), x),
+            "off_col": places() != places(x, y),
+            "lefts": F.size(F.array_distinct("boxes.x")),
+        }
     )
-    return finding(grouped.filter("n > 1 and off_row and not (not off_col and lefts >= 2)"), "C02", "E", F.col("n"))
+    return finding(found.filter("off_row and not (not off_col and lefts >= 2)"), "C02", "E", F.col("n"))
 
 
 def object_tests(columns: list[str]) -> list[tuple]:

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import grid as G
 
 
+PARTS_OF_SPLIT = 16
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -69,7 +72,9 @@ def alt_shapes(documents: DataFrame) -> DataFrame:
 
 def shapes(lineitem: DataFrame, *more: str) -> DataFrame:
     """Boxes of all items, in the order of their dates, with more columns of the items. An order's items
-    are numbered over all their columns, as keys repeat."""
+    are numbered over all their columns, as keys repeat. Items are dealt by their order to PARTS_OF_SPLIT parts for each
+    split of the table, so that what a task sorts doesn't grow with the table."""
+    lineitem = lineitem.repartition(PARTS_OF_SPLIT * lineitem.rdd.getNumPartitions(), "l_orderkey")
     order = Window.partitionBy("l_orderkey").orderBy(
         "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
     )
