@@ -339,12 +339,20 @@ def section_slides(slides: DataFrame, sections: DataFrame, name: str) -> DataFra
 
 
 def media_after_title(shapes: DataFrame) -> DataFrame:
-    """shapes with new_ord: media moved right behind the title, all else in order."""
+    """shapes with new_ord: media moved right behind the title, all else in order.
+
+    A place is counted (what goes before, and own rank so far), so that rows are sorted once, by shape_ord.
+    """
     rank = F.when(is_title(F.col("ph_type")), 0).when(F.col("media_kind").isNotNull(), 1).otherwise(2)
-    before = F.min(F.when(is_title(F.col("ph_type")), F.col("shape_ord"))).over(Window.partitionBy(*PK))
+    order = Window.partitionBy(*PK).orderBy("shape_ord")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.min(F.when(is_title(F.col("ph_type")), F.col("shape_ord"))).over(whole)
     rank = F.when(before.isNull(), 1).when((F.col("shape_ord") < before) & F.col("media_kind").isNull(), 0).otherwise(rank)
-    order = Window.partitionBy(*PK).orderBy("__rank", "shape_ord")
-    return shapes.withColumn("__rank", rank).withColumn("new_ord", F.row_number().over(order) - 1).drop("__rank")
+    of = [F.count_if(F.col("__rank") == r) for r in range(3)]
+    place = F.when(F.col("__rank") == 0, of[0].over(upto)).when(F.col("__rank") == 1, of[0].over(whole) + of[1].over(upto))
+    place = place.otherwise(of[0].over(whole) + of[1].over(whole) + of[2].over(upto))
+    return shapes.withColumn("__rank", rank).withColumn("new_ord", (place - 1).cast("int")).drop("__rank")
 
 
 def assign_tracks(slides: DataFrame, tracks: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import io
 import numpy as np
 from pyspark.sql import functions as F
 
-from conforma.operators import rules
+from conforma.operators import rules, transform
 from conforma.sources import adapters as A
 
 
@@ -42,6 +42,23 @@ def test_reading_order_groups_by_slides(spark):
     assert "Window" not in plan(found)
 
 
+def test_media_order_sorts_once(spark):
+    rows, df = boxes(spark)
+    df = df.withColumns({"ph_type": F.when(F.col("x") == 3, "title"), "media_kind": F.when(F.col("y") == 0, "audio")})
+    found = transform.media_after_title(df)
+    assert plan(found).count("Sort [") == 1
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r.slide_no, r.new_ord)):
+        got.setdefault(r.slide_no, []).append(r.shape_ord)
+    for k, order in got.items():
+        own = [r for r in rows if r[1] == k]
+        first = next((r[2] for r in own if r[3] == 3), None)
+        ahead = [o for _, _, o, x, y in own if first is not None and (x == 3 or (o < first and y != 0))]
+        media = [o for _, _, o, x, y in own if o not in ahead and y == 0]
+        rest = [o for _, _, o, x, y in own if o not in ahead and o not in media]
+        assert order == (ahead + media + rest if first is not None else [r[2] for r in own])
+
+
 def test_items_are_dealt_to_parts_by_the_tables_size(spark):
     items = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     parts = A.PARTS_OF_SPLIT * items.rdd.getNumPartitions()
