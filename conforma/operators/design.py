@@ -194,11 +194,11 @@ def text_overflow(shapes: DataFrame, paragraphs: DataFrame) -> DataFrame:
     paragraphs: text, first_size (1/100 pt, null: 18 pt), line_pct (null: single).
     """
     boxes = useful(shapes).filter("tag = 'sp' and media_kind is null and cx > 0 and cy > 0")
-    rows = paragraphs.filter(~T.blank(F.col("text"))).select(*SHAPE, "text", "first_size", "line_pct")
+    rows = paragraphs.filter(~T.blank(F.col("text"))).select(*SHAPE, F.char_length("text").alias("length"), "first_size", "line_pct")
     rows = rows.join(boxes.select(*SHAPE, "cx", "cy"), SHAPE)
     points = F.coalesce(F.nullif("first_size", F.lit(0)) / 100.0, F.lit(18.0))
     per_line = F.greatest(F.lit(8), (F.col("cx") / G.EMU_CM / (points * (G.CM_PER_POINT * 0.5))).cast("int"))
-    lines = F.greatest(F.lit(1), F.ceil(F.char_length("text") / per_line))
+    lines = F.greatest(F.lit(1), F.ceil(F.col("length") / per_line))
     spacing = F.coalesce(F.nullif("line_pct", F.lit(0)), F.lit(100000)) / 100000.0
     need = lines * points * G.CM_PER_POINT * spacing * 1.2
     total = rows.groupBy(*SHAPE).agg(F.sum(need).alias("need"), F.first("cy").alias("cy"))

@@ -2,11 +2,12 @@
 
 import contextlib
 import io
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from conforma.operators import rules, transform
+from conforma.operators import design, rules, transform
 from conforma.sources import adapters as A
 
 
@@ -42,6 +43,14 @@ def test_reading_order_groups_by_slides(spark):
     assert "Window" not in plan(found)
 
 
+def test_text_overflow_joins_lengths(spark):
+    _, df = boxes(spark)
+    texts = df.withColumns({"text": F.expr("repeat('a', int(x) + 90)"), "first_size": F.lit(None).cast("int"), "line_pct": F.lit(None).cast("int")})
+    lines = plan(design.text_overflow(df, texts)).split("\n")
+    dealt = [below for line, below in zip(lines, lines[1:]) if "Exchange hashpartitioning" in line]
+    assert any("length#" in x for x in dealt) and not any(re.search(r"(?<!char_length\()text#", x) for x in dealt)
+
+
 def test_media_order_sorts_once(spark):
     rows, df = boxes(spark)
     df = df.withColumns({"ph_type": F.when(F.col("x") == 3, "title"), "media_kind": F.when(F.col("y") == 0, "audio")})
