@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .ordering import numbered
 from .resolve import is_title
-from .rules import scope
+from .rules import in_scope, scope
 
 PK = ["deck_id", "slide_no"]
 
@@ -145,41 +145,63 @@ def reading(slides: DataFrame, shapes: DataFrame, paragraphs: DataFrame, cells:
     Title first; then texts (bullets named), tables with their headers, other shapes by description;
     notes last. Decorative and hidden shapes are silent.
     """
-    heads = scope(shapes).filter(is_title(F.col("ph_type"))).groupBy(*PK)
-    heads = heads.agg(F.min("shape_ord").alias("t_ord"), F.min_by(T.strip(F.col("text")), "shape_ord").alias("t"))
-    rows = with_total(slides).join(heads, PK, "left")
-    title = F.coalesce(F.nullif("t", F.lit("")), F.lit("SEM TITULO"))
-    first = rows.select(*PK, F.lit(-1).alias("ord"), F.lit(0).alias("sub"), F.format_string("Slide %d de %d: %s", "slide_no", "total", title).alias("line"))
-    shown = scope(shapes, decorative=False, hidden=False).join(heads.select(*PK, "t_ord"), PK, "left")
-    shown = shown.filter(~F.col("shape_ord").eqNullSafe(F.col("t_ord")))
     key = [*PK, "shape_ord"]
-    tabled = shown.filter("has_table").select(*key)
-    texts = scope(paragraphs, cells=False).filter(~T.blank(F.col("text"))).join(shown.filter("not has_table").select(*key), key, "left_semi")
-    mark = F.when(F.col("bullet").isin("buChar", "buAutoNum"), "marcador, ").otherwise("")
-    spoken = texts.select(*PK, F.col("shape_ord").alias("ord"), F.col("para_ord").alias("sub"), F.concat(mark, T.strip(F.col("text"))).alias("line"))
-    kind = F.coalesce(F.create_map(*[F.lit(x) for kv in ANNOUNCED.items() for x in kv])[F.col("tag")], F.lit("objeto"))
-    silent = shown.filter("not has_table").join(texts.select(*key).distinct(), key, "left_anti")
+    kinds = {"tbl_ord": "int", "ri": "int", "ci": "int", "text": "string", "title": "string", "shown": "boolean", "has_table": "boolean"}
+    kinds |= {"first_row": "boolean", "total": "long"}
+
+    def part(rows: DataFrame, kind: str, **columns: Column) -> DataFrame:
+        own = [columns.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items()]
+        ord_ = F.col("shape_ord") if "shape_ord" in rows.columns else F.lit(None).cast("int")
+        return rows.select(*PK, ord_.alias("shape_ord"), F.lit(kind).alias("kind"), *own)
+
+    name = F.coalesce(F.create_map(*[F.lit(x) for kv in ANNOUNCED.items() for x in kv])[F.col("tag")], F.lit("objeto"))
     alt = F.when(T.blank(F.col("alt")), "SEM TEXTO ALTERNATIVO").otherwise(T.strip(F.col("alt")))
-    described = silent.select(*PK, F.col("shape_ord").alias("ord"), F.lit(0).alias("sub"), F.concat_ws(", ", kind, alt).alias("line"))
-    own = cells.join(tabled, key, "left_semi")
-    header = own.filter("ri = 0 and first_row").select(*key, "tbl_ord", "ci", T.strip(F.col("text")).alias("h"))
-    body = own.filter("not (ri = 0 and first_row)").join(header, [*key, "tbl_ord", "ci"], "left")
-    value = F.when(T.blank(F.col("text")), "vazio").otherwise(T.strip(F.col("text")))
-    cell = F.struct("ci", F.concat_ws(": ", F.nullif("h", F.lit("")), value).alias("v"))
-    lines = body.groupBy(*key, "tbl_ord", "ri").agg(F.array_sort(F.collect_list(cell)).alias("cs"))
-    lines = lines.select(*PK, F.col("shape_ord").alias("ord"), (F.col("tbl_ord") * 10000 + F.col("ri")).alias("sub"), F.array_join(F.transform("cs", lambda c: c["v"]), ", ").alias("line"))
+    title = F.when(is_title(F.col("ph_type")), F.coalesce(T.strip(F.col("text")), F.lit("")))
+    shown = in_scope(shapes.columns, decorative=False, hidden=False)
+    rows = part(scope(shapes), "shape", text=F.concat_ws(", ", name, alt), title=title, shown=shown, has_table=F.col("has_table"))
+    mark = F.when(F.col("bullet").isin("buChar", "buAutoNum"), "marcador, ").otherwise("")
+    texts = scope(paragraphs, cells=False).filter(~T.blank(F.col("text")))
+    rows = rows.unionByName(part(texts, "text", ri=F.col("para_ord"), text=F.concat(mark, T.strip(F.col("text")))))
+    own = {c: F.col(c) for c in ("tbl_ord", "ri", "ci", "first_row")}
+    rows = rows.unionByName(part(cells, "cell", text=T.strip(F.coalesce("text", F.lit(""))), **own))
+    rows = rows.unionByName(part(with_total(slides), "slide", total=F.col("total")))
+
+    # all rows of a slide are dealt together once and sorted once, by the longest key
+    kind, over = F.col("kind"), Window.partitionBy
+    heading = F.coalesce((F.col("ri") == 0) & F.col("first_row"), F.lit(False))
+    of_shape = over(*key)
+    rows = rows.repartition(*PK).withColumn("h", F.max(F.when((kind == "cell") & heading, F.col("text"))).over(over(*key, "tbl_ord", "ci")))
+    rows = rows.withColumns(
+        {
+            "shown": F.bool_or("shown").over(of_shape),
+            "has_table": F.bool_or("has_table").over(of_shape),
+            "told": F.bool_or(kind == "text").over(of_shape),
+        }
+    )
+    rows = rows.withColumn("t", F.min(F.when(F.col("title").isNotNull(), F.struct("shape_ord", "title"))).over(over(*PK)))
+    table = F.col("has_table")
+    said = ((kind == "text") & ~table) | ((kind == "shape") & ~table & ~F.col("told")) | ((kind == "cell") & table & ~((F.col("ri") == 0) & F.col("first_row")))
+    rows = rows.filter((kind == "slide") | (F.col("shown") & ~F.col("shape_ord").eqNullSafe(F.col("t.shape_ord")) & said))
+    value = F.concat_ws(": ", F.nullif("h", F.lit("")), F.when(F.col("text") == "", "vazio").otherwise(F.col("text")))
+    first = F.format_string("Slide %d de %d: %s", "slide_no", "total", F.coalesce(F.nullif("t.title", F.lit("")), F.lit("SEM TITULO")))
+    line = F.when(kind == "cell", value).when(kind == "slide", first).otherwise(F.col("text"))
+    lines = rows.groupBy(*key, "kind", "tbl_ord", "ri").agg(F.array_sort(F.collect_list(F.struct("ci", line.alias("v")))).alias("cs"))
+    values = F.transform("cs", lambda c: c["v"])
+    sub = F.when(kind == "cell", F.col("tbl_ord") * 10000 + F.col("ri")).otherwise(F.coalesce("ri", F.lit(0)))
+    ord_ = F.when(kind == "slide", -1).otherwise(F.col("shape_ord"))
+    lines = lines.select(*PK, ord_.alias("ord"), sub.alias("sub"), F.explode(F.when(kind == "cell", F.array(F.array_join(values, ", "))).otherwise(values)).alias("line"))
     notes = slides.filter(~T.blank(F.col("notes"))).select(*PK, F.lit(1 << 30).alias("ord"), F.posexplode(F.split("notes", "\r?\n")).alias("sub", "line"))
-    out = first
-    for more in (spoken, described, lines, notes.filter(~T.blank(F.col("line")))):
-        out = out.unionByName(more)
-    return out
+    return lines.unionByName(notes.filter(~T.blank(F.col("line"))))
 
 
 def transcript(lines: DataFrame) -> DataFrame:
-    """deck_id, transcript, lines: the announced lines of a deck in order."""
-    part = F.struct("slide_no", "ord", "sub", "line")
-    grouped = lines.groupBy("deck_id").agg(F.array_sort(F.collect_list(part)).alias("ls"))
-    return grouped.select("deck_id", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("transcript"), F.size("ls").alias("lines"))
+    """deck_id, transcript, lines: the announced lines of a deck in order, put together by slides first."""
+    of_slide = lines.groupBy(*PK).agg(F.array_sort(F.collect_list(F.struct("ord", "sub", "line"))).alias("ls"))
+    said = F.filter(F.transform("ls", lambda x: x["line"]), lambda x: x.isNotNull())
+    text = F.when(F.size(said) > 0, F.array_join(said, "\n")).alias("text")
+    grouped = of_slide.select(*PK, text, F.size("ls").alias("n")).groupBy("deck_id")
+    grouped = grouped.agg(F.array_sort(F.collect_list(F.struct("slide_no", "text"))).alias("ss"), F.sum("n").cast("int").alias("lines"))
+    return grouped.select("deck_id", F.array_join(F.transform("ss", lambda x: x["text"]), "\n").alias("transcript"), "lines")
 
 
 def audio_script(slides: DataFrame, texts: DataFrame, titles: DataFrame) -> DataFrame:

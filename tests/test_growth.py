@@ -68,6 +68,34 @@ def test_media_order_sorts_once(spark):
         assert order == (ahead + media + rest if first is not None else [r[2] for r in own])
 
 
+def deck(spark):
+    """slides, shapes, paragraphs and cells of a deck: a title, a text, a table and a picture on every slide."""
+    _, df = boxes(spark, 40, 10)
+    tag = F.element_at(F.array(*[F.lit(x) for x in ("sp", "sp", "graphicFrame", "pic")]), F.col("shape_ord") + 1)
+    title = F.when(F.col("shape_ord") == 0, "title")
+    shapes = df.withColumns({"tag": tag, "ph_type": title, "has_table": F.col("shape_ord") == 2, "alt": F.lit("a curve"), "name": F.lit("n"), "text": F.lit(" head ")})
+    flat = shapes.filter("shape_ord < 2").withColumns({"cell_ri": F.lit(None).cast("int"), "cell_ci": F.lit(None).cast("int"), "bullet": F.lit("buChar")})
+    texts = flat.withColumn("para_ord", F.explode(F.array(F.lit(1), F.lit(0)))).withColumn("text", F.format_string(" p%d ", "para_ord"))
+    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("ri"), F.lit(j).alias("ci")) for i in (1, 0) for j in (1, 0)])).alias("g")
+    cells = shapes.filter("has_table").select("deck_id", "slide_no", "shape_ord", grid, F.lit(0).alias("tbl_ord"), F.lit(True).alias("first_row"))
+    cells = cells.select("*", "g.*", F.format_string("c%d%d", "g.ri", "g.ci").alias("text")).drop("g")
+    slides = shapes.select("deck_id", "slide_no").distinct().withColumn("notes", F.when(F.col("slide_no") == 3, " said \n\nmore"))
+    inside = cells.select("*", F.col("ri").alias("cell_ri"), F.col("ci").alias("cell_ci"), F.lit(0).alias("para_ord")).drop("ri", "ci", "first_row", "tbl_ord")
+    return slides, shapes, texts, cells, inside.withColumn("depth", F.lit(0))
+
+
+def test_reading_deals_rows_once(spark):
+    """One shuffle for the rows of slides, one for decks' totals and slides; lines as before."""
+    slides, shapes, texts, cells, _ = deck(spark)
+    lines = transform.reading(slides, shapes, texts, cells)
+    assert plan(lines).count("Exchange") <= 7
+    got = [(r.ord, r.sub, r.line) for r in lines.filter("slide_no = 3").orderBy("ord", "sub").collect()]
+    head = [(-1, 0, "Slide 3 de 5: head"), (1, 0, "marcador, p0"), (1, 1, "marcador, p1")]
+    assert got == [*head, (2, 1, "c00: c10, c01: c11"), (3, 0, "imagem, a curve"), (1 << 30, 0, " said "), (1 << 30, 2, "more")]
+    told = {r.deck_id: r for r in transform.transcript(lines).collect()}
+    assert told["d1"].lines == 5 * 5 + 2 and told["d1"].transcript.split("\n")[5:12] == [x[2] for x in got]
+
+
 def test_items_are_dealt_to_parts_by_the_tables_size(spark):
     items = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     parts = A.PARTS_OF_SPLIT * items.rdd.getNumPartitions()
