@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -28,13 +28,6 @@ def quoted(text: Column) -> Column:
     return F.concat(mark, text, mark)
 
 
-def joined(paragraphs: DataFrame, *by: str) -> DataFrame:
-    """by, t: the paragraphs of a shape or cell, bare and in order, with blanks between."""
-    part = F.struct("para_ord", T.strip(F.col("text")).alias("t"))
-    grouped = paragraphs.groupBy(*by).agg(F.array_sort(F.collect_list(part)).alias("ps"))
-    return grouped.select(*by, T.strip(F.array_join(F.transform("ps", lambda p: p["t"]), " ")).alias("t"))
-
-
 def kinds(shapes: DataFrame) -> DataFrame:
     """shapes that are seen, outside groups, with what they become: title, media, figure, table or text."""
     kind = F.when(is_title(F.col("ph_type")), "title").when(F.col("media_kind").isNotNull(), "media").when(F.col("tag") == "pic", "figure")
@@ -42,23 +35,18 @@ def kinds(shapes: DataFrame) -> DataFrame:
     return scope(shapes, decorative=False, hidden=False).withColumn("becomes", kind)
 
 
-def tables(placed: DataFrame, paragraphs: DataFrame, cells: DataFrame) -> DataFrame:
-    """KEY, header, rows, first_row of tables; rows without a text go, the first one left is the header."""
-    key = placed.filter("becomes = 'table'").select(*KEY)
-    own = joined(scope(paragraphs).filter("cell_ri is not null").join(key, KEY, "left_semi"), *KEY, "cell_ri", "cell_ci")
-    cell = F.struct("cell_ci", "t")
-    rows = own.groupBy(*KEY, "cell_ri").agg(F.array_sort(F.collect_list(cell)).alias("cs"))
-    rows = rows.select(*KEY, F.struct("cell_ri", F.transform("cs", lambda c: c["t"]).alias("texts")).alias("row"))
-    rows = rows.filter(F.exists("row.texts", lambda t: t != "")).groupBy(*KEY).agg(F.array_sort(F.collect_list("row")).alias("rs"))
-    marked = cells.join(key, KEY, "left_semi").groupBy(*KEY).agg(F.bool_or("first_row").alias("first_row"))
-    filled = F.transform(F.coalesce("rs", F.array().cast("array<struct<cell_ri:int,texts:array<string>>>")), lambda r: r["texts"])
-    out = key.join(rows, KEY, "left").join(marked, KEY, "left").withColumn("rs", filled)
-    return out.select(
-        *KEY,
-        F.coalesce(F.get("rs", F.lit(0)), F.array().cast("array<string>")).alias("header"),
-        F.slice("rs", 2, F.greatest(F.size("rs") - 1, F.lit(0))).alias("rows"),
-        F.coalesce("first_row", F.lit(False)).alias("first_row"),
-    )
+def filled_rows(cells: Column) -> Column:
+    """The rows (arrays of texts) of a table that have a text. cells: cell_ri, cell_ci, para_ord, t; the paragraphs
+    of a cell are joined with blanks."""
+    cells = F.array_sort(cells)
+
+    def row(number: Column) -> Column:
+        own = F.filter(cells, lambda c: c["cell_ri"] == number)
+        places = F.array_distinct(F.transform(own, lambda c: c["cell_ci"]))
+        return F.transform(places, lambda i: T.strip(F.array_join(F.transform(F.filter(own, lambda c: c["cell_ci"].eqNullSafe(i)), lambda c: c["t"]), " ")))
+
+    rows = F.transform(F.array_distinct(F.transform(cells, lambda c: c["cell_ri"])), row)
+    return F.filter(rows, lambda r: F.exists(r, lambda t: t != ""))
 
 
 def import_decks(slides: DataFrame, shapes: DataFrame, paragraphs: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,12 +59,35 @@ def import_decks(slides: DataFrame, shapes: DataFrame, paragraphs: DataFrame, ce
 
     Slides without shapes are kept; null texts are empty.
     """
-    placed = kinds(shapes)
-    paragraphs = paragraphs.withColumn("text", F.coalesce("text", F.lit("")))
-    alt = T.strip(F.coalesce("alt", F.lit("")))
-    figure = F.col("becomes") == "figure"
-    generic = figure & alt.rlike(EMPTY_DESCRIPTION)
+    names = {"becomes": "string", "name": "string", "alt": "string", "para_ord": "int", "cell_ri": "int", "cell_ci": "int", "t": "string"}
+    names |= {"first_row": "boolean", "notes": "string"}
+
+    def part(rows: DataFrame, kind: str, **columns: Column) -> DataFrame:
+        own = [columns.get(c, F.lit(None)).cast(k).alias(c) for c, k in names.items()]
+        ord_ = F.col("shape_ord") if "shape_ord" in rows.columns else F.lit(None).cast("int")
+        return rows.select(*PK, ord_.alias("shape_ord"), F.lit(kind).alias("kind"), *own)
+
+    own = {c: F.col(c) for c in ("becomes", "name")}
+    rows = part(kinds(shapes), "shape", alt=T.strip(F.coalesce("alt", F.lit(""))), **own)
+    own = {c: F.col(c) for c in ("para_ord", "cell_ri", "cell_ci")}
+    rows = rows.unionByName(part(scope(paragraphs), "text", t=T.strip(F.coalesce("text", F.lit(""))), **own))
+    rows = rows.unionByName(part(cells, "mark", first_row=F.col("first_row")))
+    rows = rows.unionByName(part(slides, "slide", notes=F.nullif(T.strip(F.coalesce("notes", F.lit(""))), F.lit(""))))
+
+    # all rows of a slide are dealt together once and sorted once
+    kind, becomes, alt = (F.col(c) for c in ("kind", "becomes", "alt"))
+    of_shape, of_slide = Window.partitionBy(*KEY), Window.partitionBy(*PK)
+    rows = rows.repartition(*PK).withColumns({"becomes": F.max("becomes").over(of_shape), "first_row": F.bool_or("first_row").over(of_shape)})
+    rows = rows.withColumns(
+        {
+            "title_ord": F.max(F.when(becomes == "title", F.col("shape_ord"))).over(of_slide),
+            "table_ord": F.min(F.when(becomes == "table", F.col("shape_ord"))).over(of_slide),
+        }
+    )
     number = F.col("slide_no").cast("string")
+    shape = kind == "shape"
+    figure = shape & (becomes == "figure")
+    generic = figure & alt.rlike(EMPTY_DESCRIPTION)
     told = F.when(alt == "", missing("texto alternativo da figura do slide %s", number))
     told = told.when(generic, missing("texto alternativo real, o atual é %s", quoted(F.substring(alt, 1, 30)))).otherwise(alt)
     picture = F.struct(
@@ -85,28 +96,35 @@ def import_decks(slides: DataFrame, shapes: DataFrame, paragraphs: DataFrame, ce
         told.alias("alt"),
         missing("descrição longa da figura do slide %s", number).alias("long_description"),
     )
-    of_slide = placed.groupBy(*PK).agg(
-        F.max(F.when(F.col("becomes") == "title", F.col("shape_ord"))).alias("title_ord"),
+    plain, celled = ((kind == "text") & c for c in (F.col("cell_ri").isNull(), F.col("cell_ri").isNotNull()))
+    rows = rows.groupBy(*PK).agg(
+        F.bool_or(kind == "slide").alias("listed"),
+        F.max("notes").alias("notes"),
         F.min_by(F.when(figure, picture), F.when(figure, F.col("shape_ord"))).alias("figure"),
-        F.count_if(F.col("becomes") == "media").alias("media"),
+        F.count_if(shape & (becomes == "media")).alias("media"),
         F.count_if(figure).alias("figures"),
         F.count_if(figure & (alt == "")).alias("alt"),
         F.count_if(generic).alias("generic_alt"),
+        F.count_if(shape & (becomes == "table") & ~F.coalesce("first_row", F.lit(False))).alias("header"),
+        F.collect_list(F.when(plain & (F.col("shape_ord") == F.col("title_ord")), F.struct("para_ord", "t"))).alias("title"),
+        F.collect_list(F.when(plain & (becomes == "text") & (F.col("t") != ""), F.struct("shape_ord", "para_ord", "t"))).alias("body"),
+        F.collect_list(F.when(celled & (F.col("shape_ord") == F.col("table_ord")), F.struct("cell_ri", "cell_ci", "para_ord", "t"))).alias("cells"),
+        F.max("table_ord").alias("table_ord"),
+    )
+    rows = rows.filter("listed").withColumns(
+        {
+            "title": T.strip(F.array_join(F.transform(F.array_sort("title"), lambda p: p["t"]), " ")),
+            "content": F.transform(F.array_sort("body"), lambda p: p["t"]),
+            "rs": filled_rows(F.col("cells")),
+        }
     )
-    plain = scope(paragraphs, cells=False).join(placed.select(*KEY, "becomes"), KEY)
-    lasts = of_slide.select(*PK, F.col("title_ord").alias("shape_ord"))
-    titles = joined(plain.filter("becomes = 'title'").join(lasts, KEY, "left_semi"), *PK).withColumnRenamed("t", "title")
-    part = F.struct("shape_ord", "para_ord", T.strip(F.col("text")).alias("t"))
-    body = plain.filter((F.col("becomes") == "text") & ~T.blank(F.col("text"))).groupBy(*PK)
-    body = body.agg(F.array_sort(F.collect_list(part)).alias("ps")).select(*PK, F.transform("ps", lambda p: p["t"]).alias("content"))
     table = F.struct(
-        F.lit(MISSING % "nome da tabela").alias("name"), missing("o que a tabela mostra, no slide %s", number).alias("alt"), "header", "rows"
+        F.lit(MISSING % "nome da tabela").alias("name"),
+        missing("o que a tabela mostra, no slide %s", number).alias("alt"),
+        F.coalesce(F.get("rs", F.lit(0)), F.array().cast("array<string>")).alias("header"),
+        F.slice("rs", 2, F.greatest(F.size("rs") - 1, F.lit(0))).alias("rows"),
     )
-    found = tables(placed, paragraphs, cells).groupBy(*PK)
-    found = found.agg(F.min_by(table, "shape_ord").alias("table"), F.count_if(~F.col("first_row")).alias("header"))
-    rows = slides.select(*PK, F.nullif(T.strip(F.coalesce("notes", F.lit(""))), F.lit("")).alias("notes"))
-    for more in (of_slide, titles, body, found):
-        rows = rows.join(more, PK, "left")
+    rows = rows.withColumn("table", F.when(F.col("table_ord").isNotNull(), table))
     untitled = F.coalesce("title", F.lit("")) == ""
     title = F.when(untitled, missing("título do slide %s", number)).otherwise(F.col("title"))
     content = F.coalesce("content", F.array().cast("array<string>"))

@@ -7,7 +7,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from conforma.operators import design, rules, transform
+from conforma.operators import design, imports, rules, transform
 from conforma.sources import adapters as A
 
 
@@ -100,3 +100,12 @@ def test_items_are_dealt_to_parts_by_the_tables_size(spark):
     items = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     parts = A.PARTS_OF_SPLIT * items.rdd.getNumPartitions()
     assert A.shapes(items).rdd.getNumPartitions() == parts
+
+
+def test_imports_deal_rows_once(spark):
+    slides, shapes, texts, cells, inside = deck(spark)
+    script, notices = imports.import_decks(slides, shapes, texts.unionByName(inside, allowMissingColumns=True), cells)
+    assert max(plan(x).count("Exchange") for x in (script, notices)) <= 4
+    row = script.filter("slide_no = 3").first()
+    assert (row.title, row.content, row.figure.alt, row.table.header, row.table.rows) == ("p0 p1", ["p0", "p1"], "a curve", ["c00", "c01"], [["c10", "c11"]])
+    assert row.notes == "said \n\nmore" and notices.count() == 0
