@@ -79,7 +79,8 @@ def strip(text: Column) -> Column:
 
 
 def blank(text: Column) -> Column:
-    return F.coalesce(strip(text), F.lit("")) == ""
+    """Null, or blanks only; trimmed on the left, as that ends at the first other character."""
+    return F.coalesce(F.ltrim(text, F.lit(BLANKS)), F.lit("")) == ""
 
 
 def words_of(text: Column, pattern: str) -> Column:

@@ -7,6 +7,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
+from conforma.functions import text as T
 from conforma.operators import design, imports, rules, transform
 from conforma.sources import adapters as A
 
@@ -109,3 +110,11 @@ def test_imports_deal_rows_once(spark):
     row = script.filter("slide_no = 3").first()
     assert (row.title, row.content, row.figure.alt, row.table.header, row.table.rows) == ("p0 p1", ["p0", "p1"], "a curve", ["c00", "c01"], [["c10", "c11"]])
     assert row.notes == "said \n\nmore" and notices.count() == 0
+
+
+def test_blank_texts_are_told_by_their_first_characters(spark):
+    """Trimmed on the left alone, so that a long text isn't read to its end; blanks of all kinds count."""
+    texts = [None, "", " \t\r\n", "  　", " a ", "a" + " " * 50, "​"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.blank(F.col("t")).alias("blank"))
+    assert [r.blank for r in rows.orderBy("i").collect()] == [True, True, True, True, False, False, False]
+    assert "ltrim(" in plan(rows)
