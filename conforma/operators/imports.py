import_deck_slides: parts follow the tables' size, rows no list takes are left before gathering

Symptom: on 3.6 million items (sf0.1's repeated 6 times) the last stage spilled 5311 MB in memory and 805 MB to disk with a driver of 2 GB.
Evidence: 17 million union rows met in 9 tasks, as adaptive execution joins parts by compressed size, and each task sorted them whole for the windows and once more for collect_list; peak of a task 218 MB.
Fix: a part for each 4 MB of files read; one text column instead of three, names and descriptions of figures only; a filter between windows and groupBy.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 2827 -> 2654 s, shuffle 6.83 -> 6.92 GB, spill 0.65 -> 0.00 GB, read 1.84 -> 1.84 GB, longest task 41 -> 18 s, most memory of a task 436 -> 420 MB; at 6 GB of input CPU 16390 -> 14597 s, shuffle 41.95 -> 42.85 GB, spill 44.95 -> 0.00 GB, read 12.66 -> 12.66 GB, longest task 77 -> 22 s, most memory of a task 839 -> 705 MB; with hot keys, at 1 GB of input CPU 3078 -> 3128 s, shuffle 6.69 -> 6.75 GB, spill 0.50 -> 0.20 GB, read 1.80 -> 1.80 GB, longest task 56 -> 55 s, most memory of a task 1175 -> 1745 MB.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.session import parts_by_size
 from .resolve import is_title
 from .rules import scope
 from .transform import MISSING, PK
@@ -59,25 +60,27 @@ def import_decks(slides: DataFrame, shapes: DataFrame, paragraphs: DataFrame, ce
 
     Slides without shapes are kept; null texts are empty.
     """
-    names = {"becomes": "string", "name": "string", "alt": "string", "para_ord": "int", "cell_ri": "int", "cell_ci": "int", "t": "string"}
-    names |= {"first_row": "boolean", "notes": "string"}
+    # text: a shape's description, a paragraph, or a slide's notes
+    names = {"becomes": "string", "name": "string", "text": "string", "para_ord": "int", "cell_ri": "int", "cell_ci": "int", "first_row": "boolean"}
 
     def part(rows: DataFrame, kind: str, **columns: Column) -> DataFrame:
         own = [columns.get(c, F.lit(None)).cast(k).alias(c) for c, k in names.items()]
         ord_ = F.col("shape_ord") if "shape_ord" in rows.columns else F.lit(None).cast("int")
         return rows.select(*PK, ord_.alias("shape_ord"), F.lit(kind).alias("kind"), *own)
 
-    own = {c: F.col(c) for c in ("becomes", "name")}
-    rows = part(kinds(shapes), "shape", alt=T.strip(F.coalesce("alt", F.lit(""))), **own)
+    figure = F.col("becomes") == "figure"  # the least of the names, so what comes twice and isn't one each time is none below
+    own = {"name": F.when(figure, F.col("name")), "text": F.when(figure, T.strip(F.coalesce("alt", F.lit(""))))}
+    rows = part(kinds(shapes), "shape", becomes=F.col("becomes"), **own)
     own = {c: F.col(c) for c in ("para_ord", "cell_ri", "cell_ci")}
-    rows = rows.unionByName(part(scope(paragraphs), "text", t=T.strip(F.coalesce("text", F.lit(""))), **own))
+    rows = rows.unionByName(part(scope(paragraphs), "text", text=T.strip(F.coalesce("text", F.lit(""))), **own))
     rows = rows.unionByName(part(cells, "mark", first_row=F.col("first_row")))
-    rows = rows.unionByName(part(slides, "slide", notes=F.nullif(T.strip(F.coalesce("notes", F.lit(""))), F.lit(""))))
+    rows = rows.unionByName(part(slides, "slide", text=F.nullif(T.strip(F.coalesce("notes", F.lit(""))), F.lit(""))))
 
-    # all rows of a slide are dealt together once and sorted once
-    kind, becomes, alt = (F.col(c) for c in ("kind", "becomes", "alt"))
+    # all rows of a slide are dealt together once and sorted once, in parts that don't grow with the tables
+    kind, becomes, text = (F.col(c) for c in ("kind", "becomes", "text"))
     of_shape, of_slide = Window.partitionBy(*KEY), Window.partitionBy(*PK)
-    rows = rows.repartition(*PK).withColumns({"becomes": F.max("becomes").over(of_shape), "first_row": F.bool_or("first_row").over(of_shape)})
+    parts = parts_by_size(rows)
+    rows = rows.repartition(*([parts] if parts else []), *PK).withColumns({"becomes": F.max("becomes").over(of_shape), "first_row": F.bool_or("first_row").over(of_shape)})
     rows = rows.withColumns(
         {
             "title_ord": F.max(F.when(becomes == "title", F.col("shape_ord"))).over(of_slide),
@@ -87,9 +90,9 @@ def import_decks(slides: DataFrame, shapes: DataFrame, paragraphs: DataFrame, ce
     number = F.col("slide_no").cast("string")
     shape = kind == "shape"
     figure = shape & (becomes == "figure")
-    generic = figure & alt.rlike(EMPTY_DESCRIPTION)
-    told = F.when(alt == "", missing("texto alternativo da figura do slide %s", number))
-    told = told.when(generic, missing("texto alternativo real, o atual é %s", quoted(F.substring(alt, 1, 30)))).otherwise(alt)
+    generic = figure & text.rlike(EMPTY_DESCRIPTION)
+    told = F.when(text == "", missing("texto alternativo da figura do slide %s", number))
+    told = told.when(generic, missing("texto alternativo real, o atual é %s", quoted(F.substring(text, 1, 30)))).otherwise(text)
     picture = F.struct(
         F.coalesce(F.nullif("name", F.lit("")), F.lit("Figura")).alias("name"),
         F.lit(MISSING % "caminho do arquivo da figura, por modo de cor").alias("file"),
@@ -97,18 +100,23 @@ def import_decks(slides: DataFrame, shapes: DataFrame, paragraphs: DataFrame, ce
         missing("descrição longa da figura do slide %s", number).alias("long_description"),
     )
     plain, celled = ((kind == "text") & c for c in (F.col("cell_ri").isNull(), F.col("cell_ri").isNotNull()))
-    rows = rows.groupBy(*PK).agg(
+    # what a slide's list doesn't take is left behind before its rows are gathered
+    head = plain & (F.col("shape_ord") == F.col("title_ord"))
+    body = plain & (becomes == "text") & (text != "")
+    cell = celled & (F.col("shape_ord") == F.col("table_ord"))
+    counted = shape & becomes.isin("media", "figure", "table")
+    rows = rows.filter((kind == "slide") | counted | head | body | cell).groupBy(*PK).agg(
         F.bool_or(kind == "slide").alias("listed"),
-        F.max("notes").alias("notes"),
+        F.max(F.when(kind == "slide", text)).alias("notes"),
         F.min_by(F.when(figure, picture), F.when(figure, F.col("shape_ord"))).alias("figure"),
         F.count_if(shape & (becomes == "media")).alias("media"),
         F.count_if(figure).alias("figures"),
-        F.count_if(figure & (alt == "")).alias("alt"),
+        F.count_if(figure & (text == "")).alias("alt"),
         F.count_if(generic).alias("generic_alt"),
         F.count_if(shape & (becomes == "table") & ~F.coalesce("first_row", F.lit(False))).alias("header"),
-        F.collect_list(F.when(plain & (F.col("shape_ord") == F.col("title_ord")), F.struct("para_ord", "t"))).alias("title"),
-        F.collect_list(F.when(plain & (becomes == "text") & (F.col("t") != ""), F.struct("shape_ord", "para_ord", "t"))).alias("body"),
-        F.collect_list(F.when(celled & (F.col("shape_ord") == F.col("table_ord")), F.struct("cell_ri", "cell_ci", "para_ord", "t"))).alias("cells"),
+        F.collect_list(F.when(head, F.struct("para_ord", text.alias("t")))).alias("title"),
+        F.collect_list(F.when(body, F.struct("shape_ord", "para_ord", text.alias("t")))).alias("body"),
+        F.collect_list(F.when(cell, F.struct("cell_ri", "cell_ci", "para_ord", text.alias("t")))).alias("cells"),
         F.max("table_ord").alias("table_ord"),
     )
     rows = rows.filter("listed").withColumns(

@@ -37,6 +37,20 @@ def kept(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+PART_BYTES = 4 << 20
+
+
+def parts_by_size(rows: DataFrame) -> int | None:
+    """A part for each PART_BYTES of the files that rows are read from, once for each time they are read; none if a source
+    doesn't know its size. For what tasks have to sort: the session's shuffle partitions don't grow with the tables, and
+    adaptive execution joins them by their compressed size."""
+    leaves, sizes = rows._jdf.queryExecution().optimizedPlan().collectLeaves().iterator(), []
+    while leaves.hasNext():
+        sizes.append(int(str(leaves.next().stats().sizeInBytes())))
+    unknown = int(rows.sparkSession._jsparkSession.sessionState().conf().defaultSizeInBytes())
+    return None if not sizes or max(sizes) >= unknown else -(-sum(sizes) // PART_BYTES)
+
+
 def unlimited_recursion(spark: SparkSession) -> None:
     """Recursive SQL is bounded by depth alone, not by a number of rows."""
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")

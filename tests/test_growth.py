@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from conforma.functions import text as T
 from conforma.operators import design, imports, rules, transform
 from conforma.sources import adapters as A
+from conforma.sources import session
 
 
 def plan(df) -> str:
@@ -118,3 +119,61 @@ def test_blank_texts_are_told_by_their_first_characters(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.blank(F.col("t")).alias("blank"))
     assert [r.blank for r in rows.orderBy("i").collect()] == [True, True, True, True, False, False, False]
     assert "ltrim(" in plan(rows)
+
+
+def test_imports_gather_what_lists_take(spark):
+    """Other rows are left behind below the aggregate, whose input is sorted once more."""
+    slides, shapes, texts, cells, inside = deck(spark)
+    script, _ = imports.import_decks(slides, shapes, texts.unionByName(inside, allowMissingColumns=True), cells)
+    lines = plan(script).split("\n")
+    partial = next(i for i, x in enumerate(lines) if "ObjectHashAggregate" in x and "partial_" in x)
+    window = next(i for i, x in enumerate(lines) if "Window [" in x)
+    assert any("Filter " in x and "title_ord" in x for x in lines[partial:window])
+
+
+def test_imports_are_dealt_by_size(spark, tmp_path, monkeypatch):
+    tables = []
+    for i, rows in enumerate(deck(spark)):
+        rows.write.parquet(str(tmp_path / str(i)))
+        tables.append(spark.read.parquet(str(tmp_path / str(i))))
+    slides, shapes, texts, cells, inside = tables
+    size = lambda t: sum(f.stat().st_size for f in (tmp_path / str(t)).glob("*.parquet"))
+    read = size(0) + size(1) + size(2) + size(3) + size(4)
+    paragraphs = texts.unionByName(inside, allowMissingColumns=True)
+    for parts in (3, 9):
+        monkeypatch.setattr(session, "PART_BYTES", -(-read // parts))
+        script, _ = imports.import_decks(slides, shapes, paragraphs, cells)
+        assert f", {parts}), REPARTITION_BY_NUM" in plan(script)
+        assert script.count() == 10
+    assert session.parts_by_size(spark.createDataFrame([(1,)], "i int")) is None
+
+
+def test_imports_of_odd_rows(spark):
+    """Shapes that come twice, as one kind or two; blank texts in titles and bodies; null keys and texts; slides without shapes."""
+    key = "deck_id string, slide_no long, shape_ord int, "
+    n = None
+    shapes = [
+        ("d", 1, 0, "sp", "title", n, False, " t ", "title's"), ("d", 1, 1, "pic", n, n, False, "foto.png", "p"), ("d", 1, 1, "pic", n, n, False, "foto.png", "p"),
+        ("d", 1, 2, "pic", n, n, False, "a", "x"), ("d", 1, 2, "sp", n, n, False, "b", "y"), ("d", 1, 3, "pic", n, "video", False, "m", "z"),
+        ("d", 2, 0, "graphicFrame", n, n, True, n, "t"), ("d", 2, 1, "pic", n, n, False, n, n), (n, 3, 0, "pic", n, n, False, " the curve ", ""),
+    ]
+    shapes = spark.createDataFrame(shapes, key + "tag string, ph_type string, media_kind string, has_table boolean, alt string, name string")
+    shapes = shapes.withColumns({"depth": F.lit(0), "decorative": F.lit(False), "hidden": F.lit(False)})
+    texts = [
+        ("d", 1, 0, n, n, 2, " c "), ("d", 1, 0, n, n, 0, "a"), ("d", 1, 0, n, n, 1, " "), ("d", 1, 2, n, n, 0, "body"), ("d", 1, 2, n, n, 0, "body"), ("d", 1, 2, n, n, 1, n),
+        ("d", 1, 1, n, n, 0, "in a picture"), ("d", 1, 9, n, n, 0, "of no shape"), ("d", 2, 0, 0, 0, 0, ""), ("d", 2, 0, 0, 1, 0, n), ("d", 2, 0, 1, 0, 1, "y"), ("d", 2, 0, 1, 0, 0, " x "),
+        (n, 3, 5, n, n, 0, "of no shape"),
+    ]
+    texts = spark.createDataFrame(texts, key + "cell_ri int, cell_ci int, para_ord int, text string").withColumn("depth", F.lit(0))
+    marks = spark.createDataFrame([("d", 2, 0, n), ("d", 2, 0, n)], key + "first_row boolean")
+    slides = spark.createDataFrame([("d", 1, " said "), ("d", 2, " "), (n, 3, n), ("e", 4, n)], "deck_id string, slide_no long, notes string")
+    script, notices = imports.import_decks(slides, shapes, texts, marks)
+    got = {r.slide_no: r for r in script.collect()}
+    assert {k: (r.deck_id, r.notes) for k, r in got.items()} == {1: ("d", "said"), 2: ("d", None), 3: (None, None), 4: ("e", None)}
+    assert (got[1].title, got[1].content) == ("a  c", ["body", "body"])
+    assert got[1].figure.name == "p" and "'foto.png'" in got[1].figure.alt and got[1].table is None
+    assert (got[2].table.header, got[2].table.rows) == (["x y"], []) and got[2].figure.name == "Figura" and got[2].figure.alt.startswith("[FALTA")
+    assert (got[3].figure.name, got[3].figure.alt, got[3].content) == ("Figura", "the curve", [])
+    assert got[4].figure is None and got[4].content == [] and got[4].title.startswith("[FALTA")
+    told = {(r.slide_no, r.cause): r.n for r in notices.collect()}
+    assert told == {(1, "media"): 1, (1, "generic_alt"): 2, (1, "figures"): 2, (2, "title"): 1, (2, "alt"): 1, (2, "header"): 1, (3, "title"): 1, (4, "title"): 1}
